@@ -125,6 +125,17 @@ def with_texts(
     return texts.groupBy("part").cogroup(other.groupBy("part")).applyInArrow(run, schema)
 
 
+def together(left: DataFrame, right: DataFrame, meet: Callable[[list[bytes], list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Brings packed rows of two kinds together by part."""
+
+    def run(own: pa.Table, other: pa.Table) -> pa.Table:
+        out = list(meet(own["payload"].to_pylist(), other["payload"].to_pylist()))
+        return pa.Table.from_batches(out) if out else empty
+
+    empty = _empty(schema)
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, schema)
+
+
 def runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[Block, np.ndarray]]:
     """Blocks of rows with their ids."""
     for block in blocks(batches, most=most):

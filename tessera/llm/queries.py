@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, neighbours, pii, quality, substrings, suffixes, toxicity
+from tessera.llm import bpe, jaccard, neighbours, pii, quality, substrings, suffixes, toxicity
 from tessera.llm.blocks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op8_suffixes, op9_substrings)}
+    return {f.__name__: f for f in (op1_quality, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
