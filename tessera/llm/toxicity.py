@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import BYTE_VALUES, LOWER, SEPARATOR, blocks, mixed, narrowed, prefix_sums, spans, words
 
 #: Labelled documents that a model is fitted on, at most.
-MOST_TOXIC, MOST_CLEAN = 1500, 2500
+MOST_TOXIC, MOST_CLEAN = 1000, 1500
 
 #: Slots of the n-gram table, numbers in a vector, lengths of n-grams in bytes, words in a passage.
 TABLE, WIDTH, SIZES, PASSAGE = 1 << 18, 8, (3, 4, 5), 1
@@ -37,8 +37,8 @@ EPOCHS = 16
 
 
 def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The block's distinct words as n-gram slots (slots, first slot of each word), each passage's words (padded with -1)
-    and each passage's row. A row without words has one empty passage."""
+    """The hashes of the block's distinct words, their n-gram slots (slots, first slot of each word), each passage's words
+    (padded with -1) and each passage's row. A row without words has one empty passage."""
     n_rows = len(bounds) - 1
     data = np.insert(LOWER[data], bounds[:-1], 0x20)  # a blank before each row, so that its first word has a start
     data = np.append(np.where(SEPARATOR[data], 0x20, data).astype(np.uint8), np.uint8(0x20))
@@ -64,7 +64,7 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = np.full((len(row), PASSAGE), -1)
     place = np.arange(len(which)) - w.first[w.row]
     inside[start_of[w.row] + place // PASSAGE, place % PASSAGE] = which
-    return slot[order], first, inside, row
+    return keys, slot[order].astype(np.int32), first, inside, row
 
 
 def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -90,35 +90,45 @@ class Model:
         self.slots, self.bias, self.scale, self.shift = slots, bias, scale, shift
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        slot, first, inside, row = passages(data, bounds)
+        _, slot, first, inside, row = passages(data, bounds)
         per_word = np.append(_means(self.slots[slot].astype(np.float64), first), 0.0)
         logit = per_word[inside].sum(1) / np.maximum(1, (inside >= 0).sum(1)) + self.bias
         worst = np.maximum.reduceat(logit, np.searchsorted(row, np.arange(len(bounds) - 1)))
         return 1 / (1 + np.exp(-np.clip(self.scale * worst + self.shift, -30, 30)))
 
 
+def _all_passages(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """`passages` over many documents, a few at a time; a passage that a document repeats is there once."""
+    n, pieces = 0, []
+    for i in range(0, len(raw), 100):
+        own = raw[i : i + 100]
+        keys, slot, first, inside, row = passages(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]))
+        _, one = np.unique(mixed((row.astype(np.uint64) << np.uint64(32)) ^ spans_of_rows(inside)), return_index=True)
+        one.sort()
+        pieces.append((keys, slot, np.diff(first), np.where(inside[one] < 0, -1, inside[one] + n), row[one] + i))
+        n += len(keys)
+    keys, slot, size, inside, row = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    del pieces
+    _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    start, size_of = (np.cumsum(size) - size)[one], size[one]
+    first = np.append(0, np.cumsum(size_of))
+    slot = slot[np.repeat(start - first[:-1], size_of) + np.arange(first[-1])]
+    return slot, first, np.where(inside < 0, -1, which[inside]), row
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Model:
     """Trains table and softmax jointly (Adam, a batch being this epoch's passages of all documents)."""
     if not len(texts) or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(TABLE, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    raw = [x.encode("utf-8") for x in texts]
-    slot, first, inside, row = passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     n_docs, rng = len(texts), np.random.default_rng(seed)
-    # a passage that a document repeats teaches once
-    _, one = np.unique(mixed((row.astype(np.uint64) << np.uint64(32)) ^ spans_of_rows(inside)), return_index=True)
-    inside, row = inside[np.sort(one)], row[np.sort(one)]
+    slot, first, inside, row = _all_passages([x.encode("utf-8") for x in texts])
     begin = np.searchsorted(row, np.arange(n_docs + 1))
     # to begin with, a passage looks as bad as the n-grams that toxic documents hold more often than clean ones
-    seen = np.unique(row[np.repeat(np.arange(len(inside)), PASSAGE)[inside.ravel() >= 0]] * np.int64(len(first)) + inside.ravel()[inside.ravel() >= 0])
-    doc, word = seen // len(first), seen % len(first)
-    n_slots = np.diff(first)[word]
-    slots = slot[np.repeat(first[word] - (np.cumsum(n_slots) - n_slots), n_slots) + np.arange(n_slots.sum())]
-    pairs = np.unique(np.repeat(doc, n_slots) * np.int64(TABLE) + slots)
-    odds = np.zeros((2, TABLE))
-    for c in (0, 1):
-        odds[c] = np.bincount(pairs[toxic[pairs // TABLE] == c] % TABLE, minlength=TABLE) + 0.5
-        odds[c] /= (toxic == c).sum() + 1
+    seen, n_slots = inside.ravel(), np.diff(first)
+    of_word = [np.bincount(seen[(seen >= 0) & (np.repeat(toxic[row], PASSAGE) == c)], minlength=len(n_slots)) for c in (0, 1)]
+    odds = np.stack([np.bincount(slot, np.repeat(of_word[c], n_slots), TABLE) + 0.5 for c in (0, 1)])
+    odds /= odds.sum(1, keepdims=True)
     per_word = np.append(_means(np.log(odds[1] / odds[0])[slot], first), -9.0)
     look = np.sort(per_word[inside], 1)[:, -1]
 
