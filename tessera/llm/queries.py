@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, neighbours, pii, quality, substrings, suffixes, toxicity
+from tessera.llm import bpe, decontamination, jaccard, neighbours, pii, quality, substrings, suffixes, toxicity
 from tessera.llm.blocks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts, toxic = toxicity.labelled(
@@ -66,7 +70,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
