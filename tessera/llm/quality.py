@@ -110,3 +110,14 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     return narrowed(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def kept(docs: DataFrame, voters: Voters, least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all columns, whose score is at least `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield block.batch.filter(pa.array(sent.value.scores(block.data, block.bounds) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontamination, jaccard, neighbours, pii, quality, substrings, suffixes, toxicity
+from tessera.llm import bpe, decontamination, jaccard, licences, neighbours, pii, quality, substrings, suffixes, toxicity
 from tessera.llm.blocks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.notices(docs, licences.fit(licences.sample(docs)))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
