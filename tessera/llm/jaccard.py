@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import LOWER, grams, mixed, narrowed, prefix_sums, spans, words, written
 from tessera.llm.components import components
 from tessera.llm.packed import (
-    PACKED, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, together, unpacked, with_texts,
+    PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, together, unpacked, with_texts,
 )
 from tessera.llm.substrings import distinct_pairs
 
@@ -187,13 +187,13 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     node = written(of_mark.join(distinct, "mark").select("node", "mark", "n", "group", "bitmap"), "nodes")
     groups = rows.where("n > 0").groupBy("group").agg(F.first("prefix").alias("prefix"))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             prefix = [np.frombuffer(p, np.uint64) for p in batch.column(1).to_pylist()]
             if prefix:
                 group = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(p) for p in prefix])
                 token = np.concatenate(prefix)
-                yield packed(hash_part(mixed(token), parts), token, group)
+                yield hash_part(mixed(token), parts), token, group
 
     def cells(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         token, group = distinct_pairs(*unpacked(payloads, np.uint64, np.int64))
@@ -207,31 +207,31 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         lists = [group[a : a + k].tobytes() for a, k in zip(head[one].tolist(), size[one].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(name[one].view(np.int64)), pa.array(lists, pa.binary())], ["cell", "groups"])
 
-    found = met(groups.mapInArrow(postings, PACKED), cells, "cell long, groups binary").groupBy("cell").agg(F.first("groups").alias("groups"))
+    found = met(groups.mapInArrow(lambda b: gathered(postings(b)), PACKED), cells, "cell long, groups binary").groupBy("cell").agg(F.first("groups").alias("groups"))
 
-    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             if lists:
                 cell = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists])
                 group = np.concatenate(lists)
-                yield packed(hash_part(mixed(group.astype(np.uint64)), parts), group, cell)
+                yield hash_part(mixed(group.astype(np.uint64)), parts), group, cell
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             group = batch.column(0).to_numpy(zero_copy_only=False)
             if len(group):
-                yield packed(hash_part(mixed(group.astype(np.uint64)), parts), group, group)
+                yield hash_part(mixed(group.astype(np.uint64)), parts), group, group
 
     crowded = node.groupBy("group").count().where("count > 1").select("group")
-    cell_groups = written(found.mapInArrow(by_group, PACKED).unionAll(crowded.mapInArrow(alone, PACKED)), "cells")
+    cell_groups = written(found.mapInArrow(lambda b: gathered(by_group(b)), PACKED).unionAll(crowded.mapInArrow(lambda b: gathered(alone(b)), PACKED)), "cells")
 
-    def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             if batch.num_rows:
                 group, ids, size, mark, component = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
                 bitmap = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)
-                yield packed(hash_part(mixed(group.astype(np.uint64)), parts), group, ids, size, mark, component, *np.ascontiguousarray(bitmap.T))
+                yield hash_part(mixed(group.astype(np.uint64)), parts), group, ids, size, mark, component, *np.ascontiguousarray(bitmap.T)
 
     def expanded(left: list[bytes], right: list[bytes]) -> Iterator[pa.RecordBatch]:
         group, cell = unpacked(left, np.int64, np.int64)
@@ -246,7 +246,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             yield packed(hash_part(mixed(name.astype(np.uint64)), parts), name, *(c[pick] for c in columns))
 
     #: texts of nodes that stand in cells, once
-    wanted = written(together(cell_groups, node.select("group", "node", "n", "mark", F.col("node").alias("c"), "bitmap").mapInArrow(node_rows, PACKED), lambda x, y: _named(x, y, parts), PACKED), "wanted")
+    wanted = written(together(cell_groups, node.select("group", "node", "n", "mark", F.col("node").alias("c"), "bitmap").mapInArrow(lambda b: gathered(node_rows(b)), PACKED), lambda x, y: _named(x, y, parts), PACKED), "wanted")
     texts = written(with_texts(packed_texts(docs, parts), wanted, lambda t, p: _chosen(t, p, parts, n), PACKED), "texts")
 
     state, links, turn = None, None, 0
@@ -275,7 +275,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 both = np.unique(np.concatenate(out, axis=1), axis=1)
                 yield _flagged(packed(np.mod(both[1], parts), both[0], both[1]), unfinished)
 
-        cells_now = together(cell_groups, columns.mapInArrow(node_rows, PACKED), expanded, PACKED)
+        cells_now = together(cell_groups, columns.mapInArrow(lambda b: gathered(node_rows(b)), PACKED), expanded, PACKED)
         tried = written(met(cells_now, pairs, PACKED + ", more boolean"), "pairs")
         if tried.isEmpty():
             break

@@ -1,8 +1,9 @@
 """Shuffles of many small rows as few large ones.
 
 Fingerprints come in hundreds per document. Instead of a row each, a task packs the fingerprints that go to one part into
-one binary value; Spark shuffles these by part, and the receiving task unpacks them as numpy arrays. Parts are many more
-than tasks, so a task's memory is one part (its texts or its fingerprints), whatever the size of the input.
+one binary value; Spark shuffles these by part, and the receiving task unpacks them as numpy arrays. There are as many
+parts as shuffle partitions (and one more), and a task packs once for all of its rows: so there are no more packed rows
+than blocks of a shuffle, and a task's memory is one part (its texts or its fingerprints), whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tessera.llm.blocks import Block, blocks, narrowed, partitions
 
 PACKED = "part int, payload binary"
 
-#: Parts per shuffle partition.
-PARTS_EACH = 4
+#: Values that a task gathers before it packs them.
+GATHER = 1 << 21
 
 
 def squeezed(data: bytes) -> bytes:
@@ -32,7 +33,7 @@ def loosened(data: bytes, size: int) -> bytes:
 
 def parts_of(df: DataFrame) -> int:
     """An odd number of parts (ids often step by an even number)."""
-    return PARTS_EACH * partitions(df.sparkSession) + 1
+    return partitions(df.sparkSession) // 2 * 2 + 1
 
 
 def hash_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -51,6 +52,21 @@ def packed(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
 
 
+def gathered(pieces: Iterable[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """`packed` over many (part, columns...) of a task, GATHER values at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for piece in pieces:
+        if len(piece[0]):
+            held.append(piece)
+            n += len(piece[0])
+        if n >= GATHER:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def unpacked(payloads: Iterable[bytes], *dtypes: type) -> list[np.ndarray]:
     """The columns again, over all payloads."""
     found: list[list[np.ndarray]] = [[] for _ in dtypes]

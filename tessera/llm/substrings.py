@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grams, narrowed, prefix_sums, words
-from tessera.llm.packed import PACKED, hash_part, met, packed, packed_texts, parts_of, runs, unpacked, with_texts
+from tessera.llm.packed import PACKED, gathered, hash_part, met, packed, packed_texts, parts_of, runs, unpacked, with_texts
 from tessera.llm.windows import smallest
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -105,15 +105,15 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Per document: its words, how many of them a window that an earlier document has covers, and SHA-256 of the rest."""
     parts = parts_of(docs)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for block, ids in runs(batches):
             w, starts, least, _ = window_hashes(block.data, block.bounds, window)
             if len(starts):
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(starts) > 1)])
                 keys, own = distinct_pairs(least[new], ids[w.row[starts[new]]])
-                yield packed(hash_part(keys, parts), keys, own)
+                yield hash_part(keys, parts), keys, own
 
-    def extended(texts: Iterator, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def extended(texts: Iterator, payloads: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         own_ids, keys = unpacked(payloads, np.int64, np.uint64)
         if not len(keys):
             return
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 hit = holds(known, ids[w.row[starts]], least)
                 if hit.any():
                     out, own = distinct_pairs(whole[hit], ids[w.row[starts[hit]]])
-                    yield packed(hash_part(out, parts), out, own)
+                    yield hash_part(out, parts), out, own
 
     def digests(texts: Iterator, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         own_ids, keys = unpacked(payloads, np.int64, np.uint64)
@@ -141,8 +141,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     known = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = packed_texts(docs, parts)
-    candidates = repeated(narrowed(known, "doc_id", "text").mapInArrow(anchors, PACKED), parts, later_only=False)
-    windows = repeated(with_texts(texts, candidates, extended, PACKED), parts, later_only=True)
+    candidates = repeated(narrowed(known, "doc_id", "text").mapInArrow(lambda b: gathered(anchors(b)), PACKED), parts, later_only=False)
+    windows = repeated(with_texts(texts, candidates, lambda t, p: gathered(extended(t, p)), PACKED), parts, later_only=True)
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text")
     return with_texts(texts, windows, digests, RESULT).unionAll(nameless.mapInArrow(untouched, RESULT))
 

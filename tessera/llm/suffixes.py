@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BYTE_VALUES, grams, mixed, narrowed, prefix_sums, spans, written
-from tessera.llm.packed import PACKED, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, unpacked, with_texts
+from tessera.llm.packed import PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, unpacked, with_texts
 from tessera.llm.substrings import distinct_pairs, holds, listed
 from tessera.llm.windows import sliding
 
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     parts = parts_of(docs)
     reach = size - GRAM
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for block, ids in runs(batches):
             at, gram, row, _ = anchors_of(block.data, block.bounds, size)
             if len(at):
@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
                 twice = np.flatnonzero((gram[order][1:] == gram[order][:-1]) & (own[order][1:] == own[order][:-1]))
                 more_keys, more_of = distinct_pairs(gram[order][twice], own[order][twice])
                 keys, of = np.concatenate([keys, more_keys]), np.concatenate([of, more_of])
-                yield packed(hash_part(keys, parts), keys, of)
+                yield hash_part(keys, parts), keys, of
 
     def several(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys, ids = unpacked(payloads, np.uint64, np.int64)
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
 
     known = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = packed_texts(docs, parts)
-    candidates = met(narrowed(known, "doc_id", "text").mapInArrow(found, PACKED), several, PACKED)
+    candidates = met(narrowed(known, "doc_id", "text").mapInArrow(lambda b: gathered(found(b)), PACKED), several, PACKED)
     sent = written(with_texts(texts, candidates, sorted_runs, PACKED + ", kind int"), "suffix-runs")
     merged_runs = met(sent.where("kind = 1").drop("kind"), settled, PACKED)
     spans_found = sent.where("kind = 0").drop("kind").unionAll(merged_runs)
