@@ -5,8 +5,8 @@ Method: grouped prefix join. Each document's distinct n-grams stand in one order
 among the first n - ceil(t n) + 1. Documents of equal sets are one node; nodes with the same prefix and size are one group.
 An n-gram that stands in the prefixes of several groups makes these a cell; cells of the same groups are one. A cell is
 expanded to the nodes of its groups, pairs of nodes in different components are filtered by size and by a bitmap of each
-set (bits of hashes, flipped per n-gram: the number of bits that differ bounds the number of n-grams that do), and what is
-left is verified on the texts. Links so found join components.
+set (bits of hashes, flipped per n-gram: the number of bits that differ bounds the number of n-grams that do). What is left
+meets again as larger bitmaps, as long as the sets, and then as texts, which verify. Links so found join components.
 
 A cell of many nodes that are still apart first tries a few pairs per node; as these join, fewer pairs remain to be tried.
 After ROUNDS rounds every remaining pair is verified, so no link between components is missed, and none is capped.
@@ -34,7 +34,7 @@ from tessera.llm.packed import (
 from tessera.llm.substrings import distinct_pairs
 
 #: Slots of the count table (a fixed size), and of the bitmap, in 64-bit words.
-COUNTS, BITMAP = 1 << 20, 8
+COUNTS, BITMAP = 1 << 22, 8
 
 #: Rounds in which a large cell tries some of its pairs only; pairs per node in such a round; what counts as few pairs.
 ROUNDS, TRIES, FEW = 4, 3, 8
@@ -78,23 +78,41 @@ def bitmaps_of(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(rows, bits), axis=1).view(np.uint64)
 
 
+def long_bitmap(value: np.ndarray) -> np.ndarray:
+    """As `bitmaps_of` for one set, with a power of two of at least 512 bits and of more bits than n-grams, as bytes."""
+    bits = max(512, 1 << len(value).bit_length())
+    bit = (mixed(value) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=bits).astype(np.uint8) & 1, bitorder="little")
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bits of two long bitmaps differ, the longer one folded to the length of the other."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def count_table(docs: DataFrame, n: int) -> np.ndarray:
-    """How frequent each slot's n-grams are against the mean slot, as a power of two (0: like most, or rarer)."""
+    """How far each slot's count is above the mean slot's, in powers of two of four standard deviations (0: within that).
+
+    So n-grams of more than about 4 sqrt(mean) documents are known to be frequent, and leave the prefixes to rarer ones."""
     pieces = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTS, np.int64)
+        total = np.zeros(COUNTS, np.int32)
         for block, _ in runs(batches):
             value, _ = sets_of(block.data, block.bounds, n)
-            total += np.bincount((value >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
+            np.add.at(total, (value >> np.uint64(42)).astype(np.int64), 1)
         if total.any():
-            payload = [squeezed(x.astype("<i8").tobytes()) for x in np.split(total, pieces)]
+            payload = [squeezed(x.astype("<i4").tobytes()) for x in np.split(total, pieces)]
             yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
 
     def add(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTS // pieces, np.int64)
         for x in payloads:
-            total += np.frombuffer(loosened(x, 8 * len(total)), "<i8")
+            total += np.frombuffer(loosened(x, 4 * len(total)), "<i4")
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([squeezed(total.tobytes())], pa.binary())], ["part", "payload"])
 
     def added(own: pa.Table) -> pa.Table:
@@ -106,8 +124,9 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
     for part, payload in sums.collect():
         size = COUNTS // pieces
         table[part * size : (part + 1) * size] = np.frombuffer(loosened(bytes(payload), 8 * size), "<i8")
-    mean = max(1.0, table.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(table, 1) / (2 * mean))) + 1).astype(np.uint8)
+    mean = table.mean()
+    above = (table - mean) / (4 * np.sqrt(max(mean, 1.0)))
+    return np.where(above > 1, 1 + np.floor(np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
 
 
 def ceil_share(n: np.ndarray, percent: int) -> np.ndarray:
@@ -164,7 +183,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         for block, ids in runs(batches):
             value, cut = sets_of(block.data, block.bounds, n)
             size = np.diff(cut)
-            rank = (frequent[(value >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(value) >> np.uint64(6))
+            rank = (frequent[(value >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(value) >> np.uint64(6))
             row = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((rank, row))
             ordered = value[order]
@@ -249,6 +268,17 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     wanted = written(together(cell_groups, node.select("group", "node", "n", "mark", F.col("node").alias("c"), "bitmap").mapInArrow(lambda b: gathered(node_rows(b)), PACKED), lambda x, y: _named(x, y, parts), PACKED), "wanted")
     texts = written(with_texts(packed_texts(docs, parts), wanted, lambda t, p: _chosen(t, p, parts, n), PACKED), "texts")
 
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts_here, payload = batch.column(0).to_pylist(), []
+            for own in batch.column(1).to_pylist():
+                for ids, data, bounds in texts_of([own]):
+                    value, cut = sets_of(data, bounds, n)
+                    payload.append(_sketch_block(ids, np.diff(cut), [long_bitmap(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]))
+            if payload:
+                yield pa.RecordBatch.from_arrays([pa.array(parts_here, pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
+
+    known_sets = written(texts.mapInArrow(sketches, PACKED), "sketches")
     state, links, turn = None, None, 0
     while True:
         if state is None:
@@ -280,7 +310,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         if tried.isEmpty():
             break
         more = not tried.where("more").isEmpty()
-        moved = with_texts(texts, tried.drop("more"), lambda t, p: _sent(t, p, parts), PACKED)
+        asked = together(known_sets, tried.drop("more"), lambda a, b: _sketches_sent(a, b, parts), PACKED)
+        likely = together(known_sets, asked, lambda a, b: _likely(a, b, parts, percent), PACKED)
+        moved = with_texts(texts, likely, lambda t, p: _sent(t, p, parts), PACKED)
         new = written(with_texts(texts, moved, lambda t, p: _verified(t, p, n, percent), "u long, v long"), "new-links")
         links = new if links is None else links.unionAll(new)
         if not more:
@@ -298,6 +330,57 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.unionAll(nameless.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
+def _sketch_block(ids: np.ndarray, size: np.ndarray, bitmaps: list[np.ndarray]) -> bytes:
+    head = np.concatenate([[len(ids)], ids, size, [len(b) for b in bitmaps]]).astype("<i8").tobytes()
+    return head + b"".join(b.tobytes() for b in bitmaps)
+
+
+def _sketches(payloads: list[bytes]) -> dict[int, tuple[int, np.ndarray]]:
+    """doc_id to size and long bitmap."""
+    out = {}
+    for own in payloads:
+        k = int(np.frombuffer(own, "<i8", 1)[0])
+        ids, size, length = np.frombuffer(own, "<i8", 3 * k, 8).reshape(3, k).tolist()
+        at = 8 + 24 * k
+        for i, n, b in zip(ids, size, length, strict=True):
+            out[i] = (n, np.frombuffer(own, np.uint8, b, at))
+            at += b
+    return out
+
+
+def _sketches_sent(sketches: list[bytes], pairs: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    """For distinct pairs (u, v) by v: the pairs and the long bitmaps of v, by u."""
+    u, v = unpacked(pairs, np.int64, np.int64)
+    if not len(u):
+        return
+    u, v = np.unique(np.stack([u, v]), axis=1)
+    have, part = _sketches(sketches), np.mod(u, parts)
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        need = np.unique(v[own])
+        block = _sketch_block(need, np.array([have[x][0] for x in need.tolist()]), [have[x][1] for x in need.tolist()])
+        head = np.concatenate([[len(own)], u[own], v[own]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([head + block], pa.binary())], ["part", "payload"])
+
+
+def _likely(sketches: list[bytes], asked: list[bytes], parts: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs, by v, that the long bitmaps allow to be alike."""
+    if not asked:
+        return
+    have, found = _sketches(sketches), []
+    for own in asked:
+        k = int(np.frombuffer(own, "<i8", 1)[0])
+        u, v = np.frombuffer(own, "<i8", 2 * k, 8).reshape(2, k).tolist()
+        theirs = _sketches([own[8 + 16 * k :]])
+        for a, b in zip(u, v, strict=True):
+            (n, x), (m, y) = have[a], theirs[b]
+            if differing(x, y) * (100 + percent) <= (n + m) * (100 - percent):
+                found.append((a, b))
+    if found:
+        both = np.array(found, np.int64).T
+        yield packed(np.mod(both[1], parts), both[0], both[1])
+
+
 def _flagged(batch: pa.RecordBatch, more: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array([more] * batch.num_rows)], ["part", "payload", "more"])
 
