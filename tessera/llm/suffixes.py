@@ -36,6 +36,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 #: Bytes of an anchor's gram.
 GRAM = 32
 
+#: Buckets, by gram, that a part's runs are merged in one after the other.
+BUCKETS = 8
+
 
 def anchors_of(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions of anchors, their grams' hashes, the row of each, and a fingerprint of each row."""
@@ -245,19 +248,20 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
         rest = np.flatnonzero(~earlier)
         part = hash_part(gram[rest], parts)
         for p in np.unique(part):
-            own = rest[part == p]
-            texts_of_own = [right[i, : right_len[i]].tobytes() for i in own.tolist()]
-            own = own[sorted(range(len(own)), key=texts_of_own.__getitem__)]
-            same, new = front_coded(right[own], right_len[own])
-            head_bytes = np.concatenate([[len(own), len(new)], ids[own], prints[own].view(np.int64), at[own], right_len[own], left_len[own], same])
-            payload = head_bytes.astype("<i8").tobytes() + left[own].tobytes() + new
-            out = pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(payload).to_bytes(8, "little") + squeezed(payload)], pa.binary())], ["part", "payload"])
-            yield _tagged(out, 1)
-
-    def settled(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+            blocks = [_run_block(rest[(part == p) & (_bucket(gram[rest]) == k)], ids, prints, at, right, right_len, left, left_len) for k in range(BUCKETS)]
+            payload = np.array([len(x) for x in blocks], "<i8").tobytes() + b"".join(blocks)
+            yield _tagged(pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"]), 1)
+
+    def settled(payloads: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        for k in range(BUCKETS):
+            yield from bucket_settled(payloads, k)
+
+    def bucket_settled(payloads: list[bytes], k: int) -> Iterator[tuple[np.ndarray, ...]]:
         sequences, columns = [], []
         for own in payloads:
-            own = loosened(own[8:], int.from_bytes(own[:8], "little"))
+            own = _run_of(own, k)
+            if not own:
+                continue
             n, size_of_rest = np.frombuffer(own, "<i8", 2)
             head = np.frombuffer(own, "<i8", 6 * n, 16).reshape(6, n)
             left = np.frombuffer(own, np.uint8, n * reach, 16 + 48 * n).reshape(n, reach)
@@ -286,7 +290,7 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
         hit = repeats(share, length, left, left_len, rank, size)
         row, start, end = stretches(hit, at, size)
         if len(row):
-            yield packed(np.mod(ids[row], parts), ids[row], prints[row].view(np.uint64), start, end)
+            yield np.mod(ids[row], parts), ids[row], prints[row].view(np.uint64), start, end
 
     def digests(texts: Iterator, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         own_ids, prints, start, end = unpacked(payloads, np.int64, np.uint64, np.int64, np.int64)
@@ -315,12 +319,36 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     texts = packed_texts(docs, parts)
     candidates = met(narrowed(known, "doc_id", "text").mapInArrow(lambda b: gathered(found(b)), PACKED), several, PACKED)
     sent = written(with_texts(texts, candidates, sorted_runs, PACKED + ", kind int"), "suffix-runs")
-    merged_runs = met(sent.where("kind = 1").drop("kind"), settled, PACKED)
+    merged_runs = met(sent.where("kind = 1").drop("kind"), lambda p: gathered(settled(p)), PACKED)
     spans_found = sent.where("kind = 0").drop("kind").unionAll(merged_runs)
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text")
     return with_texts(texts, spans_found, digests, RESULT).unionAll(nameless.mapInArrow(untouched, RESULT))
 
 
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    return ((gram >> np.uint64(8)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _run_block(own: np.ndarray, ids: np.ndarray, prints: np.ndarray, at: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray) -> bytes:
+    """A sorted, front-coded run of the chosen suffixes, compressed."""
+    if not len(own):
+        return b""
+    suffix = {i: right[i, : right_len[i]].tobytes() for i in own.tolist()}
+    own = np.array(sorted(own.tolist(), key=suffix.__getitem__))
+    same, new = front_coded(right[own], right_len[own])
+    head = np.concatenate([[len(own), len(new)], ids[own], prints[own].view(np.int64), at[own], right_len[own], left_len[own], same])
+    raw = head.astype("<i8").tobytes() + left[own].tobytes() + new
+    return len(raw).to_bytes(8, "little") + squeezed(raw)
+
+
+def _run_of(payload: bytes, k: int) -> bytes:
+    """The k-th run of a payload."""
+    sizes = np.frombuffer(payload, "<i8", BUCKETS)
+    at = 8 * BUCKETS + int(sizes[:k].sum())
+    own = payload[at : at + int(sizes[k])]
+    return loosened(own[8:], int.from_bytes(own[:8], "little")) if own else b""
+
+
 def _hashed(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row's bytes and length."""
     weights = mixed(np.arange(1, rows.shape[1] + 1, dtype=np.uint64))
