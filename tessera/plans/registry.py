@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis, meetings
+from tessera.plans import analysis, evidence, meetings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ALL = {**meetings.QUERIES, **analysis.QUERIES}
+ALL = {**meetings.QUERIES, **analysis.QUERIES, **evidence.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
