@@ -8,8 +8,8 @@ expanded to the nodes of its groups, pairs of nodes in different components are
 set (bits of hashes, flipped per n-gram: the number of bits that differ bounds the number of n-grams that do). What is left
 meets again as larger bitmaps, as long as the sets, and then as texts, which verify. Links so found join components.
 
-A cell of many nodes that are still apart first tries a few pairs per node; as these join, fewer pairs remain to be tried.
-After ROUNDS rounds every remaining pair is verified, so no link between components is missed, and none is capped.
+A cell of many nodes that are still apart first tries a few pairs per node; as these join, fewer pairs remain to be tried,
+and only cells not yet done are expanded again. After ROUNDS rounds every remaining pair is verified, so no link between components is missed, and none is capped.
 
 Edge cases: null and empty texts, or texts without words, have the empty set and link with nothing; a text of fewer than n
 words has its whole sequence as its only n-gram; one row is returned per doc_id (of several texts of one doc_id the one
@@ -37,7 +37,7 @@ from tessera.llm.substrings import distinct_pairs
 COUNTS, BITMAP = 1 << 22, 8
 
 #: Rounds in which a large cell tries some of its pairs only; pairs per node in such a round; what counts as few pairs.
-ROUNDS, TRIES, FEW = 4, 3, 8
+ROUNDS, TRIES, FEW = 2, 3, 8
 
 _NODE = "doc_id long, n long, mark long, group long, prefix binary, bitmap binary"
 
@@ -279,38 +279,44 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(parts_here, pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
 
     known_sets = written(texts.mapInArrow(sketches, PACKED), "sketches")
-    state, links, turn = None, None, 0
+    state, links, turn, open_cells = None, None, 0, cell_groups
     while True:
         if state is None:
             current = node.withColumn("component", F.col("node"))
         else:
             current = node.join(state, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-        columns = current.select("group", "node", "n", "mark", "component", "bitmap")
+        columns = current.select("group", "node", "n", F.col("group").alias("g"), "component", "bitmap")
 
         def pairs(payloads: list[bytes], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            cell, ids, size, _, component, *bits = unpacked(payloads, *[np.int64] * 5, *[np.uint64] * BITMAP)
+            cell, ids, size, group, component, *bits = unpacked(payloads, *[np.int64] * 5, *[np.uint64] * BITMAP)
             order = np.lexsort((ids, cell))
-            cell, ids, size, component = cell[order], ids[order], size[order], component[order]
+            cell, ids, size, group, component = cell[order], ids[order], size[order], group[order], component[order]
             bitmap = np.column_stack(bits)[order]
             head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
-            out, unfinished = [], False
+            out, unfinished = [], []
             for a, b in zip(head, [*head[1:], len(cell)], strict=True):
                 if (component[a:b] != component[a]).any():
                     x, y, whole = cell_pairs(ids[a:b], size[a:b], component[a:b], bitmap[a:b], percent, turn)
-                    unfinished |= not whole
+                    if not whole:
+                        own = np.unique(group[a:b])
+                        unfinished.append(np.stack([own, np.full(len(own), cell[a])]))
                     if len(x):
                         x, y = ids[a:b][x], ids[a:b][y]
                         out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
             if out:
                 both = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield _flagged(packed(np.mod(both[1], parts), both[0], both[1]), unfinished)
+                yield _flagged(packed(np.mod(both[1], parts), both[0], both[1]), False)
+            if unfinished:
+                group, cell = np.concatenate(unfinished, axis=1)
+                yield _flagged(packed(hash_part(mixed(group.astype(np.uint64)), parts), group, cell), True)
 
-        cells_now = together(cell_groups, columns.mapInArrow(lambda b: gathered(node_rows(b)), PACKED), expanded, PACKED)
+        cells_now = together(open_cells, columns.mapInArrow(lambda b: gathered(node_rows(b)), PACKED), expanded, PACKED)
         tried = written(met(cells_now, pairs, PACKED + ", more boolean"), "pairs")
         if tried.isEmpty():
             break
-        more = not tried.where("more").isEmpty()
-        asked = together(known_sets, tried.drop("more"), lambda a, b: _sketches_sent(a, b, parts), PACKED)
+        open_cells = tried.where("more").drop("more")
+        more = not open_cells.isEmpty()
+        asked = together(known_sets, tried.where("not more").drop("more"), lambda a, b: _sketches_sent(a, b, parts), PACKED)
         likely = together(known_sets, asked, lambda a, b: _likely(a, b, parts, percent), PACKED)
         moved = with_texts(texts, likely, lambda t, p: _sent(t, p, parts), PACKED)
         new = written(with_texts(texts, moved, lambda t, p: _verified(t, p, n, percent), "u long, v long"), "new-links")
