@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import Block, blocks, narrowed, partitions
+from tessera.llm.blocks import Block, blocks, mixed, narrowed, partitions
 
 PACKED = "part int, payload binary"
 
@@ -37,8 +37,8 @@ def parts_of(df: DataFrame) -> int:
 
 
 def hash_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """By the upper bits of a 64-bit hash."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """By the upper bits of 64-bit hashes, mixed once more: anchors are smallest hashes, whose own upper bits are all low."""
+    return ((mixed(keys) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def packed(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
