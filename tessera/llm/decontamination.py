@@ -1,13 +1,16 @@
 """Benchmark passages in documents, verbatim or paraphrased (operator 2).
 
 Method: latent semantic retrieval. Words are lower-cased and freed of punctuation; document frequencies (hashed into
-SLOTS) come from all documents. A passage is WINDOW words, every STRIDE words. Passages with enough TF-IDF mass on the
-benchmark's vocabulary are kept with the words around them (`regions`, written once); the others can't be near any item,
-since the cosine is at most the root of that share. Over all kept passages and the items a distributed randomised SVD finds
-the latent space: each task adds up its share of A'(A X), of vocabulary x rank whatever the number of passages (the rank is the number of items and OVER more; the items'
-share weighs as much as all passages', or the frequent words of the corpus would fill the space). In that
-space each passage meets the items; pairs above COSINE are checked by their longest common subsequence, weighted by idf.
-Verbatim ones (VERBATIM) count at once, paraphrases (PARAPHRASE) only if the item's answer, its last quarter, is there too.
+SLOTS) come from all documents. A passage is WINDOW words, every STRIDE words. No passage is dropped before it is compared:
+each meets every item twice, and a cosine of COSINE in either space makes a candidate. The first is the cosine of TF-IDF
+vectors over the benchmark's vocabulary, by postings; words outside it don't count, so new words put in for others and the
+words around a paraphrase don't lower it. The second is the cosine in the latent space of a distributed randomised SVD over
+the items and the passages near one in the first: each task adds up its share of A'(A X), of vocabulary x rank whatever the
+number of passages (the rank is the number of items and OVER more; the items' share weighs as much as all passages', or the
+frequent words of the corpus would fill the space). Candidates are checked by their longest common subsequence with the
+words around the passage (as many as the item has, REACH at least), weighted by idf, unless the words that stand there
+can't suffice in any order. Verbatim ones (VERBATIM) count at once, paraphrases (PARAPHRASE) only if the item's answer, its
+last quarter, is there too.
 
 The items are held by every task, ITEM_BLOCK of them at a time; larger benchmarks are searched block by block.
 
@@ -19,23 +22,26 @@ are searched and reported under null; empty tables give no rows; extra columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, blocks, narrowed, words, written
+from tessera.llm.blocks import LOWER, Block, blocks, narrowed, words
 from tessera.llm.lsa import range_finder
 from tessera.llm.packed import PACKED, loosened, squeezed
 
-WINDOW, STRIDE, SLOTS, OVER, ITEM_BLOCK = 16, 8, 1 << 18, 64, 512
+WINDOW, STRIDE, REACH, SLOTS, OVER, ITEM_BLOCK = 16, 8, 64, 1 << 18, 64, 512
 
-#: Least share of a passage's TF-IDF mass on the vocabulary, least cosine of a candidate, least weighted common
-#: subsequence of a verbatim and of a paraphrased item, and of a paraphrase's answer.
-SHARE, COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.45, 0.3, 0.85, 0.55, 0.5
+#: Least cosine of a candidate, least weighted common subsequence of a verbatim and of a paraphrased item, and of a
+#: paraphrase's answer.
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.3, 0.85, 0.55, 0.5
+
+#: Cells (passages x items) that a task fills at a time.
+CELLS = 1 << 20
 
-_REGION = "doc_id long, words binary"
 _MATCH = "doc_id long, item_id long, cosine double, common double, answer double"
 
 
@@ -85,8 +91,40 @@ def idf_of(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + out)).astype(np.float32) + np.float32(0.05)
 
 
+class Terms(NamedTuple):
+    """TF-IDF terms of passages within the vocabulary, by passage: `word` is a place in the vocabulary."""
+
+    row: np.ndarray
+    word: np.ndarray
+    weight: np.ndarray
+    inside: np.ndarray  # each passage's length over the vocabulary
+    whole: np.ndarray  # and over all words
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """A x, for A the passages as rows."""
+        out = np.zeros((len(self.inside), x.shape[1]), np.float32)
+        if len(self.row):
+            head = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1]))
+            out[self.row[head]] = np.add.reduceat(x[self.word] * self.weight[:, None], head)
+        return out
+
+    def onto(self, y: np.ndarray, out: np.ndarray) -> None:
+        """Adds A'y to out."""
+        if len(self.row):
+            order = np.argsort(self.word, kind="stable")
+            word = self.word[order]
+            head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            out[word[head]] += np.add.reduceat(y[self.row[order]] * self.weight[order, None], head)
+
+    def of(self, rows: np.ndarray) -> Terms:
+        """The passages with a True in rows."""
+        own, place = rows[self.row], np.cumsum(rows) - 1
+        return Terms(place[self.row[own]], self.word[own], self.weight[own], self.inside[rows], self.whole[rows])
+
+
 class Items:
-    """Word hashes of some items, their vocabulary (sorted), and their TF-IDF vectors over it."""
+    """Word hashes of some items, their vocabulary (sorted), their TF-IDF vectors over it, and postings of what passages are
+    compared with."""
 
     def __init__(self, ids: list[int], texts: list[str], idf: np.ndarray) -> None:
         raw = [x.encode("utf-8") for x in texts]
@@ -94,35 +132,55 @@ class Items:
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.ids, self.idf = ids, idf
         self.vocabulary = np.unique(w.hash)
-        self.longest = max((len(x) for x in self.words), default=0)
-        self.rows = np.stack([self.vector(x[None, :])[0] for x in self.words]) if texts else np.zeros((0, 0), np.float32)
-        self.latent = self.rows
+        self.places = [np.searchsorted(self.vocabulary, x) for x in self.words]
+        self.weights = [idf[slot(x)].astype(np.float64) for x in self.words]
+        n = np.array([len(x) for x in self.words])
+        whole = self.terms(w.hash, w.first[:-1], w.first[1:])
+        self.rows = whole.times(np.eye(len(self.vocabulary), dtype=np.float32)) / whole.whole[:, None]
+        self.owner, a, b = np.arange(len(n)), w.first[:-1], w.first[1:]
+        keys = self.terms(w.hash, a, b)
+        order = np.argsort(keys.word, kind="stable")
+        self.post_key, self.post_weight = keys.row[order], (keys.weight / keys.inside[keys.row])[order]
+        self.post_first = np.append(0, np.cumsum(np.bincount(keys.word, minlength=len(self.vocabulary))))
 
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return self.vocabulary[at] == hashes, at
 
-    def near(self, passages: np.ndarray) -> np.ndarray:
-        """The passages with enough mass on the vocabulary."""
-        mass = self.idf[slot(passages)].astype(np.float64) ** 2
-        return passages[np.where(self.known(passages)[0], mass, 0).sum(1) >= SHARE * mass.sum(1)]
-
-    def vector(self, passages: np.ndarray) -> np.ndarray:
-        """TF-IDF vectors over the vocabulary of passages (equally long rows of word hashes), divided by the length that
-        they have over all words."""
-        hit, at = self.known(passages)
-        weight = self.idf[slot(passages)]
-        row = np.repeat(np.arange(len(passages)), passages.shape[1])
-        size = len(passages) * len(self.vocabulary)
-        out = np.bincount((row * len(self.vocabulary) + at.ravel())[hit.ravel()], weight.ravel()[hit.ravel()], size).reshape(len(passages), -1)
-        other = np.where(hit, 0, weight * weight).sum(1)
-        return (out / np.sqrt((out * out).sum(1) + other + 1e-12)[:, None]).astype(np.float32)
+    def terms(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> Terms:
+        """Of the passages hashes[a:b]."""
+        return self.cut(*self.known(hashes), self.idf[slot(hashes)].astype(np.float64), a, b)
+
+    def cut(self, hit: np.ndarray, at: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -> Terms:
+        """Of the passages a:b of words whether and where they stand in the vocabulary, and of what weight."""
+        row = np.repeat(np.arange(len(a)), b - a)
+        word = np.arange(len(row)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+        own = hit[word]
+        other = np.bincount(row[~own], weight[word[~own]] ** 2, len(a))
+        key, back = np.unique(row[own] * len(self.vocabulary) + at[word[own]], return_inverse=True)
+        total = np.bincount(back, weight[word[own]], len(key))
+        row, word = key // len(self.vocabulary), key % len(self.vocabulary)
+        inside = np.bincount(row, total * total, len(a))
+        return Terms(row, word, total.astype(np.float32), np.sqrt(inside + 1e-12), np.sqrt(inside + other + 1e-12))
+
+    def cosines(self, x: Terms) -> np.ndarray:
+        """Passages x keys, over the vocabulary."""
+        n = self.post_first[x.word + 1] - self.post_first[x.word]
+        term = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(term)) + np.repeat(self.post_first[x.word] - (np.cumsum(n) - n), n)
+        cell = x.row[term] * len(self.owner) + self.post_key[at]
+        out = np.bincount(cell, x.weight[term] * self.post_weight[at], len(x.inside) * len(self.owner)).reshape(-1, len(self.owner))
+        return out / x.inside[:, None]
+
+    def enough(self, item: int, present: np.ndarray) -> bool:
+        """Whether the words that stand in a region (by their place in the vocabulary) can make up a paraphrase."""
+        return self.weights[item][present[self.places[item]]].sum() >= PARAPHRASE * self.weights[item].sum() - 1e-9
 
     def common(self, item: int, region: np.ndarray) -> tuple[float, float]:
         """The longest common subsequence of item and region, weighted by idf, as a share of the item; and the same of the
         item's last quarter."""
         own = self.words[item]
-        weight = self.idf[slot(own)].astype(np.float64)
+        weight = self.weights[item]
         return _common(own, weight, region), _common(own[-max(1, len(own) // 4) :], weight[-max(1, len(own) // 4) :], region)
 
 
@@ -134,86 +192,64 @@ def _common(own: np.ndarray, weight: np.ndarray, region: np.ndarray) -> float:
     return float(best[-1] / weight.sum())
 
 
-def starts_in(n: int) -> np.ndarray:
-    """Where passages begin among n words: every STRIDE words, and one that ends with the last word."""
-    return np.unique(np.append(np.arange(0, max(1, n - WINDOW + 1), STRIDE), max(0, n - WINDOW)))
+def starts_in(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last word of the passages of rows first[i]:first[i + 1]: every STRIDE words, and one that ends with the
+    last word."""
+    count = np.diff(first)
+    n = np.where(count > 0, np.maximum(0, -(-(count - WINDOW) // STRIDE)) + 1, 0)
+    row = np.repeat(np.arange(len(count)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    a = first[row] + np.minimum(nth * STRIDE, np.maximum(0, count[row] - WINDOW))
+    return row, a, np.minimum(a + WINDOW, first[row + 1])
 
 
-def passages_of(region: np.ndarray) -> np.ndarray:
-    n = min(WINDOW, len(region))
-    return region[starts_in(len(region))[:, None] + np.arange(n)]
+class Passages(NamedTuple):
+    """Some passages of a block: their terms, rows and words, and their cosines with the items' keys."""
 
+    terms: Terms
+    row: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    cosine: np.ndarray
 
-def regions(docs: DataFrame, items: Items) -> DataFrame:
-    """Stretches of words around passages whose mass on the vocabulary is at least SHARE, as word hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for block in blocks(batches):
-            w = words(plain(block.data), block.bounds)
-            if not len(w.hash):
-                continue
-            mass = own.idf[slot(w.hash)].astype(np.float64) ** 2
-            total = np.append(0, np.cumsum(mass))
-            inside = np.append(0, np.cumsum(np.where(own.known(w.hash)[0], mass, 0)))
-            count = np.diff(w.first)
-            # a passage every STRIDE words of its row, and the row's last
-            n_regular = np.maximum(0, (count - WINDOW) // STRIDE + 1)
-            row = np.concatenate([np.repeat(np.arange(len(count)), n_regular), np.flatnonzero(count)])
-            nth = np.arange(n_regular.sum()) - np.repeat(np.cumsum(n_regular) - n_regular, n_regular)
-            start = np.concatenate([nth * STRIDE, np.maximum(0, count[count > 0] - WINDOW)])
-            a = w.first[row] + start
-            b = np.minimum(a + WINDOW, w.first[row + 1])
-            kept = (inside[b] - inside[a]) >= SHARE * (total[b] - total[a])
-            row, a, b = row[kept], a[kept], b[kept]
-            low, high = np.maximum(w.first[row], a - own.longest), np.minimum(w.first[row + 1], b + own.longest)
-            order = np.lexsort((low, row))
-            row, low, high = row[order], low[order], high[order]
-            reach = np.maximum.accumulate(high) if len(high) else high
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (low[1:] > reach[:-1])
-            head = np.flatnonzero(new)
-            if len(head):
-                ends = reach[np.append(head[1:], len(row)) - 1]
-                payload = [w.hash[x:y].tobytes() for x, y in zip(low[head], ends, strict=True)]
-                ids = block.column("doc_id").take(pa.array(row[head]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(payload, pa.binary())], ["doc_id", "words"])
-
-    return narrowed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text").mapInArrow(run, _REGION)
-
-
-def _chunks(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """TF-IDF vectors of the passages of a batch's regions, some at a time, and each one's place in the batch."""
-    rows, owner, n = [], [], 0
-    for i, x in enumerate(batch.column(1).to_pylist()):
-        own = items.near(passages_of(np.frombuffer(x, np.uint64)))
-        if not len(own):
-            continue
-        rows.append(items.vector(own))
-        owner += [i] * len(own)
-        n += len(own)
-        if n >= 512:
-            yield np.concatenate(rows), np.array(owner)
-            rows, owner, n = [], [], 0
-    if rows:
-        yield np.concatenate(rows), np.array(owner)
-
-
-def latent_space(found: DataFrame, items: Items) -> np.ndarray:
-    """An orthonormal basis (vocabulary x rank) of the range of A'(A X), for random X and A the passages of all regions
-    and the items."""
+def _passages(block: Block, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[Passages]]]:
+    """The word hashes of a block, where its rows begin, and its passages, some at a time."""
+    w = words(plain(block.data), block.bounds)
+    if not len(w.hash):
+        return
+    hit, at = items.known(w.hash)
+    weight = items.idf[slot(w.hash)].astype(np.float64)
+    row, a, b = starts_in(w.first)
+    step = max(16, CELLS // len(items.owner))
+
+    def run() -> Iterator[Passages]:
+        for i in range(0, len(row), step):
+            own = slice(i, i + step)
+            terms = items.cut(hit, at, weight, a[own], b[own])
+            yield Passages(terms, row[own], a[own], b[own], items.cosines(terms))
+
+    yield w.hash, w.first, run()
+
+
+def latent_space(docs: DataFrame, items: Items) -> np.ndarray:
+    """An orthonormal basis (vocabulary x rank) of the range of A'(A X), for random X and A the items and the passages of
+    all documents with a cosine of COSINE to one."""
     size = len(items.vocabulary)
     rank = min(len(items.ids) + OVER, size)
     pieces = min(16, size)
-    sent = found.sparkSession.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, x, out = sent.value, range_finder(size, rank), None
-        for batch in batches:
-            for a, _ in _chunks(batch, own):
-                out = a.T @ (a @ x) if out is None else out + a.T @ (a @ x)
-        if out is not None:
+        own, x = sent.value, range_finder(size, rank)
+        out = np.zeros((size, rank), np.float32)
+        for block in blocks(batches):
+            for _, _, passages in _passages(block, own):
+                for p in passages:
+                    terms = p.terms.of((p.cosine >= COSINE).any(1))
+                    terms = terms._replace(weight=terms.weight / terms.whole[terms.row].astype(np.float32))
+                    terms.onto(terms.times(x), out)
+        if out.any():
             payload = [p.astype("<f4").tobytes() for p in np.array_split(out, pieces)]
             yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
 
@@ -221,7 +257,7 @@ def latent_space(found: DataFrame, items: Items) -> np.ndarray:
         total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in own["payload"].to_pylist())
         return pa.table({"part": own["part"].slice(0, 1), "payload": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    sums = dict(found.mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, PACKED).collect())
+    sums = dict(narrowed(docs, "text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, PACKED).collect())
     x = range_finder(size, rank)
     out = items.rows.T @ (items.rows @ x)
     if sums:
@@ -231,31 +267,55 @@ def latent_space(found: DataFrame, items: Items) -> np.ndarray:
 
 
 def _matches(docs: DataFrame, items: Items) -> DataFrame:
-    found = written(regions(docs, items), "regions")
-    basis = latent_space(found, items)
-    items.latent = items.rows @ basis
-    sent = docs.sparkSession.sparkContext.broadcast((items, basis))
+    basis = latent_space(docs, items)
+    latent = items.rows @ basis
+    latent /= np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None]
+    sent = docs.sparkSession.sparkContext.broadcast((items, np.ascontiguousarray(basis @ latent.T)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, space = sent.value
-        length = np.maximum(np.sqrt((own.latent**2).sum(1)), 1e-12)
-        for batch in batches:
-            ids, raw, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for a, owner in _chunks(batch, own):
-                cosine = (a @ space) @ (own.latent / length[:, None]).T
-                at, item = np.nonzero(cosine >= COSINE)
-                best: dict[tuple[int, int], float] = {}
-                for i, j, c in zip(owner[at].tolist(), item.tolist(), cosine[at, item].tolist(), strict=True):
-                    best[i, j] = max(best.get((i, j), 0.0), c)
-                for (i, j), c in best.items():
-                    common, answer = own.common(j, np.frombuffer(raw[i], np.uint64))
-                    if common >= VERBATIM or (common >= PARAPHRASE and answer >= ANSWER):
-                        out.append((ids[i], own.ids[j], c, common, answer))
+        lengths = np.array([len(x) for x in own.words])
+        present = np.zeros(len(own.vocabulary), bool)
+        for block in blocks(batches):
+            ids, out = block.column("doc_id").to_pylist(), []
+            for hashes, first, passages in _passages(block, own):
+                hit, place = own.known(hashes)
+                found: list[np.ndarray] = []
+                for p in passages:
+                    whole = p.terms.times(space) / p.terms.whole[:, None]
+                    at, key = np.nonzero(p.cosine >= COSINE)
+                    more, item = np.nonzero(whole >= COSINE)
+                    at, item = np.append(at, more), np.append(own.owner[key], item)
+                    reach = np.maximum(lengths[item], REACH)
+                    low, high = np.maximum(first[p.row[at]], p.a[at] - reach), np.minimum(first[p.row[at] + 1], p.b[at] + reach)
+                    found.append(np.stack([p.row[at], item, low, high, whole[at, item]]))
+                for i, j, low, high, c in _merged(np.concatenate(found, 1)):
+                    words_in = place[low:high][hit[low:high]]
+                    present[words_in] = True
+                    if own.enough(j, present):
+                        common, answer = own.common(j, hashes[low:high])
+                        if common >= VERBATIM or (common >= PARAPHRASE and answer >= ANSWER):
+                            out.append((ids[i], own.ids[j], c, common, answer))
+                    present[words_in] = False
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "cosine", "common", "answer"])
 
-    return found.mapInArrow(run, _MATCH)
+    return narrowed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text").mapInArrow(run, _MATCH)
+
+
+def _merged(x: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    """Row, item, first and last word and best cosine, with the overlapping regions of a row and item as one."""
+    x = x[:, np.lexsort((x[2], x[1], x[0]))]
+    if not x.shape[1]:
+        return
+    group = np.append(True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1]))
+    nth = np.cumsum(group)
+    far = x[3].max() + 1
+    reach = np.maximum.accumulate(x[3] + nth * far) - nth * far
+    head = np.flatnonzero(np.append(True, group[1:] | (x[2, 1:] > reach[:-1])))
+    high, cosine = np.maximum.reduceat(x[3], head), np.maximum.reduceat(x[4], head)
+    yield from zip(x[0, head].astype(int).tolist(), x[1, head].astype(int).tolist(), x[2, head].astype(int).tolist(), high.astype(int).tolist(), cosine.tolist(), strict=True)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -164,3 +165,52 @@ def test_licence_notices(spark):
     assert licences.notices(X.empty(spark), classifier).collect() == []
     assert all(any(c in t.lower() for c in licences.CUES) for v in licences.TEMPLATES.values() for t in v)
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def brute_common(item, text, idf):
+    """The longest common subsequence of item and text, weighted, as a share of the item."""
+    best = [0.0] * (len(text) + 1)
+    for x in item:
+        last = 0.0
+        for j, y in enumerate(text):
+            last, best[j + 1] = best[j + 1], max(best[j + 1], best[j], last + idf(x) if x == y else 0.0)
+    return best[-1] / sum(map(idf, item))
+
+
+def weights_of(docs):
+    """The operator's idf of a word."""
+    idf = decontamination.idf_of(docs)
+
+    def weight(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return float(idf[decontamination.slot(decontamination.words(raw, np.array([0, len(raw)])).hash)][0])
+
+    return cache(weight)
+
+
+def fresh(prefix, n):
+    return [f"{prefix}x{i}" for i in range(n)]
+
+
+def test_paraphrases_with_fresh_words_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    common = X.words(50, 300).replace("é", "e").split(" ")
+    items = [(i, [f"i{i}w{k}" if k % 2 else str(rng.choice(common)) for k in range((20, 30, 44, 59)[i % 4])]) for i in range(40)]
+    rows, pairs = [(10_000 + i, " ".join(rng.choice(common, 150))) for i in range(60)], []
+    for i, own in items:
+        for share in (0.55, 0.6, 0.65, 0.7):
+            doc = 4 * i + len(pairs) % 4
+            kept = set(rng.choice(len(own), round(share * len(own)), replace=False).tolist())
+            said = fresh(f"a{doc}", int(rng.integers(30, 60))) + [x if k in kept else f"d{doc}s{k}" for k, x in enumerate(own)] + fresh(f"b{doc}", 40)
+            rows.append((doc, " ".join(said)))
+            pairs.append((doc, i, own, said))
+    docs = X.documents(spark, rows)
+    idf = weights_of(docs)
+    expected = set()
+    for doc, i, own, said in pairs:
+        whole, answer = brute_common(own, said, idf), brute_common(own[-(len(own) // 4) :], said, idf)
+        if whole >= 0.55 and answer >= 0.5:
+            expected.add((doc, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert len(expected) > 60 and found == expected
