@@ -1,10 +1,10 @@
 """Benchmark passages in documents, verbatim or paraphrased (operator 2).
 
 Method: latent semantic retrieval. Words are lower-cased and freed of punctuation; document frequencies (hashed into
-SLOTS) come from all documents. A passage is WINDOW words, every STRIDE words. No passage is dropped before it is compared:
-each meets every item twice, and a cosine of COSINE in either space makes a candidate. The first is the cosine of TF-IDF
-vectors over the benchmark's vocabulary, by postings; words outside it don't count, so new words put in for others and the
-words around a paraphrase don't lower it. The second is the cosine in the latent space of a distributed randomised SVD over
+SLOTS) come from all documents. A passage is WINDOW words, every STRIDE words, of documents and of items alike. No passage is dropped
+before it is compared: each meets every item twice, and a cosine of COSINE in either space makes a candidate. The first is
+the best cosine with a passage of the item, of TF-IDF vectors over the benchmark's vocabulary, by postings; words outside it
+don't count, so new words put in for others and the words around a paraphrase don't lower it, nor does the item's length. The second is the cosine with the whole item in the latent space of a distributed randomised SVD over
 the items and the passages near one in the first: each task adds up its share of A'(A X), of vocabulary x rank whatever the
 number of passages (the rank is the number of items and OVER more; the items' share weighs as much as all passages', or the
 frequent words of the corpus would fill the space). Candidates are checked by their longest common subsequence with the
@@ -123,8 +123,8 @@ class Terms(NamedTuple):
 
 
 class Items:
-    """Word hashes of some items, their vocabulary (sorted), their TF-IDF vectors over it, and postings of what passages are
-    compared with."""
+    """Word hashes of some items, their vocabulary (sorted), their TF-IDF vectors over it, and postings of
+    their passages (owner: the item of each)."""
 
     def __init__(self, ids: list[int], texts: list[str], idf: np.ndarray) -> None:
         raw = [x.encode("utf-8") for x in texts]
@@ -134,10 +134,9 @@ class Items:
         self.vocabulary = np.unique(w.hash)
         self.places = [np.searchsorted(self.vocabulary, x) for x in self.words]
         self.weights = [idf[slot(x)].astype(np.float64) for x in self.words]
-        n = np.array([len(x) for x in self.words])
         whole = self.terms(w.hash, w.first[:-1], w.first[1:])
         self.rows = whole.times(np.eye(len(self.vocabulary), dtype=np.float32)) / whole.whole[:, None]
-        self.owner, a, b = np.arange(len(n)), w.first[:-1], w.first[1:]
+        self.owner, a, b = starts_in(w.first)
         keys = self.terms(w.hash, a, b)
         order = np.argsort(keys.word, kind="stable")
         self.post_key, self.post_weight = keys.row[order], (keys.weight / keys.inside[keys.row])[order]
@@ -164,7 +163,7 @@ class Items:
         return Terms(row, word, total.astype(np.float32), np.sqrt(inside + 1e-12), np.sqrt(inside + other + 1e-12))
 
     def cosines(self, x: Terms) -> np.ndarray:
-        """Passages x keys, over the vocabulary."""
+        """With the passages of the items, over the vocabulary."""
         n = self.post_first[x.word + 1] - self.post_first[x.word]
         term = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(term)) + np.repeat(self.post_first[x.word] - (np.cumsum(n) - n), n)
@@ -204,7 +203,7 @@ def starts_in(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Passages(NamedTuple):
-    """Some passages of a block: their terms, rows and words, and their cosines with the items' keys."""
+    """Some passages of a block: their terms, rows and words, and their cosines with the items' passages."""
 
     terms: Terms
     row: np.ndarray

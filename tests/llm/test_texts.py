@@ -214,3 +214,16 @@ def test_paraphrases_with_fresh_words_equal_brute_force(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
     assert len(expected) > 60 and found == expected
+
+
+def test_long_items_are_found_by_their_passages(spark):
+    items = [(i, [f"i{i}w{k}" for k in range(n)]) for i, n in enumerate((59, 200, 300, 500, 800))]
+    rows = [(1000 + i, X.words(6000 + i, 120)) for i in range(40)]
+    for i, own in items:
+        rows.append((i, " ".join(fresh(f"a{i}", 37) + own + fresh(f"b{i}", 50))))
+        rows.append((100 + i, " ".join(fresh(f"c{i}", 21) + [x if k % 5 in (0, 2, 4) else f"d{i}s{k}" for k, x in enumerate(own)] + fresh(f"e{i}", 50))))
+        rows.append((200 + i, " ".join(fresh(f"f{i}", 21) + own[: len(own) // 3] + fresh(f"g{i}", 50))))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.common for r in decontamination.contaminated(X.documents(spark, rows), bench).collect()}
+    assert set(found) == {(k + i, i) for i, _ in items for k in (0, 100)}
+    assert all(found[i, i] == 1 and 0.55 < found[100 + i, i] < 0.65 for i, _ in items)
