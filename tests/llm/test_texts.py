@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import textwrap
 from functools import cache
 from zlib import crc32
 
@@ -227,3 +228,20 @@ def test_long_items_are_found_by_their_passages(spark):
     found = {(r.doc_id, r.item_id): r.common for r in decontamination.contaminated(X.documents(spark, rows), bench).collect()}
     assert set(found) == {(k + i, i) for i, _ in items for k in (0, 100)}
     assert all(found[i, i] == 1 and 0.55 < found[100 + i, i] < 0.65 for i, _ in items)
+
+
+def test_wrapped_licence_notices(spark):
+    classifier = licences.fit(["the committee met and the minutes were read", "der Vertrag ist nicht gültig"])
+    bodies = [(k, v[-1]) for k, v in licences.TEMPLATES.items() if k in ("MIT", "BSD", "GPL-3.0", "ISC")]
+    rows, expected = [], []
+    for width in (30, 50, 72):
+        for k, body in bodies:
+            i, lines = len(rows), textwrap.wrap(body, width)
+            rows.append((i, "\n".join(["first line", "", *[("# " if i % 2 else "") + x for x in lines], "", "the end"])))
+            expected.append((i, 2, k))
+    rows.append((50, "\n\n".join(textwrap.wrap(bodies[0][1], 50))))
+    rows.append((51, "intro\n" + "\n".join(textwrap.wrap(bodies[0][1], 60)) + "\nReleased under the BSD License."))
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.notices(X.documents(spark, rows), classifier).collect())
+    assert [x for x in got if x[0] < 50] == sorted(expected)
+    assert {x[2] for x in got if x[0] == 50} == {"unknown"}
+    assert [x for x in got if x[0] == 51] == [(51, 1, "MIT"), (51, 1 + len(textwrap.wrap(bodies[0][1], 60)), "BSD")]
