@@ -34,18 +34,20 @@ def full_date(text: Column) -> Column:
     return F.try_to_date(F.when(text.rlike(iso), part(iso, 1, 2, 3)).when(text.rlike(other), part(other, 3, 2, 1)), "yyyy-MM-dd")
 
 
-def context_date(text: Column) -> Column:
-    """The one date that a text gives for its meeting; null if there is none or several."""
-    found = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(CONTEXT_DATE), F.lit(1)), full_date)))
-    return F.when(F.size(found) == 1, F.element_at(found, 1))
+def context_dates(text: Column) -> Column:
+    """The dates that a text gives for its meeting."""
+    return F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(CONTEXT_DATE), F.lit(1)), full_date)))
 
 
 def dat05_context_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations with a sentence on their date, every third with a second one."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    """The one date that a conversation gives for its meeting, null if there is none or several, over all its texts and a
+    sentence on the date put in, in every third conversation with a second one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "text")
     day = F.date_add(F.lit(MEETING_DATE).cast("date"), (F.col("conv_id") % 50).cast("int"))
     text = F.concat(F.lit("Today is "), day.cast("string"), F.lit(". "), F.when(F.col("conv_id") % 3 == 0, "Meeting on 5/6/2024.").otherwise("Meeting is long."))
-    return rows.select("conv_id", context_date(text).cast("string").alias("meeting_date"))
+    said = rows.unionAll(rows.select("conv_id").distinct().select("conv_id", text.alias("text")))
+    found = said.groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_set(context_dates(F.col("text"))))).alias("found"))
+    return found.select("conv_id", F.when(F.size("found") == 1, F.element_at("found", 1)).cast("string").alias("meeting_date"))
 
 
 DAT05 = f"""

@@ -103,3 +103,12 @@ def test_ledger_fold(spark):
     got = ledger.folded(spark.createDataFrame(rows, EVENT)).orderBy("task_id").collect()
     assert [(r.task_name, r.assignee, r.deadline_mention_id, r.status, r.n_events) for r in got] == [("Viết báo cáo", "Bình; Chi", "D1", "CANCELLED", 4), ("nhắc tới", "", "", "PROVISIONAL", 1)]
     assert ledger.visible(ledger.folded(spark.createDataFrame(rows, EVENT))).count() == 0
+
+
+def test_context_dates_are_read_from_conversations(spark, tmp_path):
+    from tessera.plans.evidence import dat05_context_dates
+
+    rows = [(1, 0, "hello"), (1, 1, None), (2, 0, "hello"), (2, 1, "so the meeting date is 2023-07-09"), (4, 0, "today is 2024-02-05, and on 2023-01-01 we met")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: r.meeting_date for r in dat05_context_dates(spark, str(tmp_path)).collect()}
+    assert found == {1: "2024-02-02", 2: None, 4: "2024-02-05"}
