@@ -55,15 +55,25 @@ SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE CAST(DATE '{MEETING_DAT
 """
 
 
-def cue12_meeting_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scopes(rows: DataFrame) -> DataFrame:
     """Whether a meeting closes without tasks, and the widest recap in it, on clauses with a closing sentence put in."""
     said = F.when(F.col("order_index") % 17 == 5, "Final recap: no new tasks today").when(F.col("order_index") % 11 == 3, "Quick recap").otherwise(F.col("text_raw"))
-    rows = clauses(spark, sf_dir).where("meeting_id % 2 = 0 or order_index < 4").withColumn("said", said)
+    rows = rows.withColumn("said", said)
     scope = F.when(F.col("said").rlike(RECAP_FINAL), 2).when(F.col("said").rlike(RECAP_ANY), 1).otherwise(0)
     found = rows.groupBy("meeting_id").agg(F.bool_or(F.col("said").rlike(CLOSURE)).alias("closes"), F.max(scope).alias("scope"))
     return found.select("meeting_id", "closes", F.element_at(F.array(*map(F.lit, ("NONE", "PARTIAL", "COMPLETE"))), F.col("scope") + 1).alias("scope"))
 
 
+def cue12_meeting_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`_scopes` of meetings of which every other one is cut short, as its SQL has it."""
+    return _scopes(clauses(spark, sf_dir).where("meeting_id % 2 = 0 or order_index < 4"))
+
+
+def cue12_whole_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`_scopes` of all clauses."""
+    return _scopes(clauses(spark, sf_dir))
+
+
 CUE12 = (
     "WITH "
     + CLAUSES_SQL
@@ -72,6 +82,14 @@ SELECT meeting_id, max(scope) = 2 AS closes, ['NONE', 'PARTIAL', 'COMPLETE'][max
 """
 )
 
+CUE12_WHOLE = (
+    "WITH "
+    + CLAUSES_SQL
+    + """, s AS (SELECT meeting_id, CASE WHEN order_index % 17 = 5 THEN 2 WHEN order_index % 11 = 3 THEN 1 ELSE 0 END AS scope FROM clauses)
+SELECT meeting_id, max(scope) = 2 AS closes, ['NONE', 'PARTIAL', 'COMPLETE'][max(scope) + 1] AS scope FROM s GROUP BY meeting_id
+"""
+)
+
 
 def ext15_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks that a clause names in quotes (0.92) or plainly (0.88), once per clause."""
@@ -203,7 +221,7 @@ SELECT CASE WHEN known IS NULL THEN 'APPENDED' WHEN known = payload THEN 'REPLAY
 """
 
 QUERIES = {
-    "dat05_context_dates": (dat05_context_dates, DAT05), "cue12_meeting_scopes": (cue12_meeting_scopes, CUE12), "ext15_references": (ext15_references, EXT15), "ext21_span_lattice": (ext21_span_lattice, EXT21),
+    "dat05_context_dates": (dat05_context_dates, DAT05), "cue12_meeting_scopes": (cue12_meeting_scopes, CUE12), "cue12_whole_meetings": (cue12_whole_meetings, CUE12_WHOLE), "ext15_references": (ext15_references, EXT15), "ext21_span_lattice": (ext21_span_lattice, EXT21),
     "led04_mutual_merges": (led04_mutual_merges, None), "out01_final_tasks": (out01_final_tasks, None), "ml05_group_folds": (ml05_group_folds, ML05), "set05_staged_union": (set05_staged_union, SET05),
     "snk01_traces": (snk01_traces, SNK01), "snk03_append_once": (snk03_append_once, SNK03),
 }
