@@ -6,6 +6,8 @@ two arrays with numpy, many documents at a time, instead of on one Python string
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,9 +31,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MUL = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 class Block(NamedTuple):
@@ -51,8 +51,8 @@ class Block(NamedTuple):
         return [x or "" for x in self.column(name).to_pylist()]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cuts batches into blocks of at most `most` bytes of text; null texts count as empty."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, rows: int = 1 << 20) -> Iterator[Block]:
+    """Cuts batches into blocks of at most `most` bytes of text and of `rows` rows; null texts count as empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         if not pa.types.is_large_string(column.type):
@@ -67,10 +67,29 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BL
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-            to = min(to, n)
+            to = min(to, n, at + rows)
             low, high = int(bounds[at]), int(bounds[to])
             yield Block(batch.slice(at, to - at), data[low:high], bounds[at : to + 1] - low)
             at = to
+    released()
+
+
+def released() -> None:
+    """Gives memory that is free back to the system: a task's Python process serves later tasks of other kinds too."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc() -> ctypes.CDLL | None:
+    try:
+        out = ctypes.CDLL("libc.so.6")
+        return out if hasattr(out, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
+_LIBC = _libc()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,39 +102,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, kind: str = "up") -> np.ndarray:
-    """The first n powers of the polynomial's base ("up") or of its inverse modulo 2**64 ("down")."""
-    if len(_powers[kind]) < n:
-        base = int(_MUL) if kind == "up" else pow(int(_MUL), -1, 1 << 64)
-        size = max(n, 2 * len(_powers[kind]))
-        out = np.full(size, np.uint64(base))
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[kind] = np.multiply.accumulate(out)
-    return _powers[kind][:n]
+def loads(data: np.ndarray, size: int = 8) -> np.ndarray:
+    """The `size` (8 at most) bytes from each position on as one number; zeros stand after the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    return out & _mask(size) if size < 8 else np.ascontiguousarray(out)
 
 
-#: A random 64-bit value for each byte (fixed seed), so that the polynomials below are of random terms.
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+def _mask(size: int) -> np.uint64:
+    return np.uint64((1 << (8 * size)) - 1)
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over 64-bit values; `spans` turns them into hashes of spans."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
-    return out
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end], the same wherever an equal span stands."""
-    return mixed((sums[end] - sums[start]) * powers(len(sums), "down")[start])
+def pair(a: np.ndarray, b: np.ndarray, seed: np.uint64 = _ODD) -> np.ndarray:
+    """A hash of two 64-bit values in their order."""
+    return mixed(mixed(a + seed) ^ b)
 
 
-def grams(sums: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each span of n values, by where it starts."""
-    if len(sums) <= n:
+def in_a_row(values: np.ndarray, n: int, step: int = 1, seed: np.uint64 = _ODD) -> np.ndarray:
+    """Hashes of n values that stand `step` apart, by where the first stands: by doubling, so that a hash of 2k values is that
+    of two hashes of k (hashes that are sums of powers would be equal for some words in another order)."""
+    if len(values) <= (n - 1) * step:
         return np.zeros(0, np.uint64)
-    return mixed((sums[n:] - sums[:-n]) * powers(len(sums), "down")[: len(sums) - n])
+    have, level, out, covered = 1, values, None, 0
+    rest = n
+    while rest:
+        if rest & 1:
+            ahead = level[covered * step :]
+            out = ahead if out is None else pair(out[: len(ahead)], ahead, seed)
+            covered += have
+        rest >>= 1
+        if rest:
+            level = pair(level[: -have * step], level[have * step :], seed)
+            have *= 2
+    return out[: len(values) - (n - 1) * step]
+
+
+def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n bytes in a row, by where they start (n up to 8, or a multiple of 8)."""
+    count = max(0, len(data) - n + 1)
+    if n <= 8:
+        return mixed(loads(data, n)[:count])
+    return in_a_row(mixed(loads(data)[: len(data) - 7]), n // 8, 8)[:count] if count else np.zeros(0, np.uint64)
+
+
+#: Bytes from which a piece is hashed by itself, as a whole.
+LONG = 64
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: 8 bytes after the other, each mixed into what was before."""
+    size = end - start
+    out = mixed(size.astype(np.uint64) + _ODD)
+    view = loads(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, own = start[live], size[live], out[live]
+    while len(live):
+        own = mixed(own ^ mixed(view[at] & _MASKS[np.minimum(left, 8)]))
+        out[live] = own
+        more = left > 8
+        live, at, left, own = live[more], at[more] + 8, left[more] - 8, own[more]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words(NamedTuple):
@@ -139,7 +190,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    return Words(start, end, row, first, spans(prefix_sums(BYTE_VALUES[data]), start, end))
+    return Words(start, end, row, first, byte_hashes(data, start, end))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,11 +198,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of this machine is set in local mode (tests);
+    on a cluster that would be one that other machines can't read, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -13,23 +13,23 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.blocks import blocks, mixed, narrowed, prefix_sums, spans
+from tessera.llm.blocks import blocks, byte_hashes, narrowed
 
-#: Pre-tokens whose ids a worker remembers (about 50 bytes each); it forgets all of them when there are more.
-MEMO = 2_000_000
+#: Bytes that the ids which a worker remembers may take; it forgets all of them when there are more.
+MEMO_BYTES = 24 << 20
 
 #: Bytes of pre-tokens from which numpy takes the queue's large buckets.
 MANY = 20_000
 
 #: Bytes of text whose pre-tokens are gathered before the queue runs (a longer document is taken whole).
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
 
@@ -109,8 +109,9 @@ class Memo:
         order = np.argsort(columns[0], kind="stable")
         return tuple(x[order] for x in columns)
 
-    def __len__(self) -> int:
-        return sum(len(x[0]) for x in self.tables)
+    def size(self) -> int:
+        """In bytes."""
+        return self.ids.nbytes + sum(x.nbytes for columns in self.tables for x in columns)
 
 
 class ByteBpe:
@@ -309,7 +310,8 @@ class ByteBpe:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         end = np.append(start[1:], len(points))
-        keys, first, which = np.unique(spans(prefix_sums(mixed(points + np.uint64(1))), start, end), return_index=True, return_inverse=True)
+        of_char = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        keys, first, which = np.unique(byte_hashes(data, of_char[start], of_char[end]), return_index=True, return_inverse=True)
         at, size = self.memo.find(keys)
         if len(new := np.flatnonzero(at < 0)):
             tokens = [text[a:b].encode("utf-8") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
@@ -344,7 +346,7 @@ class ByteBpe:
         return self.token_bytes[at].tobytes()
 
 
-@cache
+@lru_cache(maxsize=1)
 def tokenizer(path: str, pattern: str) -> ByteBpe:
     import public_tokenizers
 
@@ -360,7 +362,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
         for block in blocks(batches, most=TEXT_BYTES):
             rows: list[tuple] = []
             raw = block.data.tobytes()
-            if len(bpe.memo) > MEMO:
+            if bpe.memo.size() > MEMO_BYTES:
                 bpe.memo = Memo()
             all_ids, cuts = bpe.encode_rows(block.data, block.bounds)
             ids_of = []

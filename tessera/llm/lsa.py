@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tessera.llm.blocks import BYTE_VALUES, grams, prefix_sums
+from tessera.llm.blocks import byte_grams
 
 
 def gram_counts(data: np.ndarray, bounds: np.ndarray, n: int, slots: int) -> np.ndarray:
@@ -12,7 +12,7 @@ def gram_counts(data: np.ndarray, bounds: np.ndarray, n: int, slots: int) -> np.
     rows = len(bounds) - 1
     if len(data) < n:
         return np.zeros((rows, slots), np.float32)
-    slot = (grams(prefix_sums(BYTE_VALUES[data]), n) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+    slot = (byte_grams(data, n) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
     row = np.repeat(np.arange(rows), np.diff(bounds))[: len(slot)]
     within = np.arange(len(slot)) + n <= bounds[row + 1]
     return np.bincount(row[within] * slots + slot[within], minlength=rows * slots).reshape(rows, slots).astype(np.float32)

@@ -20,7 +20,7 @@ from tessera.llm.blocks import Block, blocks, mixed, narrowed, partitions
 PACKED = "part int, payload binary"
 
 #: Values that a task gathers before it packs them.
-GATHER = 1 << 21
+GATHER = 1 << 20
 
 
 def squeezed(data: bytes) -> bytes:
@@ -97,12 +97,50 @@ def _empty(schema: str) -> pa.Table:
     return pa.schema([(n, _ARROW[k]) for n, k in fields]).empty_table()
 
 
+#: Arrays that a task adds up at a time.
+FAN_IN = 64
+
+
+def tree_sum(df: DataFrame, dtype: str = "<i8") -> dict[int, np.ndarray]:
+    """Sums of compressed arrays (`part`, `payload`: a row per task and part) by part, in rounds: no task adds up more than
+    FAN_IN arrays, however many tasks there were."""
+
+    def add(own: pa.Table) -> pa.Table:
+        total = None
+        for x in own["payload"].to_pylist():
+            size = int.from_bytes(x[:8], "little")
+            values = np.frombuffer(loosened(x[8:], size), dtype)
+            total = values.copy() if total is None else total + values
+        head = own.slice(0, 1)
+        return pa.table({"part": head["part"].cast(pa.int32()), "place": head["place"].cast(pa.int32()), "payload": pa.array([array_payload(total)], pa.binary())})
+
+    tasks = max(1, df.rdd.getNumPartitions())
+    df = df.withColumn("place", F.spark_partition_id())
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        df = df.withColumn("place", F.floor(F.col("place") / FAN_IN).cast("int")).groupBy("part", "place").applyInArrow(add, "part int, place int, payload binary")
+        if tasks == 1:
+            break
+    return {r["part"]: np.frombuffer(loosened(bytes(r["payload"][8:]), int.from_bytes(r["payload"][:8], "little")), dtype) for r in df.collect()}
+
+
+def array_payload(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + squeezed(raw)
+
+
+def array_rows(pieces: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each piece of an array, for `tree_sum`."""
+    payload = [array_payload(x) for x in pieces]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
+
+
 def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
     """Rows of doc_id and text as compressed blocks by part of doc_id. Null texts count as empty; rows without doc_id
     are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, most=8 << 20):
+        for block in blocks(batches, most=4 << 20):
             ids = block.longs("doc_id")
             part = np.mod(ids, parts)
             order = np.argsort(part, kind="stable")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BYTE_VALUES, LOWER, SEPARATOR, blocks, mixed, narrowed, prefix_sums, spans, words
+from tessera.llm.blocks import LOWER, SEPARATOR, blocks, byte_grams, mixed, narrowed, words
 
 #: Labelled documents that a model is fitted on, at most.
 MOST_TOXIC, MOST_CLEAN = 1000, 1500
@@ -45,7 +45,6 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     bounds = bounds + np.arange(n_rows + 1)
     w = words(data[:-1], bounds)
     keys, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    sums = prefix_sums(BYTE_VALUES[data])
     start, size = w.start[one] - 1, w.end[one] - w.start[one] + 2
     owner, slot = [np.arange(len(keys))], [mixed(keys)]
     for n in SIZES:
@@ -53,7 +52,7 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         own = np.repeat(np.arange(len(keys)), count)
         at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(len(own))
         owner.append(own)
-        slot.append(spans(sums, at, at + n))
+        slot.append(byte_grams(data, n)[at])
     owner, slot = np.concatenate(owner), (np.concatenate(slot) >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     first = np.searchsorted(owner[order], np.arange(len(keys) + 1))
