@@ -1,15 +1,19 @@
 """Removal of word passages that stand in an earlier document (operator 9).
 
-Method: level-wise doubling. At the first level, half of the window, a document gives the hashes of its anchors: of the
-half-windows in each window the one with the smallest hash. Only windows around an anchor that another document has too
-are extended to the whole window and compared at that length. A window that repeats covers its words; longer repeats are
-unions of windows, so at that length the doubling ends and no candidate is left.
+Method: level-wise doubling. The lengths are 13, 25 and 50 words for a window of 50 (halves, rounded up, down to about
+LEAST). At the first level a window shows one of its passages of 13 words, that with the smallest hash; where another
+document shows the same one, the window is a candidate and is extended: at 25 words it shows again its passage with the
+smallest hash, and so on until the whole window is compared or no candidate is left. Equal windows show equal passages at
+every level, so none is missed. Longer repeats are unions of windows of the last level.
 
-Hashes are of 64 bits over 64-bit word hashes. Fingerprints are shuffled packed, by hash and then back by document.
+Hashes of passages are made of two hashes of half the length, level by level, from hashes of words. Those of whole windows
+have 128 bits, the others 64 (they only choose candidates). What a document shows is gathered where the texts are dealt by
+doc_id: a passage that stands in a third of all documents is sent once per packed block of texts, not once per document, and
+comes back once to each part.
 
 Edge cases: null and empty texts have no words; documents of fewer than `window` words lose nothing; rows without doc_id
-keep all their words and remove none elsewhere; rows of one doc_id with different texts are one document's in the sense
-that neither removes from the other; very long texts are windows like any others; an empty table gives an empty table.
+keep all their words and remove none elsewhere; rows of one doc_id, equal or not, are one document's: none removes from
+another; very long texts are windows like any others; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,37 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import grams, narrowed, prefix_sums, words
-from tessera.llm.packed import PACKED, gathered, hash_part, met, packed, packed_texts, parts_of, runs, unpacked, with_texts
+from tessera.llm.blocks import Words, in_a_row, words
+from tessera.llm.packed import PACKED, gathered, hash_part, met, packed, packed_texts, parts_of, runs, texts_of, unpacked, with_texts
 from tessera.llm.windows import smallest
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
+#: Words of the shortest passages, about.
+LEAST = 12
 
-def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (key, id), by key and then by id."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    return keys[new], ids[new]
+#: Of the second 64 bits of a window's hash.
+_TWIN = np.uint64(0xA0761D6478BD642F)
 
 
-def first_ids(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, id), and the smallest id of each one's key."""
-    keys, ids = distinct_pairs(keys, ids)
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    first = np.repeat(ids[heads], np.diff(np.append(heads, len(keys))))
-    return keys, ids, first
+def lengths(window: int) -> list[int]:
+    """Of the levels: window, its half (rounded up), and so on."""
+    out = [window]
+    while out[0] >= 2 * LEAST:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
-def window_hashes(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple:
-    """Words; starts of windows, their smallest half-window's hash and their own hash."""
-    w = words(data, bounds)
-    half = (window + 1) // 2
-    sums = prefix_sums(w.hash)
-    starts, least = smallest(grams(sums, half), w.row, half, window)
-    return w, starts, least, grams(sums, window)[starts] if len(starts) else least
+def shown(w: Words, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows start, and the smallest hash of a passage of `size` words in each."""
+    return smallest(in_a_row(w.hash, size), w.row, size, window)
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -63,88 +60,112 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def listed(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (id, key) pairs as arrays to search in: by id, then by key."""
-    order = np.lexsort((keys, ids))
-    return ids[order], keys[order]
+class Known:
+    """Keys (of 64 or 128 bits) that came back to a part, with the smallest doc_id of each."""
 
+    def __init__(self, keys: np.ndarray, twins: np.ndarray, first: np.ndarray) -> None:
+        order = np.lexsort((twins, keys))
+        self.keys, self.twins, self.first = keys[order], twins[order], first[order]
 
-def holds(of: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which (id, key) are listed."""
-    out = np.zeros(len(keys), bool)
-    known_ids, known = of
-    for i in np.unique(ids):
-        a, b = np.searchsorted(known_ids, [i, i + 1])
-        if a < b:
-            own = ids == i
-            at = np.minimum(np.searchsorted(known[a:b], keys[own]), b - a - 1)
-            out[own] = known[a:b][at] == keys[own]
-    return out
+    def find(self, keys: np.ndarray, twins: np.ndarray | None = None) -> np.ndarray:
+        """Each key's place, or -1."""
+        out = np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        open_ = np.flatnonzero(at < len(self.keys))
+        while len(open_):
+            open_ = open_[self.keys[at[open_]] == keys[open_]]
+            same = np.ones(len(open_), bool) if twins is None else self.twins[at[open_]] == twins[open_]
+            out[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1  # two keys with the same first half
+            open_ = open_[at[open_] < len(self.keys)]
+        return out
+
+
+def summed_up(keys: np.ndarray, twins: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct key with the smallest and the largest of its ids."""
+    order = np.lexsort((ids, twins, keys))
+    keys, twins, ids = keys[order], twins[order], ids[order]
+    head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (twins[1:] != twins[:-1])))
+    last = np.append(head[1:], len(keys)) - 1
+    return keys[head], twins[head], ids[head], ids[last]
+
+
+def sent(parts: int, part: int, keys: np.ndarray, twins: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A block's keys, by key: what `repeated` takes."""
+    keys, twins, low, high = summed_up(keys, twins, ids)
+    return hash_part(keys, parts), keys, twins, low, high - low, np.full(len(keys), part, np.int32)
 
 
-def repeated(df: DataFrame, parts: int, later_only: bool) -> DataFrame:
-    """Packed (hash, doc_id) by hash to packed (doc_id, hash) by document: those whose hash has another document, or
-    (later_only) one of a smaller doc_id."""
+def repeated(df: DataFrame, later_only: bool) -> DataFrame:
+    """Of packed keys by key: those of two documents, by the parts that sent them, with the smallest doc_id; with
+    later_only a part hears only of keys that one of its documents has after that."""
 
     def meet(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, ids, first = first_ids(*unpacked(payloads, np.uint64, np.int64))
+        keys, twins, low, more, part = unpacked(payloads, np.uint64, np.uint64, np.int64, np.int64, np.int32)
+        if not len(keys):
+            return
+        high = low + more
+        order = np.lexsort((twins, keys))
+        keys, twins, low, high, part = keys[order], twins[order], low[order], high[order], part[order]
+        head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (twins[1:] != twins[:-1])))
+        size = np.diff(np.append(head, len(keys)))
+        first = np.repeat(np.minimum.reduceat(low, head), size)
+        keep = np.repeat(np.maximum.reduceat(high, head), size) > first
         if later_only:
-            keep = ids > first
-        else:
-            same = np.zeros(len(keys), bool)
-            same[1:] = keys[1:] == keys[:-1]
-            keep = same.copy()
-            keep[:-1] |= same[1:]
+            keep &= high > first
         if keep.any():
-            yield packed(np.mod(ids[keep], parts), ids[keep], keys[keep])
+            yield packed(part[keep], keys[keep], twins[keep], first[keep])
 
     return met(df, meet, PACKED)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Per document: its words, how many of them a window that an earlier document has covers, and SHA-256 of the rest."""
-    parts = parts_of(docs)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for block, ids in runs(batches):
-            w, starts, least, _ = window_hashes(block.data, block.bounds, window)
-            if len(starts):
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(starts) > 1)])
-                keys, own = distinct_pairs(least[new], ids[w.row[starts[new]]])
-                yield hash_part(keys, parts), keys, own
+    parts, sizes = parts_of(docs), lengths(window)
 
-    def extended(texts: Iterator, payloads: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-        own_ids, keys = unpacked(payloads, np.int64, np.uint64)
-        if not len(keys):
+    def level(texts: Iterator, payloads: list[bytes] | None, nth: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """What windows show at a level; with payloads, only those whose passage of the level before came back."""
+        known = None if payloads is None else Known(*unpacked(payloads, np.uint64, np.uint64, np.int64))
+        if known is not None and not len(known.keys):
             return
-        known = listed(keys, own_ids)
         for ids, data, bounds in texts:
-            if np.isin(ids, known[0]).any():
-                w, starts, least, whole = window_hashes(data, bounds, window)
-                hit = holds(known, ids[w.row[starts]], least)
-                if hit.any():
-                    out, own = distinct_pairs(whole[hit], ids[w.row[starts[hit]]])
-                    yield hash_part(out, parts), out, own
+            w = words(data, bounds)
+            starts, keys = shown(w, sizes[nth if known is None else nth - 1], window)
+            if known is not None:
+                live = known.find(keys) >= 0
+                starts = starts[live]
+                if sizes[nth] < window:
+                    keys = shown(w, sizes[nth], window)[1][live]
+            if not len(starts):
+                continue
+            twins = np.zeros(len(starts), np.uint64)
+            if sizes[nth] == window:
+                keys, twins = in_a_row(w.hash, window)[starts], in_a_row(w.hash, window, seed=_TWIN)[starts]
+            yield sent(parts, int(np.mod(ids[0], parts)), keys, twins, ids[w.row[starts]])
 
     def digests(texts: Iterator, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        own_ids, keys = unpacked(payloads, np.int64, np.uint64)
-        known = listed(keys, own_ids)
+        known = Known(*unpacked(payloads, np.uint64, np.uint64, np.int64))
         for ids, data, bounds in texts:
-            w, starts, _, whole = window_hashes(data, bounds, window)
-            gone = covered(len(w.start), starts[holds(known, ids[w.row[starts]], whole)], window)
-            yield _digest(pa.array(ids), data, w, gone)
+            w = words(data, bounds)
+            starts = np.flatnonzero(w.row[: len(w.row) - window + 1] == w.row[window - 1 :]) if len(w.row) >= window and len(known.keys) else np.zeros(0, np.int64)
+            if len(starts):
+                at = known.find(in_a_row(w.hash, window)[starts], in_a_row(w.hash, window, seed=_TWIN)[starts])
+                starts = starts[(at >= 0) & (known.first[at] < ids[w.row[starts]])]
+            yield _digest(pa.array(ids), data, w, covered(len(w.start), starts, window))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in runs(batches):
             w = words(block.data, block.bounds)
             yield _digest(pa.nulls(block.batch.num_rows, pa.int64()), block.data, w, np.zeros(len(w.start), bool))
 
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = packed_texts(docs, parts)
-    candidates = repeated(narrowed(known, "doc_id", "text").mapInArrow(lambda b: gathered(anchors(b)), PACKED), parts, later_only=False)
-    windows = repeated(with_texts(texts, candidates, lambda t, p: gathered(extended(t, p)), PACKED), parts, later_only=True)
+    found = met(texts, lambda p: gathered(level(texts_of(p), None, 0)), PACKED)
+    for nth in range(1, len(sizes)):
+        back = repeated(found, later_only=False)
+        found = with_texts(texts, back, lambda t, p, nth=nth: gathered(level(t, p, nth)), PACKED)
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text")
-    return with_texts(texts, windows, digests, RESULT).unionAll(nameless.mapInArrow(untouched, RESULT))
+    return with_texts(texts, repeated(found, later_only=True), digests, RESULT).unionAll(nameless.mapInArrow(untouched, RESULT))
 
 
 def _digest(ids: pa.Array, data: np.ndarray, w, gone: np.ndarray) -> pa.RecordBatch:

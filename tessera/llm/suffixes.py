@@ -11,8 +11,8 @@ In the merged order the strings that hold an anchor at offset o are equal for su
 o bytes to the left are equal; the first of them, by doc_id and then by position, stays and the others are covered.
 Before the exchange, a task settles anchors with equal bytes on both sides among its own texts: only the first is sent.
 
-Edge cases: null and empty texts have no bytes; texts of fewer than `size` bytes lose nothing; rows without doc_id lose
-nothing and remove nothing; identical rows of one doc_id get the same result; different texts of one doc_id count as
+Edge cases: null and empty texts have no bytes; texts of fewer than `size` bytes lose nothing; very long texts are
+searched whole; extra columns are ignored; rows without doc_id lose nothing and remove nothing; identical rows of one doc_id get the same result; different texts of one doc_id count as
 documents in the order of their 64-bit fingerprints; an empty table gives an empty table.
 """
 
@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BYTE_VALUES, grams, mixed, narrowed, prefix_sums, spans, written
-from tessera.llm.packed import PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, unpacked, with_texts
-from tessera.llm.substrings import distinct_pairs, holds, listed
+from tessera.llm.blocks import byte_grams, byte_hashes, mixed, written
+from tessera.llm.packed import PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, unpacked, with_texts
 from tessera.llm.windows import sliding
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -39,16 +38,18 @@ GRAM = 32
 #: Buckets, by gram, that a part's runs are merged in one after the other.
 BUCKETS = 8
 
+#: A random 64-bit value for each byte (fixed seed).
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
 
 def anchors_of(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions of anchors, their grams' hashes, the row of each, and a fingerprint of each row."""
-    sums = prefix_sums(BYTE_VALUES[data])
-    prints = spans(sums, bounds[:-1], bounds[1:])
+    prints = byte_hashes(data, bounds[:-1], bounds[1:])
     none = np.zeros(0, np.int64)
     n = len(data) - size + 1
     if n <= 0:
         return none, none.astype(np.uint64), none, prints
-    gram = grams(sums, GRAM)
+    gram = byte_grams(data, GRAM)
     least = sliding(gram, size - GRAM + 1, np.minimum)[:n]
     for end in bounds[1:-1]:  # windows across two rows choose nothing
         least[max(0, end - size + 1) : end] = 0
@@ -186,40 +187,37 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     parts = parts_of(docs)
     reach = size - GRAM
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for block, ids in runs(batches):
-            at, gram, row, _ = anchors_of(block.data, block.bounds, size)
-            if len(at):
-                own = ids[row]
-                keys, of = distinct_pairs(gram, own)
-                order = np.lexsort((own, gram))  # a gram that a document has twice goes twice
-                twice = np.flatnonzero((gram[order][1:] == gram[order][:-1]) & (own[order][1:] == own[order][:-1]))
-                more_keys, more_of = distinct_pairs(gram[order][twice], own[order][twice])
-                keys, of = np.concatenate([keys, more_keys]), np.concatenate([of, more_of])
-                yield hash_part(keys, parts), keys, of
+    def found(texts: Iterator) -> Iterator[tuple[np.ndarray, ...]]:
+        """The grams of each block's anchors, once, and whether they stand there twice."""
+        for ids, data, bounds in texts:
+            _, gram, _, _ = anchors_of(data, bounds, size)
+            if len(gram):
+                keys, n = np.unique(gram, return_counts=True)
+                yield hash_part(keys, parts), keys, np.full(len(keys), np.mod(ids[0], parts), np.int32), n > 1
 
     def several(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, ids = unpacked(payloads, np.uint64, np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        keep = np.zeros(len(keys), bool)
-        keep[1:] = keys[1:] == keys[:-1]
-        keep[:-1] |= keep[1:].copy()
+        """Grams that stand twice, to the parts that have them."""
+        keys, part, twice = unpacked(payloads, np.uint64, np.int32, np.bool_)
+        if not len(keys):
+            return
+        order = np.lexsort((part, keys))
+        keys, part, twice = keys[order], part[order], twice[order]
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.diff(np.append(head, len(keys)))
+        keep = np.repeat((n > 1) | np.logical_or.reduceat(twice, head), n)
+        keep[1:] &= (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])
         if keep.any():
-            keys, ids = distinct_pairs(keys[keep], ids[keep])
-            yield packed(np.mod(ids, parts), ids, keys)
+            yield packed(part[keep], keys[keep])
 
     def sorted_runs(texts: Iterator, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        own_ids, keys = unpacked(payloads, np.int64, np.uint64)
+        (keys,) = unpacked(payloads, np.uint64)
         if not len(keys):
             return
-        known = listed(keys, own_ids)
+        keys.sort()
         pieces = []
         for ids, data, bounds in texts:
-            if not np.isin(ids, known[0]).any():
-                continue
             at, gram, row, prints = anchors_of(data, bounds, size)
-            hit = holds(known, ids[row], gram)
+            hit = keys[np.minimum(np.searchsorted(keys, gram), len(keys) - 1)] == gram
             at, gram, row = at[hit], gram[hit], row[hit]
             if len(at):
                 right = matrix(data, at, bounds[row], bounds[row + 1], size)
@@ -229,10 +227,10 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
             return
         gram, ids, prints, at, right, right_len, left, left_len = (np.concatenate(x) for x in zip(*pieces, strict=True))
         # anchors with equal bytes on both sides: the first stands for all, the others are covered by it
-        both = mixed(_hashed(right, right_len) + mixed(_hashed(left, left_len)))
-        order = np.lexsort((at, prints, ids, both))
+        both, twin = (_hashed(left, left_len, _hashed(right, right_len, np.full(len(at), k, np.uint64))) for k in (1, 2))
+        order = np.lexsort((at, prints, ids, twin, both))
         first = np.ones(len(order), bool)
-        first[1:] = both[order][1:] != both[order][:-1]
+        first[1:] = (both[order][1:] != both[order][:-1]) | (twin[order][1:] != twin[order][:-1])
         head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         earlier = np.zeros(len(order), bool)
         later = (ids[order] != ids[head]) | (prints[order] != prints[head]) | (at[order] != at[head])
@@ -297,7 +295,7 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
         order = np.lexsort((prints, own_ids))
         own_ids, prints, start, end = own_ids[order], prints[order], start[order], end[order]
         for ids, data, bounds in texts:
-            marks = spans(prefix_sums(BYTE_VALUES[data]), bounds[:-1], bounds[1:])
+            marks = byte_hashes(data, bounds[:-1], bounds[1:])
             rows: list[tuple] = []
             for i, mark in zip(range(len(ids)), marks, strict=True):
                 a, b = np.searchsorted(own_ids, [ids[i], ids[i] + 1])
@@ -315,9 +313,8 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
             cut = [block.data[a:b] for a, b in zip(block.bounds[:-1], block.bounds[1:], strict=True)]
             yield _table(pa.nulls(len(cut), pa.int64()), [_row(x, np.zeros(len(x), bool)) for x in cut])
 
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = packed_texts(docs, parts)
-    candidates = met(narrowed(known, "doc_id", "text").mapInArrow(lambda b: gathered(found(b)), PACKED), several, PACKED)
+    candidates = met(met(texts, lambda p: gathered(found(texts_of(p))), PACKED), several, PACKED)
     sent = written(with_texts(texts, candidates, sorted_runs, PACKED + ", kind int"), "suffix-runs")
     merged_runs = met(sent.where("kind = 1").drop("kind"), lambda p: gathered(settled(p)), PACKED)
     spans_found = sent.where("kind = 0").drop("kind").unionAll(merged_runs)
@@ -349,13 +346,14 @@ def _run_of(payload: bytes, k: int) -> bytes:
     return loosened(own[8:], int.from_bytes(own[:8], "little")) if own else b""
 
 
-def _hashed(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's bytes and length."""
-    weights = mixed(np.arange(1, rows.shape[1] + 1, dtype=np.uint64))
-    out = length.astype(np.uint64)
-    for k in range(rows.shape[1]):
-        out = out + BYTE_VALUES[rows[:, k]] * (weights[k] | np.uint64(1))
-    return mixed(out)
+def _hashed(rows: np.ndarray, length: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's bytes and length (zeros stand behind a row's bytes)."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    out = mixed(seed ^ length.astype(np.uint64))
+    for column in wide.view("<u8").T:
+        out = mixed(out ^ mixed(column))
+    return out
 
 
 def _tagged(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
