@@ -9,12 +9,18 @@ set (bits of hashes, flipped per n-gram: the number of bits that differ bounds t
 meets again as larger bitmaps, as long as the sets, and then as texts, which verify. Links so found join components.
 
 A cell of many nodes that are still apart first tries a few pairs per node; as these join, fewer pairs remain to be tried,
-and only cells not yet done are expanded again. After ROUNDS rounds every remaining pair is verified, so no link between components is missed, and none is capped.
+and only cells not yet done are expanded again. After ROUNDS rounds every remaining pair is verified, so no link between
+components is missed, and none is capped; a cell of more than CHUNK nodes is then dealt as pairs of chunks, so no task
+holds it.
+
+Sets are equal if the 128-bit hashes of their n-grams' hashes are. Copies by the thousand share such a hash: rows of sets
+with more than a share of all documents (at most 10,000 of them) get their node by a broadcast join, the others by a
+shuffle.
 
 Edge cases: null and empty texts, or texts without words, have the empty set and link with nothing; a text of fewer than n
 words has its whole sequence as its only n-gram; one row is returned per doc_id (of several texts of one doc_id the one
-of the smallest set hash counts); rows without doc_id are returned as their own, without component; an empty table
-gives an empty table; extra columns are ignored.
+of the smallest xxhash64 counts); rows without doc_id are returned as their own, without component; very long texts are sets like any
+others; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, grams, mixed, narrowed, prefix_sums, spans, words, written
+from tessera.llm.blocks import LOWER, in_a_row, mixed, narrowed, words, written
 from tessera.llm.components import components
 from tessera.llm.packed import (
-    PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, together, unpacked, with_texts,
+    PACKED, array_rows, gathered, hash_part, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, together, tree_sum, unpacked, with_texts,
 )
-from tessera.llm.substrings import distinct_pairs
 
 #: Slots of the count table (a fixed size), and of the bitmap, in 64-bit words.
 COUNTS, BITMAP = 1 << 22, 8
@@ -39,7 +44,18 @@ COUNTS, BITMAP = 1 << 22, 8
 #: Rounds in which a large cell tries some of its pairs only; pairs per node in such a round; what counts as few pairs.
 ROUNDS, TRIES, FEW = 2, 3, 8
 
-_NODE = "doc_id long, n long, mark long, group long, prefix binary, bitmap binary"
+#: Nodes of a chunk of a large cell in the last round, about.
+CHUNK = 4096
+
+_NODE = "doc_id long, source long, n long, mark long, twin long, group long, prefix binary, bitmap binary"
+
+def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, id), by key and then by id."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    return keys[new], ids[new]
 
 
 def sets_of(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +63,16 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     w = words(LOWER[data], bounds)
     rows = len(bounds) - 1
     count = np.diff(w.first)
-    sums = prefix_sums(w.hash)
-    all_grams = grams(sums, n)
+    all_grams = in_a_row(w.hash, n)
     last = np.arange(len(all_grams)) + n - 1
     fit = np.flatnonzero(w.row[: len(all_grams)] == w.row[last]) if len(all_grams) else np.zeros(0, np.int64)
-    short = np.flatnonzero((count > 0) & (count < n))
-    value = np.concatenate([all_grams[fit], spans(sums, w.first[short], w.first[short + 1])])
-    row = np.concatenate([w.row[fit], short])
+    values, owners = [all_grams[fit]], [w.row[fit]]
+    for k in range(1, n):  # all words of a row of fewer than n
+        short = np.flatnonzero(count == k)
+        if len(short):
+            values.append(mixed(in_a_row(w.hash, k)[w.first[short]] + np.uint64(k)))
+            owners.append(short)
+    value, row = np.concatenate(values), np.concatenate(owners)
     order = np.lexsort((value, row))
     value, row = value[order], row[order]
     new = np.ones(len(value), bool)
@@ -62,11 +81,14 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     return value, np.searchsorted(row, np.arange(rows + 1))
 
 
-def marks_of(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's set."""
-    total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(mixed(value + np.uint64(1)), out=total[1:])
-    return mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
+def marks_of(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each row's set, as two columns."""
+    out = []
+    for seed in (1, 2):
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(mixed(mixed(value) + np.uint64(seed)), out=total[1:])
+        out.append(mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def bitmaps_of(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -101,29 +123,15 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
     pieces = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTS, np.int32)
+        total = np.zeros(COUNTS, np.int64)
         for block, _ in runs(batches):
             value, _ = sets_of(block.data, block.bounds, n)
             np.add.at(total, (value >> np.uint64(42)).astype(np.int64), 1)
         if total.any():
-            payload = [squeezed(x.astype("<i4").tobytes()) for x in np.split(total, pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
-
-    def add(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTS // pieces, np.int64)
-        for x in payloads:
-            total += np.frombuffer(loosened(x, 4 * len(total)), "<i4")
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([squeezed(total.tobytes())], pa.binary())], ["part", "payload"])
-
-    def added(own: pa.Table) -> pa.Table:
-        out = pa.Table.from_batches(list(add(own["payload"].to_pylist())))
-        return out.set_column(0, "part", own["part"].slice(0, 1))
-
-    sums = narrowed(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, PACKED).groupBy("part").applyInArrow(added, PACKED)
-    table = np.zeros(COUNTS, np.int64)
-    for part, payload in sums.collect():
-        size = COUNTS // pieces
-        table[part * size : (part + 1) * size] = np.frombuffer(loosened(bytes(payload), 8 * size), "<i8")
+            yield array_rows(np.split(total, pieces))
+
+    sums = tree_sum(narrowed(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, PACKED))
+    table = np.concatenate([sums[i] for i in range(pieces)]) if sums else np.zeros(COUNTS, np.int64)
     mean = table.mean()
     above = (table - mean) / (4 * np.sqrt(max(mean, 1.0)))
     return np.where(above > 1, 1 + np.floor(np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
@@ -138,12 +146,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def cell_pairs(node: np.ndarray, size: np.ndarray, component: np.ndarray, bitmap: np.ndarray, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of places to verify, and whether these are all of the cell's."""
+def cell_pairs(
+    node: np.ndarray, size: np.ndarray, component: np.ndarray, bitmap: np.ndarray, side: np.ndarray, percent: int, turn: int, last: bool, tries: int, few: int
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of places to verify, and whether these are all of the cell's. Nodes of sides 1 and 2 only meet the other's."""
     n = len(node)
     order = np.argsort(mixed(node.astype(np.uint64) + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15)))
-    node, size, component, bitmap = node[order], size[order], component[order], bitmap[order]
-    last = turn >= ROUNDS
+    node, size, component, bitmap, side = node[order], size[order], component[order], bitmap[order], side[order]
     first, second = [], []
     chunk = n if last else min(n, 4096)
     whole = chunk == n
@@ -154,6 +163,8 @@ def cell_pairs(node: np.ndarray, size: np.ndarray, component: np.ndarray, bitmap
             j = slice(i + 1, high)
             small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             ok = (component[j] != component[i]) & (100 * small >= percent * large)
+            if side[i]:
+                ok &= side[j] != side[i]
             at = np.flatnonzero(ok) + i + 1
             if len(at):
                 differ = np.bitwise_count(bitmap[at] ^ bitmap[i]).sum(1, dtype=np.int64)
@@ -162,10 +173,10 @@ def cell_pairs(node: np.ndarray, size: np.ndarray, component: np.ndarray, bitmap
                 own_second.append(at)
         if own_first:
             a, b = np.concatenate(own_first), np.concatenate(own_second)
-            if len(a) > FEW * (high - low) and not last:
+            if len(a) > few * (high - low) and not last:
                 whole = False
                 nth = np.arange(len(a)) - np.searchsorted(a, a)  # the nth partner of a (a is sorted)
-                a, b = a[nth < TRIES], b[nth < TRIES]
+                a, b = a[nth < tries], b[nth < tries]
             first.append(a)
             second.append(b)
     none = np.zeros(0, np.int64)
@@ -173,7 +184,19 @@ def cell_pairs(node: np.ndarray, size: np.ndarray, component: np.ndarray, bitmap
     return order[a], order[b], whole
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def chunked(name: np.ndarray, node: np.ndarray, n_chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of cells dealt as pairs of chunks: the place of the row, the name of the pair, and the row's side in it (0: the
+    pair is one chunk with itself)."""
+    own = (mixed(node.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % n_chunks
+    place = np.repeat(np.arange(len(name)), n_chunks)
+    other = np.arange(len(place)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
+    own = own[place]
+    low, high, k = np.minimum(own, other), np.maximum(own, other), n_chunks[place]
+    pair_name = mixed(name.astype(np.uint64)[place] + mixed((low * k + high).astype(np.uint64) + np.uint64(1))).view(np.int64)
+    return place, np.where(k > 1, pair_name, name[place]), np.where(own == other, 0, np.where(own < other, 1, 2))
+
+
+def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS, tries: int = TRIES, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id that links lead to."""
     spark, parts = docs.sparkSession, parts_of(docs)
     sent = spark.sparkContext.broadcast(count_table(docs, n))
@@ -188,22 +211,22 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             order = np.lexsort((rank, row))
             ordered = value[order]
             length = np.where(size > 0, size - ceil_share(size, percent) + 1, 0)
-            mark, bitmap = marks_of(value, cut), bitmaps_of(value, cut)
+            (mark, twin), bitmap = marks_of(value, cut), bitmaps_of(value, cut)
             prefix = [ordered[a : a + k] for a, k in zip(cut[:-1].tolist(), length.tolist(), strict=True)]
             group = [int(mixed(np.add.reduce(mixed(p)) + np.array([s], np.uint64))[0]) if s else 0 for p, s in zip(prefix, size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids), pa.array(size, pa.int64()), pa.array(mark.view(np.int64)), pa.array(np.array(group, np.uint64).view(np.int64)),
+                pa.array(ids), block.column("source"), pa.array(size, pa.int64()), pa.array(mark), pa.array(twin), pa.array(np.array(group, np.uint64).view(np.int64)),
                 pa.array([p.tobytes() for p in prefix], pa.binary()), pa.array([b.tobytes() for b in bitmap], pa.binary()),
-            ], ["doc_id", "n", "mark", "group", "prefix", "bitmap"])
+            ], ["doc_id", "source", "n", "mark", "twin", "group", "prefix", "bitmap"])
 
-    known = narrowed(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = written(known.mapInArrow(nodes, _NODE), "sets")
+    texted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("source"))
+    rows = written(texted.where("doc_id is not null").mapInArrow(nodes, _NODE), "sets")
     # one set per doc_id; one node, its smallest doc_id, per set
-    own = rows.groupBy("doc_id").agg(F.min(F.struct("mark", "n")).alias("x")).select("doc_id", "x.mark", "x.n")
+    own = rows.groupBy("doc_id").agg(F.min(F.struct("source", "mark", "twin", "n")).alias("x")).select("doc_id", "x.mark", "x.twin", "x.n")
     members = written(own, "members")
-    of_mark = members.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("node"))
-    distinct = rows.where("n > 0").groupBy("mark").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.first("bitmap").alias("bitmap"))
-    node = written(of_mark.join(distinct, "mark").select("node", "mark", "n", "group", "bitmap"), "nodes")
+    of_mark = written(members.where("n > 0").groupBy("mark", "twin").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "marks")
+    distinct = rows.where("n > 0").groupBy("mark", "twin").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.first("bitmap").alias("bitmap"))
+    node = written(of_mark.join(distinct, ["mark", "twin"]).select("node", "mark", "n", "group", "bitmap"), "nodes")
     groups = rows.where("n > 0").groupBy("group").agg(F.first("prefix").alias("prefix"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -234,13 +257,13 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             if lists:
                 cell = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists])
                 group = np.concatenate(lists)
-                yield hash_part(mixed(group.astype(np.uint64)), parts), group, cell
+                yield hash_part(mixed(group.astype(np.uint64)), parts), group, cell, np.ones(len(cell), np.int64)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             group = batch.column(0).to_numpy(zero_copy_only=False)
             if len(group):
-                yield hash_part(mixed(group.astype(np.uint64)), parts), group, group
+                yield hash_part(mixed(group.astype(np.uint64)), parts), group, group, np.ones(len(group), np.int64)
 
     crowded = node.groupBy("group").count().where("count > 1").select("group")
     cell_groups = written(found.mapInArrow(lambda b: gathered(by_group(b)), PACKED).unionAll(crowded.mapInArrow(lambda b: gathered(alone(b)), PACKED)), "cells")
@@ -253,16 +276,17 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 yield hash_part(mixed(group.astype(np.uint64)), parts), group, ids, size, mark, component, *np.ascontiguousarray(bitmap.T)
 
     def expanded(left: list[bytes], right: list[bytes]) -> Iterator[pa.RecordBatch]:
-        group, cell = unpacked(left, np.int64, np.int64)
+        group, cell, n_chunks = unpacked(left, *[np.int64] * 3)
         of, *columns = unpacked(right, *[np.int64] * 5, *[np.uint64] * BITMAP)
         order = np.argsort(of, kind="stable")
         of, columns = of[order], [c[order] for c in columns]
         a, b = np.searchsorted(of, group), np.searchsorted(of, group, "right")
         count = b - a
         pick = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        name = np.repeat(cell, count)
-        if len(name):
-            yield packed(hash_part(mixed(name.astype(np.uint64)), parts), name, *(c[pick] for c in columns))
+        if len(pick):
+            place, name, side = chunked(np.repeat(cell, count), columns[0][pick], np.repeat(n_chunks, count))
+            pick, of_cell = pick[place], np.repeat(cell, count)[place]
+            yield packed(hash_part(mixed(name.astype(np.uint64)), parts), name, of_cell, side, *(c[pick] for c in columns))
 
     #: texts of nodes that stand in cells, once
     wanted = written(together(cell_groups, node.select("group", "node", "n", "mark", F.col("node").alias("c"), "bitmap").mapInArrow(lambda b: gathered(node_rows(b)), PACKED), lambda x, y: _named(x, y, parts), PACKED), "wanted")
@@ -288,18 +312,19 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         columns = current.select("group", "node", "n", F.col("group").alias("g"), "component", "bitmap")
 
         def pairs(payloads: list[bytes], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            cell, ids, size, group, component, *bits = unpacked(payloads, *[np.int64] * 5, *[np.uint64] * BITMAP)
-            order = np.lexsort((ids, cell))
-            cell, ids, size, group, component = cell[order], ids[order], size[order], group[order], component[order]
+            name, of_cell, side, ids, size, group, component, *bits = unpacked(payloads, *[np.int64] * 7, *[np.uint64] * BITMAP)
+            order = np.lexsort((ids, name))
+            name, of_cell, side, ids, size, group, component = (x[order] for x in (name, of_cell, side, ids, size, group, component))
             bitmap = np.column_stack(bits)[order]
-            head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
+            head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else []
             out, unfinished = [], []
-            for a, b in zip(head, [*head[1:], len(cell)], strict=True):
+            for a, b in zip(head, [*head[1:], len(name)], strict=True):
                 if (component[a:b] != component[a]).any():
-                    x, y, whole = cell_pairs(ids[a:b], size[a:b], component[a:b], bitmap[a:b], percent, turn)
+                    x, y, whole = cell_pairs(ids[a:b], size[a:b], component[a:b], bitmap[a:b], side[a:b], percent, turn, turn >= rounds, tries, few)
                     if not whole:
                         own = np.unique(group[a:b])
-                        unfinished.append(np.stack([own, np.full(len(own), cell[a])]))
+                        chunks = -(-(b - a) // chunk) if turn + 1 >= rounds else 1
+                        unfinished.append(np.stack([own, np.full(len(own), of_cell[a]), np.full(len(own), chunks)]))
                     if len(x):
                         x, y = ids[a:b][x], ids[a:b][y]
                         out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
@@ -307,8 +332,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 both = np.unique(np.concatenate(out, axis=1), axis=1)
                 yield _flagged(packed(np.mod(both[1], parts), both[0], both[1]), False)
             if unfinished:
-                group, cell = np.concatenate(unfinished, axis=1)
-                yield _flagged(packed(hash_part(mixed(group.astype(np.uint64)), parts), group, cell), True)
+                group, cell, chunks = np.concatenate(unfinished, axis=1)
+                yield _flagged(packed(hash_part(mixed(group.astype(np.uint64)), parts), group, cell, chunks), True)
 
         cells_now = together(open_cells, columns.mapInArrow(lambda b: gathered(node_rows(b)), PACKED), expanded, PACKED)
         tried = written(met(cells_now, pairs, PACKED + ", more boolean"), "pairs")
@@ -326,13 +351,17 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             break
         state = written(components(links), "components")
         turn += 1
-    out = members.join(of_mark, "mark", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    many = F.col("copies") > max(100, members.count() // 10_000)
+    hot, cold = of_mark.where(many).select("mark", "twin", "node"), of_mark.where(~many & (F.col("copies") > 1)).select("mark", "twin", "node")
+    out = members.join(F.broadcast(hot), ["mark", "twin"]).unionByName(
+        members.join(F.broadcast(hot), ["mark", "twin"], "left_anti").join(cold, ["mark", "twin"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+    )
     if state is not None:
         out = out.join(state, "node", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id"))).alias("component_id"))
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(nodes, _NODE)
+    nameless = texted.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")).mapInArrow(nodes, _NODE)
     return out.unionAll(nameless.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
@@ -393,7 +422,7 @@ def _flagged(batch: pa.RecordBatch, more: bool) -> pa.RecordBatch:
 
 def _named(left: list[bytes], right: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
     """(node, mark) of the groups that stand in cells, by document."""
-    group, _ = unpacked(left, np.int64, np.int64)
+    group, _, _ = unpacked(left, *[np.int64] * 3)
     of, ids, _, mark, *_ = unpacked(right, *[np.int64] * 5, *[np.uint64] * BITMAP)
     own = np.isin(of, group)
     if own.any():
@@ -410,7 +439,7 @@ def _chosen(texts: Iterator, payloads: list[bytes], parts: int, n: int) -> Itera
             continue
         raw = [data[bounds[i] : bounds[i + 1]] for i in at]
         flat, cut = np.concatenate(raw), np.append(0, np.cumsum([len(x) for x in raw]))
-        have = marks_of(*sets_of(flat, cut, n)).view(np.int64)
+        have, _ = marks_of(*sets_of(flat, cut, n))
         keep = []
         for k, i in enumerate(at):
             if marks.get(int(own[i])) == have[k]:
