@@ -1,15 +1,15 @@
 """Nearest neighbours of vectors (operator 6).
 
 Method: block matrix join. Vectors are rounded to int8 with a scale and the norm of what rounding left over. A tile of
-queries meets a tile of candidates in one integer matrix product (exact in float32), which with those norms bounds every
+queries meets a tile of candidates in integer matrix products (exact in float32, from 1,041 parts on in float64), which with those norms bounds every
 distance from both sides; pairs whose lower bound is above the k-th upper bound are out, the others are computed again in
 double precision and kept in a heap per query. The heaps of all tiles are merged by query. The result is exact.
 
-Each tile of candidates (about TILE rows, whatever the table's size) gets the queries once, in blocks; so a task holds one
-tile and one block at a time.
+A group is one tile of candidates (about TILE rows) and one block of queries (about QUERY_BLOCK), whatever the table's size;
+within it CELLS pairs are multiplied at a time.
 
 Edge cases: vectors that are null, all zero, or hold null or non-finite parts take no part, nor do rows without id; rows of
-one id count once (the smallest vector); vectors of different lengths don't meet; with fewer than k candidates all are
+one id count once (the smallest vector); an empty table gives an empty table; vectors of different lengths don't meet; with fewer than k candidates all are
 returned; equal distances go by smaller vec_id; extra columns are ignored.
 """
 
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a tile and queries of a block, about.
-TILE, QUERY_BLOCK = 4096, 1024
+#: Candidates of a tile and queries of a block, about, and pairs of them that are multiplied at a time.
+TILE, QUERY_BLOCK, CELLS = 16384, 8192, 1 << 21
 
 
 def usable(df: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -55,7 +55,8 @@ def tile_heaps(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vect
     qq, qs, qe = quantised(queries)
     cq, cs, ce = quantised(vectors)
     q_norm, c_norm = np.sqrt((queries**2).sum(1)), np.sqrt((vectors**2).sum(1))
-    product = (qq.astype(np.float32) @ cq.astype(np.float32).T).astype(np.float64) * qs[:, None] * cs
+    wide = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of int8 products stay exact
+    product = (qq.astype(wide) @ cq.astype(wide).T).astype(np.float64) * qs[:, None] * cs
     slack = qe[:, None] * (c_norm + ce) + (q_norm + qe)[:, None] * ce
     middle = q_norm[:, None] ** 2 + c_norm**2 - 2 * product
     slack = 2 * slack + 1e-9 * (q_norm[:, None] ** 2 + c_norm**2)
@@ -81,26 +82,24 @@ def nearest(df: DataFrame, is_query: Column, ident: str = "vec_id", vector: str
     wanted = usable(df.where(is_query), ident, vector)
     n, n_queries = rows.count(), wanted.count()
     tiles, query_blocks = max(1, -(-n // TILE)), max(1, -(-n_queries // QUERY_BLOCK))
-    tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-    candidates = rows.select(F.size("v").alias("dim"), tile.alias("tile"), "id", "v")
-    asked = wanted.select(
-        F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"),
-        F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("block"), "id", "v",
-    )
+    tile, block = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    candidates = rows.select(F.size("v").alias("dim"), tile.alias("tile"), every(query_blocks).alias("block"), "id", "v")
+    asked = wanted.select(F.size("v").alias("dim"), every(tiles).alias("tile"), block.alias("block"), "id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
-            ids, vectors = left["id"].to_numpy(), _matrix(left["v"])
-            block = right["block"].to_numpy()
-            for b in np.unique(block):
-                own = right.filter(pa.array(block == b))
-                for query, heap in tile_heaps(own["id"].to_numpy(), _matrix(own["v"]), ids, vectors, k):
-                    out += [(query, i, d) for d, i in heap]
+            ids, vectors, asked_ids, asked_vectors = left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"])
+            step = max(1, CELLS // len(ids))
+            for i in range(0, len(asked_ids), step):
+                for query, heap in tile_heaps(asked_ids[i : i + step], asked_vectors[i : i + step], ids, vectors, k):
+                    out += [(query, j, d) for d, j in heap]
         query, vec, score = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    found = candidates.groupBy("dim", "tile").cogroup(asked.groupBy("dim", "tile")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    keys = ["dim", "tile", "block"]
+    found = candidates.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
     def merge(own: pa.Table) -> pa.Table:
         best = heapq.nsmallest(k, zip(own["score"].to_pylist(), own["vec_id"].to_pylist(), strict=True))
