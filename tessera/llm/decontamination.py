@@ -1,22 +1,29 @@
 """Benchmark passages in documents, verbatim or paraphrased (operator 2).
 
 Method: latent semantic retrieval. Words are lower-cased and freed of punctuation; document frequencies (hashed into
-SLOTS) come from all documents. A passage is WINDOW words, every STRIDE words, of documents and of items alike. No passage is dropped
-before it is compared: each meets every item twice, and a cosine of COSINE in either space makes a candidate. The first is
-the best cosine with a passage of the item, of TF-IDF vectors over the benchmark's vocabulary, by postings; words outside it
-don't count, so new words put in for others and the words around a paraphrase don't lower it, nor does the item's length. The second is the cosine with the whole item in the latent space of a distributed randomised SVD over
-the items and the passages near one in the first: each task adds up its share of A'(A X), of vocabulary x rank whatever the
-number of passages (the rank is the number of items and OVER more; the items' share weighs as much as all passages', or the
-frequent words of the corpus would fill the space). Candidates are checked by their longest common subsequence with the
-words around the passage (as many as the item has, REACH at least), weighted by idf, unless the words that stand there
-can't suffice in any order. Verbatim ones (VERBATIM) count at once, paraphrases (PARAPHRASE) only if the item's answer, its
-last quarter, is there too.
+SLOTS) come from all documents. A passage is WINDOW words of a document or an item.
+
+A first pass over all documents does two things. It adds up each task's share of A'(A X) for a randomised SVD, A being the
+TF-IDF vectors of all passages of all documents and of the items (the items' share weighs as much as all documents', or
+the corpus's frequent words would fill the space): vocabulary x rank numbers, whatever the number of passages. And it keeps
+the stretches of words that can hold an item at all: an item is looked for among the words around a passage (as many as the
+item has, REACH at least), so in a stretch of a few times as many; where the item's words there, in any order and however
+often, weigh less than PARAPHRASE of it, no subsequence of them can weigh more. This bound is exact: it drops only what the
+last check would refuse.
+
+Passages of these stretches (every STRIDE words) meet every item twice, and a cosine of COSINE in either space makes a
+candidate. The first is the best cosine with a passage of the item, of TF-IDF vectors over the benchmark's vocabulary, by
+postings; words outside it don't count, so new words put in for others and the words around a paraphrase don't lower it,
+nor does the item's length. The second is the cosine with the whole item in the latent space. Candidates are checked by
+their longest common subsequence with the words around the passage, weighted by idf. Verbatim ones (VERBATIM) count at
+once, paraphrases (PARAPHRASE) only if the item's answer, its last quarter, is there too.
 
 The items are held by every task, ITEM_BLOCK of them at a time; larger benchmarks are searched block by block.
 
 Edge cases: null and empty texts match nothing; items without words are ignored; an item that stands several times in a
-document gives one row; items of equal text all match; rows of one doc_id give the best match of any; rows without doc_id
-are searched and reported under null; empty tables give no rows; extra columns are ignored.
+document gives one row; items of equal text all match; equal cosines need no order, as every candidate is checked; rows of
+one doc_id give the best match of any; rows without doc_id are searched and reported under null; very long texts are
+searched whole, some passages at a time; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, Block, blocks, narrowed, words
+from tessera.llm.blocks import LOWER, Words, blocks, narrowed, words, written
 from tessera.llm.lsa import range_finder
-from tessera.llm.packed import PACKED, loosened, squeezed
+from tessera.llm.packed import PACKED, array_rows, tree_sum
 
 WINDOW, STRIDE, REACH, SLOTS, OVER, ITEM_BLOCK = 16, 8, 64, 1 << 18, 64, 512
 
@@ -39,8 +46,11 @@ WINDOW, STRIDE, REACH, SLOTS, OVER, ITEM_BLOCK = 16, 8, 64, 1 << 18, 64, 512
 #: paraphrase's answer.
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.3, 0.85, 0.55, 0.5
 
-#: Cells (passages x items) that a task fills at a time.
-CELLS = 1 << 20
+#: Cells (passages x items) that a task fills at a time, and passages whose vectors it multiplies at a time.
+CELLS, AT_ONCE = 1 << 20, 1 << 11
+
+#: Pieces that sums over all tasks are sent in.
+PIECES = 16
 
 _MATCH = "doc_id long, item_id long, cosine double, common double, answer double"
 
@@ -65,7 +75,6 @@ def slot(hashes: np.ndarray) -> np.ndarray:
 
 def idf_of(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each slot, over all documents."""
-    pieces = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, np.int64), 0
@@ -73,22 +82,12 @@ def idf_of(docs: DataFrame) -> np.ndarray:
             w = words(plain(block.data), block.bounds)
             total += np.bincount(np.unique(w.row * SLOTS + slot(w.hash)) % SLOTS, minlength=SLOTS)
             n += block.batch.num_rows
-        payload = [n.to_bytes(8, "little") + squeezed(x.astype("<i8").tobytes()) for x in np.split(total, pieces)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
-
-    def add(own: pa.Table) -> pa.Table:
-        total, n = np.zeros(SLOTS // pieces, np.int64), 0
-        for x in own["payload"].to_pylist():
-            total += np.frombuffer(loosened(x[8:], 8 * len(total)), "<i8")
-            n += int.from_bytes(x[:8], "little")
-        return pa.table({"part": own["part"].slice(0, 1), "payload": pa.array([n.to_bytes(8, "little") + squeezed(total.tobytes())], pa.binary())})
+        yield array_rows([*np.split(total, PIECES), np.array([n])])
 
-    out, n = np.zeros(SLOTS), 0
-    size = SLOTS // pieces
-    for part, payload in narrowed(docs, "text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, PACKED).collect():
-        out[part * size : (part + 1) * size] = np.frombuffer(loosened(bytes(payload[8:]), 8 * size), "<i8")
-        n = int.from_bytes(payload[:8], "little")
-    return np.log((1 + n) / (1 + out)).astype(np.float32) + np.float32(0.05)
+    sums = tree_sum(narrowed(docs, "text").mapInArrow(run, PACKED))
+    seen = np.concatenate([sums[i] for i in range(PIECES)]) if sums else np.zeros(SLOTS)
+    n = int(sums[PIECES][0]) if sums else 0
+    return np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.05)
 
 
 class Terms(NamedTuple):
@@ -116,11 +115,6 @@ class Terms(NamedTuple):
             head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             out[word[head]] += np.add.reduceat(y[self.row[order]] * self.weight[order, None], head)
 
-    def of(self, rows: np.ndarray) -> Terms:
-        """The passages with a True in rows."""
-        own, place = rows[self.row], np.cumsum(rows) - 1
-        return Terms(place[self.row[own]], self.word[own], self.weight[own], self.inside[rows], self.whole[rows])
-
 
 class Items:
     """Word hashes of some items, their vocabulary (sorted), their TF-IDF vectors over it, and postings of
@@ -183,6 +177,61 @@ class Items:
         return _common(own, weight, region), _common(own[-max(1, len(own) // 4) :], weight[-max(1, len(own) // 4) :], region)
 
 
+class Bound:
+    """Stretches of words that can hold one of some items of about equal length, by the weight of the items' words in them."""
+
+    def __init__(self, items: Items, which: list[int], reach: int) -> None:
+        #: Words around a passage, and the passage: any such region lies within two neighbouring units of this size.
+        self.unit = WINDOW + 2 * reach
+        place = np.concatenate([items.places[i] for i in which])
+        owner = np.repeat(np.arange(len(which)), [len(items.places[i]) for i in which])
+        order = np.argsort(place, kind="stable")
+        self.owner, self.weight = owner[order], np.concatenate([items.weights[i] for i in which])[order]
+        self.size, self.items = len(items.vocabulary), len(which)
+        self.first = np.append(0, np.cumsum(np.bincount(place, minlength=self.size)))
+        self.least = PARAPHRASE * np.array([items.weights[i].sum() for i in which]) - 1e-9
+
+    def stretches(self, w: Words, hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first and last word (past it) of stretches that can hold an item."""
+        count = np.diff(w.first)
+        units = -(-count // self.unit)
+        begin = np.append(0, np.cumsum(units))
+        known = np.flatnonzero(hit)
+        unit = begin[w.row[known]] + (known - w.first[w.row[known]]) // self.unit
+        keys = np.unique(unit * self.size + at[known])
+        opens = np.zeros(begin[-1] + 1, bool)
+        opens[begin[:-1]] = True  # the first unit of a row has none before it
+        back = keys[~opens[keys // self.size]] - self.size
+        keys = np.unique(np.concatenate([keys, back]))
+        good = []
+        step = max(1, CELLS // self.items)
+        for low in range(0, int(begin[-1]), step):
+            high = min(low + step, int(begin[-1]))
+            own = keys[np.searchsorted(keys, low * self.size) : np.searchsorted(keys, high * self.size)]
+            word = own % self.size
+            n = self.first[word + 1] - self.first[word]
+            term = np.repeat(np.arange(len(n)), n)
+            post = np.arange(len(term)) + np.repeat(self.first[word] - (np.cumsum(n) - n), n)
+            cell = (own // self.size - low)[term] * self.items + self.owner[post]
+            weight = np.bincount(cell, self.weight[post], (high - low) * self.items).reshape(-1, self.items)
+            good.append(np.flatnonzero((weight >= self.least).any(1)) + low)
+        good = np.concatenate(good) if good else np.zeros(0, np.int64)
+        row = np.searchsorted(begin, good, "right") - 1
+        low = w.first[row] + (good - begin[row]) * self.unit
+        return row, low, np.minimum(low + 2 * self.unit, w.first[row + 1])
+
+
+def bounds_of(items: Items) -> list[Bound]:
+    """One for each class of lengths: REACH words, twice as many, and so on."""
+    classes: dict[int, list[int]] = {}
+    for i, own in enumerate(items.words):
+        reach = REACH
+        while reach < len(own):
+            reach *= 2
+        classes.setdefault(reach, []).append(i)
+    return [Bound(items, which, reach) for reach, which in sorted(classes.items())]
+
+
 def _common(own: np.ndarray, weight: np.ndarray, region: np.ndarray) -> float:
     best = np.zeros(len(region) + 1)
     for x, w in zip(own, weight, strict=True):
@@ -212,61 +261,92 @@ class Passages(NamedTuple):
     cosine: np.ndarray
 
 
-def _passages(block: Block, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[Passages]]]:
-    """The word hashes of a block, where its rows begin, and its passages, some at a time."""
-    w = words(plain(block.data), block.bounds)
-    if not len(w.hash):
-        return
-    hit, at = items.known(w.hash)
-    weight = items.idf[slot(w.hash)].astype(np.float64)
-    row, a, b = starts_in(w.first)
+def _passages(hashes: np.ndarray, first: np.ndarray, items: Items) -> Iterator[Passages]:
+    """The passages of rows of words, some at a time."""
+    hit, at = items.known(hashes)
+    weight = items.idf[slot(hashes)].astype(np.float64)
+    row, a, b = starts_in(first)
     step = max(16, CELLS // len(items.owner))
+    for i in range(0, len(row), step):
+        own = slice(i, i + step)
+        terms = items.cut(hit, at, weight, a[own], b[own])
+        yield Passages(terms, row[own], a[own], b[own], items.cosines(terms))
 
-    def run() -> Iterator[Passages]:
-        for i in range(0, len(row), step):
-            own = slice(i, i + step)
-            terms = items.cut(hit, at, weight, a[own], b[own])
-            yield Passages(terms, row[own], a[own], b[own], items.cosines(terms))
 
-    yield w.hash, w.first, run()
+_SURVEY = "doc_id long, text string, part int, payload binary"
 
 
-def latent_space(docs: DataFrame, items: Items) -> np.ndarray:
-    """An orthonormal basis (vocabulary x rank) of the range of A'(A X), for random X and A the items and the passages of
-    all documents with a cosine of COSINE to one."""
-    size = len(items.vocabulary)
-    rank = min(len(items.ids) + OVER, size)
-    pieces = min(16, size)
+def survey(docs: DataFrame, items: Items) -> DataFrame:
+    """Over all documents: the stretches that can hold an item (doc_id, text), and each task's share of A'(A X)
+    (part, payload)."""
+    size, rank = len(items.vocabulary), rank_of(items)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, x = sent.value, range_finder(size, rank)
-        out = np.zeros((size, rank), np.float32)
+        bounds, total = bounds_of(own), np.zeros((size, rank), np.float32)
         for block in blocks(batches):
-            for _, _, passages in _passages(block, own):
-                for p in passages:
-                    terms = p.terms.of((p.cosine >= COSINE).any(1))
-                    terms = terms._replace(weight=terms.weight / terms.whole[terms.row].astype(np.float32))
-                    terms.onto(terms.times(x), out)
-        if out.any():
-            payload = [p.astype("<f4").tobytes() for p in np.array_split(out, pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
-
-    def add(own: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in own["payload"].to_pylist())
-        return pa.table({"part": own["part"].slice(0, 1), "payload": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-    sums = dict(narrowed(docs, "text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, PACKED).collect())
+            w = words(plain(block.data), block.bounds)
+            if not len(w.hash):
+                continue
+            hit, at = own.known(w.hash)
+            weight = own.idf[slot(w.hash)].astype(np.float64)
+            count = np.diff(w.first)
+            n = -(-count // WINDOW)
+            row = np.repeat(np.arange(len(n)), n)
+            a = w.first[row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+            b = np.minimum(a + WINDOW, w.first[row + 1])
+            for i in range(0, len(a), AT_ONCE):
+                terms = own.cut(hit, at, weight, a[i : i + AT_ONCE], b[i : i + AT_ONCE])
+                terms = terms._replace(weight=terms.weight / terms.whole[terms.row].astype(np.float32))
+                terms.onto(terms.times(x), total)
+            found = np.concatenate([np.stack(bound.stretches(w, hit, at)) for bound in bounds], 1)
+            ids, pieces = block.column("doc_id"), list(_united(found))
+            raw = [block.data[w.start[low] : w.end[high - 1]].tobytes() for _, low, high in pieces]
+            if raw:
+                rows = pa.array([i for i, _, _ in pieces], pa.int64())
+                nothing = [pa.nulls(len(raw), pa.int32()), pa.nulls(len(raw), pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(raw, pa.binary()).cast(pa.string()), *nothing], ["doc_id", "text", "part", "payload"])
+        sums = array_rows(np.array_split(total, PIECES))
+        yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.string()), *sums.columns], ["doc_id", "text", "part", "payload"])
+
+    return written(narrowed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text").mapInArrow(run, _SURVEY), "survey")
+
+
+def _united(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Row, first and last word, with overlapping stretches of a row as one."""
+    x = x[:, np.lexsort((x[1], x[0]))]
+    row = low = high = -1
+    for i, a, b in x.T.tolist():
+        if i == row and a <= high:
+            high = max(high, b)
+            continue
+        if row >= 0:
+            yield row, low, high
+        row, low, high = i, a, b
+    if row >= 0:
+        yield row, low, high
+
+
+def rank_of(items: Items) -> int:
+    return min(len(items.ids) + OVER, len(items.vocabulary))
+
+
+def latent_space(sums: DataFrame, items: Items) -> np.ndarray:
+    """An orthonormal basis (vocabulary x rank) of the range of A'(A X)."""
+    size, rank = len(items.vocabulary), rank_of(items)
+    found = tree_sum(sums, "<f4")
     x = range_finder(size, rank)
     out = items.rows.T @ (items.rows @ x)
-    if sums:
-        corpus = np.concatenate([np.frombuffer(bytes(sums[i]), "<f4") for i in range(pieces)]).reshape(size, rank)
+    if found:
+        corpus = np.concatenate([found[i] for i in range(PIECES)]).reshape(size, rank)
         out = corpus + out * max(1.0, np.linalg.norm(corpus) / np.linalg.norm(out))
     return np.linalg.qr(out)[0].astype(np.float32)
 
 
 def _matches(docs: DataFrame, items: Items) -> DataFrame:
-    basis = latent_space(docs, items)
+    surveyed = survey(docs, items)
+    basis = latent_space(surveyed.where("part is not null").select("part", "payload"), items)
     latent = items.rows @ basis
     latent /= np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None]
     sent = docs.sparkSession.sparkContext.broadcast((items, np.ascontiguousarray(basis @ latent.T)))
@@ -277,30 +357,30 @@ def _matches(docs: DataFrame, items: Items) -> DataFrame:
         present = np.zeros(len(own.vocabulary), bool)
         for block in blocks(batches):
             ids, out = block.column("doc_id").to_pylist(), []
-            for hashes, first, passages in _passages(block, own):
-                hit, place = own.known(hashes)
-                found: list[np.ndarray] = []
-                for p in passages:
-                    whole = p.terms.times(space) / p.terms.whole[:, None]
-                    at, key = np.nonzero(p.cosine >= COSINE)
-                    more, item = np.nonzero(whole >= COSINE)
-                    at, item = np.append(at, more), np.append(own.owner[key], item)
-                    reach = np.maximum(lengths[item], REACH)
-                    low, high = np.maximum(first[p.row[at]], p.a[at] - reach), np.minimum(first[p.row[at] + 1], p.b[at] + reach)
-                    found.append(np.stack([p.row[at], item, low, high, whole[at, item]]))
-                for i, j, low, high, c in _merged(np.concatenate(found, 1)):
-                    words_in = place[low:high][hit[low:high]]
-                    present[words_in] = True
-                    if own.enough(j, present):
-                        common, answer = own.common(j, hashes[low:high])
-                        if common >= VERBATIM or (common >= PARAPHRASE and answer >= ANSWER):
-                            out.append((ids[i], own.ids[j], c, common, answer))
-                    present[words_in] = False
+            w = words(plain(block.data), block.bounds)
+            hit, place = own.known(w.hash)
+            found: list[np.ndarray] = []
+            for p in _passages(w.hash, w.first, own):
+                whole = p.terms.times(space) / p.terms.whole[:, None]
+                at, key = np.nonzero(p.cosine >= COSINE)
+                more, item = np.nonzero(whole >= COSINE)
+                at, item = np.append(at, more), np.append(own.owner[key], item)
+                reach = np.maximum(lengths[item], REACH)
+                low, high = np.maximum(w.first[p.row[at]], p.a[at] - reach), np.minimum(w.first[p.row[at] + 1], p.b[at] + reach)
+                found.append(np.stack([p.row[at], item, low, high, whole[at, item]]))
+            for i, j, low, high, c in _merged(np.concatenate(found, 1)) if found else ():
+                words_in = place[low:high][hit[low:high]]
+                present[words_in] = True
+                if own.enough(j, present):
+                    common, answer = own.common(j, w.hash[low:high])
+                    if common >= VERBATIM or (common >= PARAPHRASE and answer >= ANSWER):
+                        out.append((ids[i], own.ids[j], c, common, answer))
+                present[words_in] = False
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "cosine", "common", "answer"])
 
-    return narrowed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text").mapInArrow(run, _MATCH)
+    return surveyed.where("part is null").select("doc_id", "text").mapInArrow(run, _MATCH)
 
 
 def _merged(x: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
