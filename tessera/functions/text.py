@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ def match_form(text: Column) -> Column:
     return F.regexp_replace(plain, "(?U)[^\\w\\s:/.-]", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: an expression that is used in several places is evaluated at each of them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "(?U)\\W+"), lambda w: w != "")
 
@@ -111,3 +117,10 @@ def speaker_and_text(raw: Column) -> tuple[Column, Column]:
         .otherwise(clean)
     )
     return speaker, text
+
+
+def plain(value: str) -> str:
+    """`match_form` of a fixed value, without Spark."""
+    out = " ".join(value.lower().split()).replace("đ", "d")
+    out = "".join(c for c in unicodedata.normalize("NFD", out) if not unicodedata.combining(c))
+    return "".join(c for c in out if c.isalnum() or c in "_ :/.-")

@@ -10,16 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import ledger
+from tessera.operators import ledger, recaps
 from tessera.plans.rendered import CLAUSES_SQL, EVENTS_SQL, MEETING_DATE, clauses, table, task_events
+from tessera.plans.said import matches
 
-# Sentences that close a meeting without open tasks, and words of a recap by its reach.
-CLOSURE = (
-    "(?iU)\\b(?:không có|không còn)\\s+(?:task|công việc)\\s+(?:active|mới)[^.]{0,60}\\b(?:hôm nay|trong cuộc họp|in this meeting)\\b|"
-    "\\b(?:meeting|cuộc họp)\\b[^.]{0,80}\\bkhông có output\\b|\\bonly cancellations?\\b|\\bno (?:new|active) tasks?[^.]{0,60}\\b(?:today|in this meeting)\\b"
-)
-RECAP_ANY = "(?iU)\\b(?:tổng\\s+kết|chốt\\s+lại|recap|action\\s+items?|các\\s+đầu\\s+việc|danh\\s+sách\\s+công\\s+việc|final\\s+list|trạng\\s+thái\\s+cuối)\\b"
-RECAP_FINAL = "(?iU)\\b(?:final\\s+(?:list|recap)|trạng\\s+thái\\s+cuối|(?:recap|tổng\\s+kết)\\s+(?:lần\\s+)?cuối)\\b"
+# Dates in full, and how a text gives the date of its meeting.
 _FULL = "(?:\\d{4}-\\d{1,2}-\\d{1,2}|\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}|\\d{1,2}\\s+tháng\\s+\\d{1,2}\\s+năm\\s+\\d{4})"
 CONTEXT_DATE = (
     f"(?iU)\\b(?:(?:hôm\\s+nay|today)\\s+(?:là|is)\\s+(?:ngày\\s+)?|(?:ngày\\s+họp|meeting\\s+date)\\s*(?:là|is|:|-)?\\s*(?:ngày\\s+)?|"
@@ -55,40 +50,32 @@ SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE CAST(DATE '{MEETING_DAT
 """
 
 
-def _scopes(rows: DataFrame) -> DataFrame:
+def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a meeting closes without tasks, and the widest recap in it, on clauses with a closing sentence put in."""
     said = F.when(F.col("order_index") % 17 == 5, "Final recap: no new tasks today").when(F.col("order_index") % 11 == 3, "Quick recap").otherwise(F.col("text_raw"))
-    rows = rows.withColumn("said", said)
-    scope = F.when(F.col("said").rlike(RECAP_FINAL), 2).when(F.col("said").rlike(RECAP_ANY), 1).otherwise(0)
-    found = rows.groupBy("meeting_id").agg(F.bool_or(F.col("said").rlike(CLOSURE)).alias("closes"), F.max(scope).alias("scope"))
-    return found.select("meeting_id", "closes", F.element_at(F.array(*map(F.lit, ("NONE", "PARTIAL", "COMPLETE"))), F.col("scope") + 1).alias("scope"))
+    return recaps.scopes(clauses(spark, sf_dir).withColumn("said", said), "said")
 
 
 def cue12_meeting_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`_scopes` of meetings of which every other one is cut short, as its SQL has it."""
-    return _scopes(clauses(spark, sf_dir).where("meeting_id % 2 = 0 or order_index < 4"))
+    """How many meetings there are of each scope, and how many of them close without tasks."""
+    return _scopes(spark, sf_dir).groupBy("scope").agg(F.count("*").alias("n"), F.count_if("closes").alias("n_closing"))
 
 
 def cue12_whole_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`_scopes` of all clauses."""
-    return _scopes(clauses(spark, sf_dir))
-
+    return _scopes(spark, sf_dir)
 
-CUE12 = (
-    "WITH "
-    + CLAUSES_SQL
-    + """, s AS (SELECT meeting_id, CASE WHEN order_index % 17 = 5 THEN 2 WHEN order_index % 11 = 3 THEN 1 ELSE 0 END AS scope FROM clauses WHERE meeting_id % 2 = 0 OR order_index < 4)
-SELECT meeting_id, max(scope) = 2 AS closes, ['NONE', 'PARTIAL', 'COMPLETE'][max(scope) + 1] AS scope FROM s GROUP BY meeting_id
-"""
-)
 
-CUE12_WHOLE = (
+CUE12_CTE = (
     "WITH "
     + CLAUSES_SQL
-    + """, s AS (SELECT meeting_id, CASE WHEN order_index % 17 = 5 THEN 2 WHEN order_index % 11 = 3 THEN 1 ELSE 0 END AS scope FROM clauses)
-SELECT meeting_id, max(scope) = 2 AS closes, ['NONE', 'PARTIAL', 'COMPLETE'][max(scope) + 1] AS scope FROM s GROUP BY meeting_id
+    + f""", p AS (SELECT meeting_id, CASE WHEN order_index % 17 = 5 THEN 'Final recap: no new tasks today' WHEN order_index % 11 = 3 THEN 'Quick recap' ELSE text_raw END AS said FROM clauses),
+s AS (SELECT meeting_id, {matches('said', *recaps.CLOSURES)} AS closing,
+  CASE WHEN {matches('said', *recaps.AUTHORITATIVE)} THEN 3 WHEN {matches('said', *recaps.COMPLETE)} THEN 2 WHEN {matches('said', *recaps.ANY)} THEN 1 ELSE 0 END AS level FROM p),
+m AS (SELECT meeting_id, bool_or(closing) AS closes, ['NONE', 'PARTIAL', 'COMPLETE', 'AUTHORITATIVE'][max(level) + 1] AS scope FROM s GROUP BY meeting_id)
 """
 )
+CUE12 = CUE12_CTE + " SELECT scope, count(*) AS n, count(*) FILTER (closes) AS n_closing FROM m GROUP BY scope"
+CUE12_WHOLE = CUE12_CTE + " SELECT * FROM m"
 
 
 def ext15_references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,38 +276,6 @@ FROM live WHERE ended = 0 GROUP BY meeting_id, bound_task_id
 )
 
 
-def jon03_seed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions and the deadlines and acceptances near them, unless another action stands between."""
-    rows = _annotated(spark, sf_dir)
-    has = lambda flag: F.array_contains("flags", flag)
-    action = has("ACTION_VERB") & ~has("BRAINSTORM")
-    role = F.when(action, "ACTION").when(has("CORRECTION"), "DEADLINE").when(has("CANCELLATION"), "STATE")
-    seeds = rows.withColumn("role", role).withColumn("actions", F.sum(F.when(action, 1).otherwise(0)).over(W.partitionBy("meeting_id").orderBy("order_index"))).where("role is not null")
-    seeds = seeds.select("meeting_id", "clause_id", "order_index", "role", "actions")
-    left, right = seeds.where("role = 'ACTION'"), seeds.where("role <> 'ACTION'")
-    # only neighbours within three clauses can meet: both sides are dealt by meeting and stretch, not by meeting alone
-    spread = right.withColumn("near", F.explode(F.array_distinct(F.transform(F.array(F.lit(-3), F.lit(0), F.lit(3)), lambda d: F.floor((F.col("order_index") + d) / 4)))))
-    a = left.select("meeting_id", F.floor(F.col("order_index") / 4).alias("near"), F.col("clause_id").alias("action_id"), F.col("order_index").alias("i"), F.col("actions").alias("n"))
-    b = spread.select("meeting_id", "near", F.col("clause_id").alias("other_id"), F.col("order_index").alias("j"), F.col("actions").alias("m"), "role")
-    between = F.when(F.col("j") > F.col("i"), F.col("m") - F.col("n")).otherwise(F.col("n") - 1 - F.col("m"))
-    pairs = a.join(b, ["meeting_id", "near"]).where((F.abs(F.col("j") - F.col("i")) <= 3) & (between == 0))
-    kind = F.when(F.col("role") == "DEADLINE", "HAS_DEADLINE").otherwise("ENDS")
-    return pairs.select("meeting_id", "action_id", "other_id", kind.alias("relation"), F.round(1 - F.abs(F.col("j") - F.col("i")) / 4 * 0.25, 4).alias("score"))
-
-
-JON03 = (
-    "WITH "
-    + FLAGGED_SQL
-    + """, seeds AS (SELECT *, list_contains(flags, 'ACTION_VERB') AND NOT list_contains(flags, 'BRAINSTORM') AS act,
-    sum(CASE WHEN list_contains(flags, 'ACTION_VERB') AND NOT list_contains(flags, 'BRAINSTORM') THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY order_index) AS actions FROM candidates)
-SELECT a.meeting_id, a.clause_id AS action_id, b.clause_id AS other_id, CASE WHEN list_contains(b.flags, 'CORRECTION') THEN 'HAS_DEADLINE' ELSE 'ENDS' END AS relation,
-  round(1 - abs(b.order_index - a.order_index) / 4.0 * 0.25, 4)::DOUBLE AS score
-FROM seeds a JOIN seeds b ON a.meeting_id = b.meeting_id AND a.act AND NOT b.act AND b.change AND abs(b.order_index - a.order_index) <= 3
-WHERE CASE WHEN b.order_index > a.order_index THEN b.actions - a.actions ELSE a.actions - 1 - b.actions END = 0
-"""
-)
-
-
 def jon04_previous_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of join backwards: the last other speaker before each clause."""
     order = W.partitionBy("meeting_id").orderBy("order_index")
@@ -373,7 +341,7 @@ QUERIES = {
     "flagship": (flagship, FLAGSHIP), "src01_plain_transcripts": (src01_plain_transcripts, SRC01), "src02_vtt_cues": (src02_vtt_cues, SRC02), "src06_page_text": (src06_page_text, SRC06),
     "seg01_normal_forms": (seg01_normal_forms, SEG01), "seg03_live_captions": (seg03_live_captions, None), "seg04_speakers": (seg04_speakers, SEG04), "seg05_turns": (seg05_turns, SEG05),
     "seg06_sentences": (seg06_sentences, SEG06), "seg08_clauses": (seg08_clauses, None), "seg10_blocks": (seg10_blocks, SEG10), "cue04_annotations": (cue04_annotations, CUE04),
-    "cue06_strategies": (cue06_strategies, CUE06), "jon02_windows": (jon02_windows, JON02), "jon03_seed_relations": (jon03_seed_relations, JON03), "jon04_previous_speaker": (jon04_previous_speaker, JON04),
+    "cue06_strategies": (cue06_strategies, CUE06), "jon02_windows": (jon02_windows, JON02), "jon04_previous_speaker": (jon04_previous_speaker, JON04),
     "dat01_mentions": (dat01_mentions, DAT01), "dat10_working_days": (dat10_working_days, DAT10), "agg01_event_dedupe": (agg01_event_dedupe, AGG01), "led01_ledger": (led01_ledger, None),
     "led03_visible": (led03_visible, None), "led07_reducer": (led07_reducer, LED07), "win01_neighbours": (win01_neighbours, WIN01), "scl04_evidence": (scl04_evidence, SCL04), "str01_sessions": (str01_sessions, STR01),
 }

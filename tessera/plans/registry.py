@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis, evidence, meetings
+from tessera.plans import analysis, evidence, extracted, guarding, meetings, proposed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ALL = {**meetings.QUERIES, **analysis.QUERIES, **evidence.QUERIES}
+ALL = {name: query for module in (meetings, analysis, evidence, guarding, extracted, proposed) for name, query in module.QUERIES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
