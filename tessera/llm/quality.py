@@ -6,7 +6,9 @@ a latent-semantic basis from a randomised SVD of a bounded sample of labelled ro
 block; the NEIGHBOURS nearest vote with their labels, weighted by a power of their similarity.
 
 Edge cases: null and empty texts have no neighbours and get the mean label of the sample; without labels every score is
-0.5; several labels of one doc_id count as their maximum; repeated rows get equal scores; extra columns are ignored; an
+0.5; several labels of one doc_id count as their maximum; repeated rows get equal scores, up to the last bits of a
+matrix product; of equally near neighbours at the edge of NEIGHBOURS those that a partition by similarity leaves first vote
+(equal vectors of the sample bring equal similarities); very long texts are scored whole; extra columns are ignored; an
 empty table gives an empty table.
 """
 
@@ -28,6 +30,9 @@ MOST_PER_CLASS = 1500
 
 GRAM, SLOTS, RANK, NEIGHBOURS, POWER = 3, 4096, 48, 15, 4
 
+#: Rows whose SLOTS terms a task holds at a time, at most.
+AT_ONCE = 256
+
 #: Weight of the term for repeated words.
 REPEATS = 2.0
 
@@ -37,7 +42,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS + 1, np.int64)
-        for block in blocks(batches):
+        for block in blocks(batches, rows=AT_ONCE):
             total[:SLOTS] += (gram_counts(block.data, block.bounds, GRAM, SLOTS) > 0).sum(0)
             total[SLOTS] += block.batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS + 1)), pa.array(total)], ["slot", "n"])
@@ -104,7 +109,7 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, rows=AT_ONCE):
             scores = sent.value.scores(block.data, block.bounds)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -117,7 +122,7 @@ def kept(docs: DataFrame, voters: Voters, least: float = 0.3) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, rows=AT_ONCE):
             yield block.batch.filter(pa.array(sent.value.scores(block.data, block.bounds) >= least))
 
     return docs.mapInArrow(run, docs.schema)

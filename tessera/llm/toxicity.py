@@ -11,7 +11,8 @@ The driver fits the model on a bounded sample of labelled rows (MOST_TOXIC and M
 doc_id); each task then scores whole texts. Since the layers above the table are linear, a table of one number per n-gram
 is all that a task needs (TABLE floats, a fixed size).
 
-Edge cases: null and empty texts get the score of an empty passage; without labels of both classes every score is the
+Edge cases: null and empty texts get the score of an empty passage; very long texts are scored whole, as their worst passage;
+documents whose worst passages are equal get equal scores; an empty table gives an empty table; without labels of both classes every score is the
 share of toxic labels (0.0 without labels); several labels of one doc_id count as their maximum; repeated rows get equal
 scores; extra columns are ignored.
 """
@@ -30,6 +31,9 @@ from tessera.llm.blocks import LOWER, SEPARATOR, blocks, byte_grams, mixed, narr
 #: Labelled documents that a model is fitted on, at most.
 MOST_TOXIC, MOST_CLEAN = 1000, 1500
 
+#: Characters of a text that is learnt from, at most (longer ones are scored like all others).
+MOST_CHARACTERS = 1 << 16
+
 #: Slots of the n-gram table, numbers in a vector, lengths of n-grams in bytes, words in a passage.
 TABLE, WIDTH, SIZES, PASSAGE = 1 << 18, 8, (3, 4, 5), 1
 
@@ -190,15 +194,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of at most most[c] documents of each class: those whose doc_id has the smallest hashes."""
+    """Texts and 0/1 labels of at most most[c] documents of each class: those whose doc_id has the smallest hashes. Of the
+    texts of one doc_id the one with the smallest hash counts; texts of more than MOST_CHARACTERS are not learnt from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = None
     for c, n in most.items():
         own = known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = own if ids is None else ids.unionAll(own)
-    rows = narrowed(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()
-    rows = rows.drop_duplicates(["doc_id"]).sort_values("doc_id")
-    return rows["text"].tolist(), rows["y"].to_numpy(np.int64)
+    rows = narrowed(docs, "doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARACTERS).join(F.broadcast(ids), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), text.alias("text"))).alias("x"), F.max("y").alias("y"))
+    found = one.select("doc_id", "x.text", "y").toPandas().sort_values("doc_id")
+    return found["text"].tolist(), found["y"].to_numpy(np.int64)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
