@@ -359,20 +359,11 @@ z AS (SELECT meeting_id, clause_id, """
 )
 
 
-def qa02_grounded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of evidence that are exactly the text they cite."""
-    rows = clauses(spark, sf_dir).withColumn("start", F.instr("text_raw", "report") - 1).withColumn("span", F.lit("report"))
-    good = F.substring(F.col("text_raw"), F.col("start") + 1, F.length("span")) == F.col("span")
-    return rows.groupBy("meeting_id").agg(F.count(F.when(good & (F.col("start") >= 0), 1)).alias("grounded"), F.count("*").alias("n"))
-
-
-QA02 = "WITH " + CLAUSES_SQL + " SELECT meeting_id, count(*) FILTER (text_raw LIKE '%report%') AS grounded, count(*) AS n FROM clauses GROUP BY meeting_id"
-
 QUERIES = {
     "agg03_keywords": (agg03_keywords, AGG03), "agg04_overview": (agg04_overview, AGG04), "agg05_metrics": (agg05_metrics, AGG05), "agg08_counts_by_level": (agg08_counts_by_level, AGG08),
     "agg09_route_counts": (agg09_route_counts, AGG09), "agg12_ranking_metrics": (agg12_ranking_metrics, AGG12), "agg13_calibration": (agg13_calibration, AGG13), "agg16_policy_context": (agg16_policy_context, AGG16),
     "agg18_centroids": (agg18_centroids, AGG18), "ret01_hashed_terms": (ret01_hashed_terms, RET01), "ret06_nearest_topic": (ret06_nearest_topic, RET06), "win07_top_orders": (win07_top_orders, WIN07),
     "win10_threshold_grid": (win10_threshold_grid, WIN10), "set02_note_overlap": (set02_note_overlap, SET02), "set03_multiset_difference": (set03_multiset_difference, SET03), "set04_coverage": (set04_coverage, SET04),
     "set06_fold_leakage": (set06_fold_leakage, None), "jon05_semi": (jon05_semi, JON05), "jon06_anti": (jon06_anti, JON06), "jon07_note_grounding": (jon07_note_grounding, JON07), "jon14_union_by_priority": (jon14_union_by_priority, JON14),
-    "snk02_latest_wins": (snk02_latest_wins, SNK02), "scl02_stable_ids": (scl02_stable_ids, SCL02), "scl11_budget": (scl11_budget, SCL11), "ml02_linear_classes": (ml02_linear_classes, ML02), "qa02_grounded_spans": (qa02_grounded_spans, QA02),
+    "snk02_latest_wins": (snk02_latest_wins, SNK02), "scl02_stable_ids": (scl02_stable_ids, SCL02), "scl11_budget": (scl11_budget, SCL11), "ml02_linear_classes": (ml02_linear_classes, ML02),
 }
