@@ -219,6 +219,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str) -> DataFrame:
+    """As `written`, in buckets by `part`: groups by part read them where they are, without a shuffle."""
+    spark = df.sparkSession
+    name = f"{what}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").bucketBy(partitions(spark), "part").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

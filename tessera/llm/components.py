@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import written
+from tessera.llm.blocks import forgotten, written
 
 _EDGE = "u long, v long"
 
@@ -53,7 +53,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("u <> v").select("u", "v").mapInArrow(_forest, _EDGE), "links")
     seen = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        forgotten(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

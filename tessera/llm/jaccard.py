@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, in_a_row, mixed, narrowed, words, written
+from tessera.llm.blocks import LOWER, bucketed, forgotten, in_a_row, mixed, narrowed, words, written
 from tessera.llm.components import components
 from tessera.llm.packed import (
     PACKED, array_rows, gathered, hash_part, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, together, tree_sum, unpacked, with_texts,
@@ -290,7 +290,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS,
 
     #: texts of nodes that stand in cells, once
     wanted = written(together(cell_groups, node.select("group", "node", "n", "mark", F.col("node").alias("c"), "bitmap").mapInArrow(lambda b: gathered(node_rows(b)), PACKED), lambda x, y: _named(x, y, parts), PACKED), "wanted")
-    texts = written(with_texts(packed_texts(docs, parts), wanted, lambda t, p: _chosen(t, p, parts, n), PACKED), "texts")
+    forgotten(rows)
+    texts = bucketed(with_texts(packed_texts(docs, parts), wanted, lambda t, p: _chosen(t, p, parts, n), PACKED), "texts")
+    forgotten(wanted)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +304,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS,
             if payload:
                 yield pa.RecordBatch.from_arrays([pa.array(parts_here, pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
 
-    known_sets = written(texts.mapInArrow(sketches, PACKED), "sketches")
-    state, links, turn, open_cells = None, None, 0, cell_groups
+    known_sets = bucketed(texts.mapInArrow(sketches, PACKED), "sketches")
+    state, links, turn, open_cells, last_tried = None, None, 0, cell_groups, cell_groups
     while True:
         if state is None:
             current = node.withColumn("component", F.col("node"))
@@ -337,6 +339,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS,
 
         cells_now = together(open_cells, columns.mapInArrow(lambda b: gathered(node_rows(b)), PACKED), expanded, PACKED)
         tried = written(met(cells_now, pairs, PACKED + ", more boolean"), "pairs")
+        forgotten(last_tried)
+        last_tried = tried
         if tried.isEmpty():
             break
         open_cells = tried.where("more").drop("more")
@@ -351,6 +355,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS,
             break
         state = written(components(links), "components")
         turn += 1
+    forgotten(node, texts, known_sets, last_tried)
     many = F.col("copies") > max(100, members.count() // 10_000)
     hot, cold = of_mark.where(many).select("mark", "twin", "node"), of_mark.where(~many & (F.col("copies") > 1)).select("mark", "twin", "node")
     out = members.join(F.broadcast(hot), ["mark", "twin"]).unionByName(
