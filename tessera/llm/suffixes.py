@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import byte_grams, byte_hashes, mixed, written
+from tessera.llm.blocks import byte_grams, byte_hashes, mixed
 from tessera.llm.packed import PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, unpacked, with_texts
 from tessera.llm.windows import sliding
 
@@ -315,9 +316,16 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
 
     texts = packed_texts(docs, parts)
     candidates = met(met(texts, lambda p: gathered(found(texts_of(p))), PACKED), several, PACKED)
-    sent = written(with_texts(texts, candidates, sorted_runs, PACKED + ", kind int"), "suffix-runs")
-    merged_runs = met(sent.where("kind = 1").drop("kind"), lambda p: gathered(settled(p)), PACKED)
-    spans_found = sent.where("kind = 0").drop("kind").unionAll(merged_runs)
+    sent = with_texts(texts, candidates, sorted_runs, PACKED + ", kind int")
+
+    def settle(own: pa.Table) -> pa.Table:
+        """Spans that are known already go on as they are; runs are merged."""
+        known = own.filter(pc.equal(own["kind"], 0)).select(["part", "payload"])
+        runs_here = own.filter(pc.equal(own["kind"], 1))["payload"].to_pylist()
+        found = list(gathered(settled(runs_here)))
+        return pa.concat_tables([known, pa.Table.from_batches(found)]) if found else known
+
+    spans_found = sent.groupBy("part").applyInArrow(settle, PACKED)
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text")
     return with_texts(texts, spans_found, digests, RESULT).unionAll(nameless.mapInArrow(untouched, RESULT))
 
