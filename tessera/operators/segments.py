@@ -24,45 +24,78 @@ NAMED_VERBS = (
 _BREAK = "\u0001"
 
 
+#: Forms of address before a name, and web addresses.
+ADDRESS = "(?iU)^(?:mr|ms|mrs|anh|chị|chi|em|bạn|ban|speaker)\\s+"
+URL = "https?://\\S+"
+_JOINER = "\u2060"
+
+
+def display_name(name: Column) -> Column:
+    flat = F.trim(F.regexp_replace(name, "(?U)\\s+", " "))
+    bare = F.trim(F.regexp_replace(flat, ADDRESS, ""))
+    return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(flat, F.lit("")), F.lit("Unknown"))
+
+
 def speaker_id(name: Column) -> Column:
-    """A stable id of the speaker's normal form, without honorific."""
-    bare = F.regexp_replace(normalized(name), "(?U)^(?:anh|chị|em|mr\\.?|ms\\.?|mrs\\.?)\\s+", "")
-    return hash_id("SPK-", bare)
+    """A stable id of the speaker's name, without forms of address and marks on letters."""
+    return hash_id("SPK-", F.coalesce(F.nullif(F.trim(match_form(display_name(name))), F.lit("")), F.lit("unknown")))
 
 
-def turns(captions: DataFrame, max_gap_ms: int = 2000) -> DataFrame:
-    """Captions of one speaker with gaps of at most max_gap_ms (an unknown gap is none) as one turn."""
+def turns(captions: DataFrame, max_gap_ms: int = 2000, max_characters: int = 1000) -> DataFrame:
+    """Captions of one speaker with gaps of at most max_gap_ms (an unknown gap is none) as one turn, as long as its text has at
+    most max_characters. The gaps are a window; the length is added up within what they leave together."""
     order = W.partitionBy("meeting_id").orderBy("order_index")
-    gap = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order), F.lit(0))
-    new = (F.lag("speaker_id").over(order).isNull() | (F.lag("speaker_id").over(order) != F.col("speaker_id")) | (gap > max_gap_ms)).cast("int")
+    ended = F.last("end_ms", ignorenulls=False).over(order.rowsBetween(-1, -1))
+    gap = F.coalesce(F.col("start_ms") - ended, F.lit(0))
     marked = captions.withColumn("speaker_id", speaker_id(F.col("speaker_raw")))
-    marked = marked.withColumn("new", new).withColumn("turn_no", F.sum("new").over(order))
-    said = F.array_sort(F.collect_list(F.struct("order_index", "text_raw", "caption_id")))
+    new = (F.lag("speaker_id").over(order).isNull() | (F.lag("speaker_id").over(order) != F.col("speaker_id")) | (gap > max_gap_ms)).cast("int")
+    marked = marked.withColumn("new", new).withColumn("island", F.sum("new").over(order))
+    said = F.array_sort(F.collect_list(F.struct("order_index", F.length("text_raw").alias("size"))))
+    step = lambda s, x: F.when(s["size"] + x["size"] + 1 <= max_characters, F.struct((s["size"] + x["size"] + 1).alias("size"), F.array_append(s["nth"], F.element_at(s["nth"], -1)).alias("nth"))).otherwise(F.struct(x["size"].alias("size"), F.array_append(s["nth"], F.element_at(s["nth"], -1) + 1).alias("nth")))
+    start = lambda xs: F.struct(F.get(xs, 0)["size"].alias("size"), F.array(F.lit(0)).alias("nth"))
+    rows = marked.groupBy("meeting_id", "island").agg(said.alias("said"))
+    rows = rows.withColumn("nth", F.aggregate(F.slice("said", F.lit(2), F.size("said")), start(F.col("said")), step)["nth"])
+    dealt = rows.select("meeting_id", F.explode(F.arrays_zip(F.transform("said", lambda x: x["order_index"]).alias("i"), "nth")).alias("x"))
+    dealt = dealt.select("meeting_id", F.col("x.i").alias("order_index"), F.col("x.nth").alias("nth"))
+    marked = marked.join(dealt, ["meeting_id", "order_index"])
+    changed = (F.col("new") == 1) | (F.coalesce(F.lag("nth").over(order), F.lit(-1)) != F.col("nth"))
+    marked = marked.withColumn("turn_no", F.sum(changed.cast("int")).over(order))
+    lines = F.array_sort(F.collect_list(F.struct("order_index", "text_raw", "caption_id")))
     return marked.groupBy("meeting_id", "turn_no", "speaker_id").agg(
-        F.min_by("speaker_raw", "order_index").alias("speaker_name"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-        F.array_join(F.transform(said, lambda x: x["text_raw"]), " ").alias("text_raw"), F.transform(said, lambda x: x["caption_id"]).alias("source_caption_ids"),
+        F.min_by(display_name(F.col("speaker_raw")), "order_index").alias("speaker_name"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.array_join(F.transform(lines, lambda x: x["text_raw"]), " ").alias("text_raw"), F.transform(lines, lambda x: x["caption_id"]).alias("source_caption_ids"),
     ).withColumn("turn_id", sequence_id("TURN", F.col("turn_no")))
 
 
 def sentence_list(text: Column) -> Column:
-    """Sentences of a text: after !, ? or ; and white space, after a point before a capital, at line breaks and markers."""
+    """Sentences of a text: after !, ? or ; and white space, after a point before a capital, at line breaks and markers. Web
+    addresses are left whole: no marker is looked for in them, and what they end with ends no sentence."""
     markers = "|".join(MARKERS)
-    out = F.regexp_replace(text, f"(?iU)(?<!^)\\b(?=(?:{markers})\\b)", "\n")
+    between, urls = F.split(text, URL, -1), F.regexp_extract_all(text, F.lit(f"({URL})"), F.lit(1))
+    marked = F.transform(between, lambda x, i: F.regexp_replace(F.concat(F.when(i > 0, _JOINER).otherwise(""), x), f"(?iU)(?<!^)\\b(?=(?:{markers})\\b)", "\n"))
+    out = F.array_join(F.flatten(F.zip_with(marked, urls, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = F.regexp_replace(out, "(?<=[!?;])\\s+", "\n")
     out = F.regexp_replace(out, "(?<=\\.)\\s+(?=[A-ZÀ-Ỹ])", "\n")
-    return F.filter(F.transform(F.split(out, "\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(out, "\n+"), lambda x: F.trim(F.replace(x, F.lit(_JOINER), F.lit("")))), lambda x: x != "")
 
 
 def shortened(value: str, most: int = 60) -> list[str]:
-    """A long sentence in parts of at most `most` words, cut at a late comma or conjunction if there is one."""
-    out = []
-    while len(value.split()) > most:
-        head = " ".join(value.split()[:most])
-        cut = max(head.rfind(x) for x in (", ", " but ", " nhưng ", " and ", " và "))
-        cut = len(head) if cut < len(head) // 2 else cut
-        out.append(value[:cut].strip(" ,"))
-        value = value[cut:].strip(" ,")
-    return [*out, value] if value else out
+    """A long sentence in parts of at most `most` words. A part ends before the last joint (a comma, or but, and and their like,
+    between two words) in the second half of its first `most` words, or after all of them."""
+    words, parts, at = value.split(), [], 0
+    while len(words) - at > most:
+        offset, joints, length = 0, [], len(" ".join(words[at : at + most]))
+        for k in range(at, at + most - 1):
+            offset += len(words[k]) + 1
+            if words[k].endswith(",") and 2 * (offset - 2) >= length - 1:
+                joints.append(k + 1)
+            elif words[k + 1] in ("but", "nhưng", "and", "và") and k + 2 < at + most and 2 * (offset - 1) >= length - 1:
+                joints.append(k + 1)
+        to = joints[-1] if joints else at + most
+        parts.append(" ".join(words[at:to]).strip(" ,"))
+        at = to
+    rest = " ".join(words[at:]).strip(" ,")
+    return [*parts, rest] if rest else parts
 
 
 def _shortened(text: Column) -> Column:
@@ -136,12 +169,25 @@ def merged_captions(captions: DataFrame, max_gap_ms: int = 1500) -> DataFrame:
                 last["start_ms"] = min((x for x in (last["start_ms"], row["start_ms"]) if not pd.isna(x)), default=None)
                 last["end_ms"] = max((x for x in (last["end_ms"], row["end_ms"]) if not pd.isna(x)), default=None)
                 last["merged"] += 1
+                last["source_caption_ids"] = [*last["source_caption_ids"], row["caption_id"]]
             else:
-                kept.append(row | {"merged": 1})
-        return pd.DataFrame(kept)[["meeting_id", "caption_id", "speaker_raw", "start_ms", "end_ms", "text_raw", "order_index", "merged"]]
+                kept.append(row | {"merged": 1, "source_caption_ids": [row["caption_id"]]})
+        return pd.DataFrame(kept)[["meeting_id", "caption_id", "speaker_raw", "start_ms", "end_ms", "text_raw", "order_index", "merged", "source_caption_ids"]]
 
     forms = captions.withColumn("speaker_match", match_form(F.col("speaker_raw"))).withColumn("text_match", match_form(F.col("text_raw")))
     kind = dict(captions.dtypes)["meeting_id"]
     return forms.groupBy("meeting_id").applyInPandas(
-        fold, f"meeting_id {kind}, caption_id string, speaker_raw string, start_ms long, end_ms long, text_raw string, order_index long, merged int"
+        fold, f"meeting_id {kind}, caption_id string, speaker_raw string, start_ms long, end_ms long, text_raw string, order_index long, merged int, source_caption_ids array<string>"
     )
+
+
+def preprocessed(captions: DataFrame) -> DataFrame:
+    """The whole chain from captions to clauses with speaker, times and the captions they come from."""
+    merged = merged_captions(captions)
+    spoken = turns(merged.select("meeting_id", "caption_id", "speaker_raw", "start_ms", "end_ms", "text_raw", "order_index"))
+    rows = clauses(sentences(spoken))
+    lineage = merged.select("meeting_id", "caption_id", "source_caption_ids")
+    of_turn = spoken.select("meeting_id", "turn_no", F.posexplode("source_caption_ids").alias("at", "caption_id")).join(lineage, ["meeting_id", "caption_id"])
+    sources = of_turn.groupBy("meeting_id", "turn_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "source_caption_ids"))), lambda x: x["source_caption_ids"])).alias("source_caption_ids"))
+    about = spoken.select("meeting_id", "turn_no", "turn_id", "speaker_id", "speaker_name", "start_ms", "end_ms")
+    return rows.join(about, ["meeting_id", "turn_no"]).join(sources, ["meeting_id", "turn_no"])

@@ -145,17 +145,25 @@ def out01_final_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml05_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped folds: the largest groups are dealt first, to and fro over the folds, ties by hash."""
-    groups = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), F.sha2("source", 256))) - 1  # a row per source
-    turn = F.floor(F.col("place") / 5)
-    fold = F.when(turn % 2 == 0, F.col("place") % 5).otherwise(4 - F.col("place") % 5)
-    return groups.withColumn("place", place).select("source", "n", fold.cast("int").alias("fold"))
+    """Grouped folds: groups (here source and language) from the largest to the smallest, ties by hash, each to the fold that is
+    smallest so far. One row per group goes through one fold in the JVM; the rows themselves are joined to it."""
+    groups = table(spark, sf_dir, "documents").groupBy(F.concat_ws("|", "source", "lang").alias("group")).agg(F.count("*").alias("n"))
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.sha2("group", 256).alias("tie"), "group", "n"))).alias("gs"))
+    sizes = F.array(*(F.lit(0).cast("bigint") for _ in range(5)))
+    start = F.struct(sizes.alias("sizes"), F.array().cast("array<struct<group:string,n:bigint,fold:int>>").alias("out"))
+
+    def step(s: Column, g: Column) -> Column:
+        fold = (F.array_position(s["sizes"], F.array_min(s["sizes"])) - 1).cast("int")
+        return F.struct(F.transform(s["sizes"], lambda x, i: F.when(i == fold, x + g["n"]).otherwise(x)).alias("sizes"), F.array_append(s["out"], F.struct(g["group"].alias("group"), g["n"].alias("n"), fold.alias("fold"))).alias("out"))
+
+    return listed.select(F.explode(F.aggregate("gs", start, step)["out"]).alias("x")).select("x.*")
 
 
 ML05 = """
-WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(source)) - 1 AS place FROM g)
-SELECT source, n, CAST(CASE WHEN place // 5 % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END AS INTEGER) AS fold FROM p
+WITH RECURSIVE g AS (SELECT concat_ws('|', source, lang) AS grp, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(grp)) AS i FROM g),
+w AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS grp, 0::BIGINT AS n, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS sizes
+  UNION ALL SELECT o.i, o.grp, o.n, f.fold, list_transform(w.sizes, lambda x, k: CASE WHEN k = f.fold + 1 THEN x + o.n ELSE x END) FROM w JOIN o ON o.i = w.i + 1, LATERAL (SELECT CAST(list_position(w.sizes, list_min(w.sizes)) - 1 AS INTEGER) AS fold) f)
+SELECT grp AS "group", n, fold FROM w WHERE i > 0
 """
 
 

@@ -10,7 +10,9 @@ from tessera.operators.dates import anchored
 from tessera.plans.rendered import MEETING_DATE, ORDERED_SQL, _ordered
 from tessera.plans.said import SAID_FLAGS_SQL, annotated, keywords_sql, match_sql, matches, re2, sql_text
 
-_DAY = F.lit(MEETING_DATE).cast("date")
+def _day() -> F.Column:
+    return F.lit(MEETING_DATE).cast("date")
+
 
 #: Mentions: text, relation, kind, and the day each stands for from the meeting on 2024-02-01.
 MENTIONS = (
@@ -41,7 +43,7 @@ _CTE = f"""m AS (SELECT meeting_id, order_index AS i, event_id % 6 AS task_id, e
 
 
 def dat14_start_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = final.start_dates(_tasks(spark, sf_dir), _mentions(spark, sf_dir), _DAY)
+    found = final.start_dates(_tasks(spark, sf_dir), _mentions(spark, sf_dir), _day())
     return found.select("meeting_id", "task_id", F.col("start_date").cast("string").alias("start_date"), "explicit_start")
 
 
@@ -50,8 +52,8 @@ SELECT meeting_id, task_id, coalesce(day, '{MEETING_DATE}') AS start_date, day I
 
 
 def dat15_deadline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = _tasks(spark, sf_dir).withColumn("start_date", _DAY)
-    found = final.deadline_texts(tasks, _mentions(spark, sf_dir), _DAY)
+    tasks = _tasks(spark, sf_dir).withColumn("start_date", _day())
+    found = final.deadline_texts(tasks, _mentions(spark, sf_dir), _day())
     return found.select("meeting_id", "task_id", F.col("due_date").cast("string").alias("due_date"), "due_text")
 
 
@@ -64,8 +66,8 @@ def dat16_handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("Trực an ninh {} từ thứ năm", "Trực an ninh {} đến hết thứ tư", "Support {} until Friday", "support {} from monday", "Gửi báo cáo {}")))
     rows = _ordered(spark, sf_dir)
     tasks = rows.select(
-        "meeting_id", "event_id", F.replace(F.element_at(names, (F.col("event_id") % 5).cast("int") + 1), F.lit("{}"), (F.col("order_index") % 3).cast("string")).alias("task_name"), _DAY.alias("start_date"),
-        F.when(F.col("event_id") % 4 != 0, F.date_add(_DAY, (F.col("event_id") % 20).cast("int"))).alias("due_date"),
+        "meeting_id", "event_id", F.replace(F.element_at(names, (F.col("event_id") % 5).cast("int") + 1), F.lit("{}"), (F.col("order_index") % 3).cast("string")).alias("task_name"), _day().alias("start_date"),
+        F.when(F.col("event_id") % 4 != 0, F.date_add(_day(), (F.col("event_id") % 20).cast("int"))).alias("due_date"),
     )
     return final.handed_over(tasks).select("event_id", F.col("start_date").cast("string").alias("start_date"))
 

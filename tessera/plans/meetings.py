@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import cues, dates, ledger, segments
 from tessera.plans.rendered import CLAUSES_SQL, EVENTS_SQL, FLAGGED_SQL, MEETING_DATE, clauses, table, task_events
+from tessera.plans.said import SAID_SQL, match_sql, said, sql_text
 from tessera.sources import transcripts
 
 
@@ -33,7 +34,17 @@ def seg04_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("n")).select("role", segments.speaker_id(F.col("role")).alias("speaker_id"), "n")
 
 
-SEG04 = "SELECT role, 'SPK-' || substr(sha256(lower(trim(role))), 1, 8) AS speaker_id, count(*) AS n FROM conversations GROUP BY role"
+SEG04 = f"""SELECT role, 'SPK-' || substr(sha256(trim({match_sql("trim(regexp_replace(trim(role), '(?i)^(?:mr|ms|mrs|anh|chị|chi|em|bạn|ban|speaker)\\s+', ''))")})), 1, 8) AS speaker_id, count(*) AS n FROM conversations GROUP BY role"""
+
+
+def seg04_named_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with forms of address: all of one person have one id."""
+    spoken = F.element_at(F.array(*map(F.lit, ("{}", "anh {}", "Chị  {}", "{} ", "Mr {}"))), (F.col("order_index") % 5).cast("int") + 1)
+    rows = said(spark, sf_dir).withColumn("name", F.replace(spoken, F.lit("{}"), F.col("speaker_name")))
+    return rows.select("meeting_id", "clause_id", segments.display_name(F.col("name")).alias("display"), segments.speaker_id(F.col("name")).alias("speaker_id"))
+
+
+SEG04N = f"""WITH {SAID_SQL} SELECT meeting_id, clause_id, speaker_name AS display, 'SPK-' || substr(sha256({match_sql('speaker_name')}), 1, 8) AS speaker_id FROM said"""
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +75,25 @@ FROM t GROUP BY meeting_id, turn_no
 """
 
 
+def seg05_capped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of at most 40 characters."""
+    rows = segments.turns(_captions(spark, sf_dir), max_gap_ms=36_000_000, max_characters=40)
+    return rows.select("meeting_id", "turn_no", "text_raw", F.size("source_caption_ids").alias("n_captions"))
+
+
+SEG05C = """
+WITH RECURSIVE c AS (
+  SELECT user_id AS meeting_id, event_type AS t, event_id % 2 AS speaker, epoch_ms(ts) AS start_ms, row_number() OVER w AS i, lag(event_id % 2) OVER w AS before, epoch_ms(ts) - lag(epoch_ms(ts) + 1000) OVER w AS gap
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), walk AS (
+  SELECT meeting_id, i, 1 AS turn_no, length(t) AS size, t FROM c WHERE i = 1
+  UNION ALL SELECT c.meeting_id, c.i, CASE WHEN joins THEN turn_no ELSE turn_no + 1 END, CASE WHEN joins THEN size + length(c.t) + 1 ELSE length(c.t) END, c.t
+  FROM walk JOIN c ON c.meeting_id = walk.meeting_id AND c.i = walk.i + 1, LATERAL (SELECT c.before = c.speaker AND c.gap <= 36000000 AND walk.size + length(c.t) + 1 <= 40 AS joins) j
+)
+SELECT meeting_id, CAST(turn_no AS BIGINT) AS turn_no, string_agg(t, ' ' ORDER BY i) AS text_raw, CAST(count(*) AS INTEGER) AS n_captions FROM walk GROUP BY meeting_id, turn_no
+"""
+
+
 def seg06_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _turn_rows(spark, sf_dir).withColumn("sentence", segments.sentence_list(F.col("text_raw")))
     return rows.select("meeting_id", "turn_no", F.posexplode("sentence").alias("sentence_no", "text_raw"))
@@ -79,6 +109,46 @@ SELECT meeting_id, turn_no, CAST(unnest(range(0, len(parts))) AS INTEGER) AS sen
 """
 
 
+ADDRESSED = ("See https://a.org/x? Next one. Done", "Xong chưa? Rồi. Chốt lại 2.5 điểm; hết", "at http://b.c/correction; hold on, wait", "Ngày 1.5. Sau đó đổi thành thứ hai", "one. two! three?four")
+
+
+def seg06_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of texts with web addresses, decimals and markers."""
+    rows = said(spark, sf_dir).withColumn("text", F.element_at(F.array(*map(F.lit, ADDRESSED)), (F.col("order_index") % len(ADDRESSED)).cast("int") + 1))
+    return rows.select("meeting_id", "clause_id", F.posexplode(segments.sentence_list(F.col("text"))).alias("nth", "sentence"))
+
+
+# a marker that stands after a blank; web addresses have none, and their last character gets a joiner behind it
+SEG06P = f"""
+WITH {SAID_SQL}, a AS (SELECT meeting_id, clause_id, regexp_replace([{', '.join(map(sql_text, ADDRESSED))}][order_index % {len(ADDRESSED)} + 1], '(https?://\\S+)', '\\1' || chr(8288), 'g') AS t FROM said),
+b AS (SELECT meeting_id, clause_id, regexp_replace(t, '(?i)(\\s)((?:{'|'.join(segments.MARKERS)})(?:$|[^\\pL\\pN_]))', '\\1' || chr(10) || '\\2', 'g') AS t FROM a),
+c AS (SELECT meeting_id, clause_id, regexp_replace(regexp_replace(t, '([!?;])\\s+', '\\1' || chr(10), 'g'), '\\.\\s+([A-ZÀ-Ỹ])', '.' || chr(10) || '\\1', 'g') AS t FROM b),
+p AS (SELECT meeting_id, clause_id, list_filter(list_transform(regexp_split_to_array(replace(t, chr(8288), ''), '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM c)
+SELECT meeting_id, clause_id, CAST(unnest(range(0, len(parts))) AS INTEGER) AS nth, unnest(parts) AS sentence FROM p
+"""
+
+
+def src08_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations packed with title, date and note, and read again; some are broken on purpose."""
+    rows = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id") + F.col("turn")
+    whole = transcripts.package(
+        F.when(k % 3 != 0, F.concat(F.lit("M"), "conv_id")).otherwise(""), F.when(k % 2 == 0, "Weekly  plan").otherwise(""), F.lit(""), F.when(k % 4 == 0, F.concat(F.lit(" note of "), "role")), F.trim(F.regexp_replace("text", "\\s+", " "))
+    )
+    broken = F.when(k % 7 == 0, F.replace(whole, F.lit(transcripts.TRANSCRIPT), F.lit("=== TEXT ==="))).otherwise(whole)
+    return rows.select("conv_id", "turn", transcripts.unpackaged(broken).alias("p")).select("conv_id", "turn", F.sha2("p.transcript", 256).alias("sha"), "p.note", "p.meeting_id", "p.meeting_title", "p.meeting_date")
+
+
+SRC08 = """
+WITH r AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, conv_id + turn AS k FROM conversations),
+s AS (SELECT *, CASE WHEN k % 3 <> 0 THEN 'M' || conv_id ELSE '' END AS id, CASE WHEN k % 2 = 0 THEN 'Weekly plan' ELSE '' END AS title, CASE WHEN k % 4 = 0 THEN 'note of ' || role END AS note FROM r),
+w AS (SELECT *, id <> '' OR title <> '' AS known, k % 7 = 0 AND (id <> '' OR title <> '' OR note IS NOT NULL) AS broken FROM s)
+SELECT conv_id, turn, sha256(CASE WHEN broken THEN concat_ws(chr(10), CASE WHEN known THEN '=== MEETING METADATA ===' || chr(10) || 'meeting_id: ' || id || chr(10) || 'meeting_title: ' || title || chr(10) || 'meeting_date: ' || chr(10) || '=== END MEETING METADATA ===' END,
+  CASE WHEN note IS NOT NULL THEN '=== MEETING NOTE ===' || chr(10) || note || chr(10) || '=== END MEETING NOTE ===' END, '=== TEXT ===', t) ELSE t END) AS sha,
+  CASE WHEN NOT broken THEN note END AS note, CASE WHEN known AND NOT broken THEN id ELSE '' END AS meeting_id, CASE WHEN known AND NOT broken THEN title ELSE '' END AS meeting_title, '' AS meeting_date FROM w
+"""
+
+
 def seg08_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments.clauses(segments.sentences(_turn_rows(spark, sf_dir)))
     return rows.groupBy("meeting_id").agg(F.count("*").alias("n_clauses"), F.max("order_index").alias("last_index"), F.min("clause_id").alias("first_id"), F.sum(F.length("text_raw")).alias("n_chars"))
@@ -339,7 +409,7 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value),
 
 QUERIES = {
     "flagship": (flagship, FLAGSHIP), "src01_plain_transcripts": (src01_plain_transcripts, SRC01), "src02_vtt_cues": (src02_vtt_cues, SRC02), "src06_page_text": (src06_page_text, SRC06),
-    "seg01_normal_forms": (seg01_normal_forms, SEG01), "seg03_live_captions": (seg03_live_captions, None), "seg04_speakers": (seg04_speakers, SEG04), "seg05_turns": (seg05_turns, SEG05),
+    "seg01_normal_forms": (seg01_normal_forms, SEG01), "seg03_live_captions": (seg03_live_captions, None), "seg04_speakers": (seg04_speakers, SEG04), "seg04_named_speakers": (seg04_named_speakers, SEG04N), "seg05_capped_turns": (seg05_capped_turns, SEG05C), "seg06_protected": (seg06_protected, SEG06P), "src08_packages": (src08_packages, SRC08), "seg05_turns": (seg05_turns, SEG05),
     "seg06_sentences": (seg06_sentences, SEG06), "seg08_clauses": (seg08_clauses, None), "seg10_blocks": (seg10_blocks, SEG10), "cue04_annotations": (cue04_annotations, CUE04),
     "cue06_strategies": (cue06_strategies, CUE06), "jon02_windows": (jon02_windows, JON02), "jon04_previous_speaker": (jon04_previous_speaker, JON04),
     "dat01_mentions": (dat01_mentions, DAT01), "dat10_working_days": (dat10_working_days, DAT10), "agg01_event_dedupe": (agg01_event_dedupe, AGG01), "led01_ledger": (led01_ledger, None),

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis, evidence, extracted, guarding, meetings, proposed
+from tessera.plans import analysis, evaluated, evidence, extracted, guarding, handed, meetings, offlined, proposed, reduced, routed, selected, temporal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ALL = {name: query for module in (meetings, analysis, evidence, guarding, extracted, proposed) for name, query in module.QUERIES.items()}
+MODULES = (meetings, analysis, evidence, guarding, extracted, proposed, temporal, evaluated, routed, selected, reduced, handed, offlined)
+
+ALL = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

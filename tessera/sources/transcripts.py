@@ -6,11 +6,13 @@ exploded with their positions, and what depends on earlier lines is a window wit
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sequence_id, speaker_and_text, stamp_ms
+from tessera.functions.text import let, sequence_id, speaker_and_text, stamp_ms
 
 #: Patterns of the formats.
 TIMING = "^((?:\\d{2}:)?\\d{2}:\\d{2}[.,]\\d{3})\\s+-->\\s+((?:\\d{2}:)?\\d{2}:\\d{2}[.,]\\d{3})"
@@ -88,14 +90,60 @@ def captions(files: DataFrame) -> DataFrame:
     return cues(kind.where("kind <> 'plain'")).unionByName(plain(kind.where("kind = 'plain'")))
 
 
-def package(metadata: Column, note: Column, transcript: Column) -> Column:
-    """One text with METADATA, NOTE and TRANSCRIPT sections (only the transcript if there is neither of the others)."""
-    whole = F.concat_ws("\n", F.lit("=== METADATA ==="), metadata, F.lit("=== NOTE ==="), note, F.lit("=== TRANSCRIPT ==="), transcript)
-    return F.when(F.coalesce(metadata, note).isNull(), transcript).otherwise(whole)
-
-
-def unpackaged(text: Column) -> tuple[Column, Column, Column]:
-    """The three sections; a text without all of them in order is a transcript alone."""
-    pattern = "(?s)^=== METADATA ===\n(.*?)\n?=== NOTE ===\n(.*?)\n?=== TRANSCRIPT ===\n(.*)$"
-    full = text.rlike(pattern)
-    return tuple(F.when(full, F.regexp_extract(text, pattern, i)).otherwise(F.lit("") if i < 3 else text) for i in (1, 2, 3))
+# The marks around a package's sections.
+METADATA = ("=== MEETING METADATA ===", "=== END MEETING METADATA ===")
+NOTE = ("=== MEETING NOTE ===", "=== END MEETING NOTE ===")
+TRANSCRIPT = "=== TRANSCRIPT ==="
+FIELDS = ("meeting_id", "meeting_title", "meeting_date")
+
+
+def package(meeting_id: Column, title: Column, date: Column, note: Column, transcript: Column) -> Column:
+    """One text with the metadata (if there is any), the note (if there is one) and the transcript; the transcript alone if
+    there is neither."""
+    flat = lambda c: F.coalesce(F.trim(F.regexp_replace(c, "(?U)\\s+", " ")), F.lit(""))
+    values = [flat(c) for c in (meeting_id, title, date)]
+    known = (values[0] != "") | (values[1] != "") | (values[2] != "")
+    own = F.coalesce(F.trim(F.regexp_replace(note, "^\\s+|\\s+$", "")), F.lit(""))
+    head = F.when(known, F.concat_ws("\n", F.lit(METADATA[0]), *(F.concat(F.lit(f"{name}: "), v) for name, v in zip(FIELDS, values, strict=True)), F.lit(METADATA[1])))
+    noted = F.when(own != "", F.concat_ws("\n", F.lit(NOTE[0]), own, F.lit(NOTE[1])))
+    body = F.concat_ws("\n", F.lit(TRANSCRIPT), F.regexp_replace(transcript, "^\\s+", ""))
+    return F.when(known | (own != ""), F.concat_ws("\n", head, noted, body)).otherwise(transcript)
+
+
+def unpackaged(text: Column) -> Column:
+    """transcript, note and the fields of the metadata of a package as a struct; a text without marks, or with some of them only,
+    is a transcript as it stands."""
+    cut = lambda c, marks, i: F.regexp_extract(c, f"(?s)^{re.escape(marks[0])}\\s*\\n(.*?)\\n{re.escape(marks[1])}\\s*\\n(.*)$", i)
+    has = lambda c, marks: c.rlike(f"(?s)^{re.escape(marks[0])}\\s*\\n.*?\\n{re.escape(marks[1])}\\s*\\n.*$")
+    start = F.regexp_replace(text, "^\\s+", "")
+    final = f"(?s)^{re.escape(TRANSCRIPT)}\\s*\\n(.*)$"
+
+    def parts(own: Column) -> Column:
+        meta, rest = F.when(has(own, METADATA), cut(own, METADATA, 1)), F.when(has(own, METADATA), cut(own, METADATA, 2)).otherwise(own)
+        return let(F.struct(meta.alias("meta"), rest.alias("rest")), lambda a: let(
+            F.struct(a["meta"].alias("meta"), F.when(has(a["rest"], NOTE), cut(a["rest"], NOTE, 1)).alias("note"), F.when(has(a["rest"], NOTE), cut(a["rest"], NOTE, 2)).otherwise(a["rest"]).alias("rest")), finished
+        ))
+
+    def finished(b: Column) -> Column:
+        whole, partial = b["rest"].rlike(final), b["meta"].isNotNull() | b["note"].isNotNull()
+        field = lambda name: F.when(whole, F.trim(F.regexp_extract(F.coalesce(b["meta"], F.lit("")), f"(?im)^\\s*{name}\\s*:(.*)$", 1))).otherwise("").alias(name)
+        note = F.when(whole, F.nullif(F.trim(F.regexp_replace(b["note"], "^\\s+|\\s+$", "")), F.lit("")))
+        return F.struct(F.when(whole, F.regexp_extract(b["rest"], final, 1)).when(partial, text).otherwise(b["rest"]).alias("transcript"), note.alias("note"), *(field(n) for n in FIELDS))
+
+    return let(start, parts)
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-16 with a byte order mark, else UTF-8 with or without one; null if they are empty or neither."""
+    head = F.hex(F.substring(content, 1, 2))
+    wide = F.when(head == "FFFE", F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE")).when(head == "FEFF", F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE"))
+    bare = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content)
+    narrow = F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string"))
+    return F.when(F.length(content) > 0, F.coalesce(wide, narrow))
+
+
+def diarised(segments: Column) -> Column:
+    """Segments (array of speaker, text) as lines of `speaker: text`; those without either are left out."""
+    flat = lambda c: F.trim(F.regexp_replace(c, "[\\r\\n]", " "))
+    kept = F.filter(segments, lambda s: (F.trim(F.coalesce(s["speaker"], F.lit(""))) != "") & (F.trim(F.coalesce(s["text"], F.lit(""))) != ""))
+    return F.concat(F.array_join(F.transform(kept, lambda s: F.concat(flat(s["speaker"]), F.lit(": "), flat(s["text"]))), "\n"), F.lit("\n"))

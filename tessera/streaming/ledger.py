@@ -37,21 +37,25 @@ def tasks(events: DataFrame, end_after: str = "1 day") -> DataFrame:
     column ts and those of the batch fold."""
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ledger, waiting = Ledger(), []
+        ledger, waiting, last_ms = Ledger(), [], 0
         if state.exists:
             held = json.loads(state.get[0])
-            ledger, waiting = Ledger(held["ledger"]), held["waiting"]
+            ledger, waiting, last_ms = Ledger(held["ledger"]), held["waiting"], held["last_ms"]
         if state.hasTimedOut:
             for event in sorted(waiting, key=lambda e: (e["order_index"], e["event_id"])):
                 ledger.apply(event)
             state.remove()
         else:
-            fresh = [r for b in batches for r in b[list(_FIELDS)].to_dict("records")]
+            frames = list(batches)
+            fresh = [r for b in frames for r in b[list(_FIELDS)].to_dict("records")]
+            newest = max((int(b["ts"].max().timestamp() * 1000) for b in frames if len(b)), default=0)
+            last_ms = max(last_ms, newest)
             for event in sorted(fresh, key=lambda e: (e["order_index"], e["event_id"])):
                 unbound = event["event_type"] in ("DEADLINE_SET", "DEADLINE_REPLACE") and ledger.target(event) is None
                 (waiting.append if unbound else ledger.apply)(event)
-            state.update((json.dumps({"ledger": ledger.state(), "waiting": waiting}),))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(pd.Timedelta(end_after).total_seconds() * 1000))
+            state.update((json.dumps({"ledger": ledger.state(), "waiting": waiting, "last_ms": last_ms}),))
+            # from the meeting's own last event: in the first batch the watermark is still 1970
+            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + int(pd.Timedelta(end_after).total_seconds() * 1000))
         yield pd.DataFrame(ledger.rows(int(key[0])), columns=[x.split(" ")[0] for x in TASK.split(", ")])
 
     ready = events.withWatermark("ts", "1 hour").select(
