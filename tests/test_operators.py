@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import cues, dates, ledger, segments
+from tessera.operators import cues, dates, evaluation, extraction, ledger, segments
 from tessera.sources import transcripts
 
 
@@ -40,10 +43,25 @@ def test_readers_number_captions_and_carry_speakers(spark):
 
 
 def test_package_and_back(spark):
-    whole = transcripts.package(F.col("m"), F.col("n"), F.col("t"))
-    row = spark.createDataFrame([("A: 1", "note", "An: hi\nB: x"), (None, None, "An: hi")], "m string, n string, t string").select(whole.alias("p"))
-    parts = transcripts.unpackaged(F.col("p"))
-    assert [tuple(r) for r in row.select(*parts).collect()] == [("A: 1", "note", "An: hi\nB: x"), ("", "", "An: hi")]
+    whole = transcripts.package(F.col("i"), F.col("m"), F.col("d"), F.col("n"), F.col("t"))
+    rows = [("M1", "Weekly  plan", "2024-02-01", " note\nmore ", "An: hi\nB: x"), ("", "", "", "", "An: hi"), (None, None, None, "only a note", "  An: hi"), ("M2", None, None, None, "x")]
+    df = spark.createDataFrame(rows, "i string, m string, d string, n string, t string").select(whole.alias("p"))
+    packed = [r.p for r in df.collect()]
+    assert packed[0] == (
+        "=== MEETING METADATA ===\nmeeting_id: M1\nmeeting_title: Weekly plan\nmeeting_date: 2024-02-01\n=== END MEETING METADATA ===\n=== MEETING NOTE ===\nnote\nmore\n=== END MEETING NOTE ===\n=== TRANSCRIPT ===\nAn: hi\nB: x"
+    )
+    assert packed[1] == "An: hi"
+    got = [tuple(r.x) for r in df.select(transcripts.unpackaged(F.col("p")).alias("x")).collect()]
+    assert got == [("An: hi\nB: x", "note\nmore", "M1", "Weekly plan", "2024-02-01"), ("An: hi", None, "", "", ""), ("An: hi", "only a note", "", "", ""), ("x", None, "M2", "", "")]
+    broken = packed[0].replace("=== TRANSCRIPT ===", "=== TEXT ===")
+    assert tuple(one(spark, transcripts.unpackaged(F.col("p")), p=broken)) == (broken, None, "", "", "")
+
+
+def test_srt_is_read_like_vtt(spark):
+    srt = "1\n00:00:01,000 --> 00:00:02,500\nAn: xin chào\n\n2\n00:00:03,250 --> 00:00:04,000\nkhông tên\n"
+    files = spark.createDataFrame([(1, "a.srt", srt)], "meeting_id long, file_name string, transcript string")
+    got = [(r.caption_id, r.speaker_raw, r.start_ms, r.end_ms, r.text_raw) for r in transcripts.captions(files).orderBy("order_index").collect()]
+    assert got == [("CAP-000001", "An", 1000, 2500, "xin chào"), ("CAP-000002", "Unknown", 3250, 4000, "không tên")]
 
 
 def test_live_captions_grow(spark):
@@ -56,6 +74,8 @@ def test_live_captions_grow(spark):
 def test_sentences_and_clauses(spark):
     assert one(spark, segments.sentence_list(F.col("t")), t="Xong chưa? Rồi. Chốt lại 2.5 điểm; hết\nNữa") == ["Xong chưa?", "Rồi.", "Chốt lại 2.5 điểm;", "hết", "Nữa"]
     assert one(spark, segments.clause_list(F.col("t")), t="An sẽ gửi báo cáo, còn Bình kiểm tra và Chi sẽ cập nhật") == ["An sẽ gửi báo cáo", "còn Bình kiểm tra", "và Chi sẽ cập nhật"]
+    address = "Xem https://a.org/correction? Rồi đổi thành 1.5. Xong"
+    assert one(spark, segments.sentence_list(F.col("t")), t=address) == ["Xem https://a.org/correction? Rồi", "đổi thành 1.5.", "Xong"]
     long = " ".join(["a"] * 50 + ["b,"] + ["c"] * 40)
     assert [len(x.split()) for x in segments.shortened(long)] == [51, 40]
 
@@ -112,3 +132,46 @@ def test_context_dates_are_read_from_conversations(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = {r.conv_id: r.meeting_date for r in dat05_context_dates(spark, str(tmp_path)).collect()}
     assert found == {1: "2024-02-02", 2: None, 4: "2024-02-05"}
+
+
+CAPTION = "meeting_id long, caption_id string, speaker_raw string, start_ms long, end_ms long, text_raw string, order_index long"
+
+
+def test_from_captions_to_events_and_tasks(spark):
+    said = ["Anh An: ", "Chào mọi người", "Bình, em hãy gửi báo cáo doanh thu trước thứ sáu nhé", "Dạ, em sẽ chuẩn bị hợp đồng mẫu", "Hủy task kiểm thử"]
+    who = ["Anh An", "An", "An", "Chi", "anh  An"]
+    rows = [(1, f"CAP-{i:06d}", w, 5000 * i, 5000 * i + 900, t, i) for i, (w, t) in enumerate(zip(who, said, strict=True)) if i]
+    rows.append((1, "CAP-000009", "Bình", 60_000, 61_000, "ok", 9))
+    clauses = segments.preprocessed(spark.createDataFrame(rows, CAPTION))
+    annotated = cues.annotated(clauses, F.col("text_normalized").contains("thứ sáu")).withColumn("deadline_mention_id", F.when(F.array_contains("flags", "DATE_MENTION"), "D1"))
+    got = [(r.event_type, r.action_text, r.assignee, r.deadline_mention_id) for r in extraction.events(annotated).orderBy("order_index").collect()]
+    assert got == [("OWNER_ASSIGN", "Gửi báo cáo doanh thu", "Bình", "D1"), ("TASK_COMMITMENT", "Chuẩn bị hợp đồng mẫu", "Chi", ""), ("TASK_CANCEL", "", "", "")]
+    assert {r.speaker_id for r in clauses.where("speaker_name = 'An'").collect()} == {clauses.where("speaker_name = 'An'").first().speaker_id}
+    assert clauses.orderBy("order_index").first().source_caption_ids == ["CAP-000001"]
+
+
+def test_actions_are_cleaned_and_judged(spark):
+    cases = {
+        "kiểm tra lại dữ liệu và viết báo cáo tuần, em nhớ nhé": ("Viết báo cáo tuần", True), "còn việc gửi hợp đồng trước thứ hai": ("Gửi hợp đồng", True), "làm như vậy": ("Làm như vậy", False),
+        "cập nhật lại task 5": ("Cập nhật lại task 5", False), "gửi biên bản sau cuộc họp": ("Gửi biên bản sau cuộc họp", False), "cam kết sẽ deploy pipeline, thứ sáu": ("Deploy pipeline", True), "": ("", False),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", extraction.clean_action(F.col("t")).alias("a"))
+    assert {r.t: (r.a, r.c) for r in df.select("t", "a", extraction.is_concrete(F.col("a")).alias("c")).collect()} == cases
+
+
+@settings(max_examples=150, deadline=None)
+@given(rows=st.integers(1, 4), columns=st.integers(1, 4), data=st.data())
+def test_best_pairs_equal_all_pairings(rows, columns, data):
+    values = data.draw(st.lists(st.sampled_from((0.0, 0.0, 0.72, 0.8, 0.9, 1.0)), min_size=rows * columns, max_size=rows * columns))
+    score = np.array(values).reshape(rows, columns)
+    pairs = evaluation.best_pairs(score)
+    assert len({r for r, _ in pairs}) == len(pairs) == len({c for _, c in pairs}) and all(score[r, c] > 0 for r, c in pairs)
+    assert abs(sum(1e6 + score[r, c] for r, c in pairs) - evaluation.brute_pairs(score)) < 1e-6
+
+
+def test_fuzzy_pairing_counts_pairs_before_scores(spark):
+    schema = "case_id long, task_id long, task_key string, task_name string"
+    expected = spark.createDataFrame([(1, 1, "", "Gửi báo cáo"), (1, 2, "", "Gửi báo cáo doanh thu tháng"), (2, 1, "k", "x")], schema)
+    actual = spark.createDataFrame([(1, 7, "", "gui bao cao doanh thu"), (1, 8, "", "Gửi báo cáo"), (2, 9, "k", "anything"), (2, 10, "", "x")], schema)
+    got = sorted((r.case_id, r.expected_id, r.actual_id) for r in evaluation.paired(expected, actual).collect())
+    assert got == [(1, 1, 8), (1, 2, 7), (2, 1, 9)]

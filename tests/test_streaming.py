@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -33,3 +35,25 @@ def test_sessions_and_duplicates(spark, tmp_path):
     done = {(r.user_id, r.n, r.total) for r in run(stream.sessions(source()), "sessions_stream", "append", tmp_path).collect()}
     assert {(1, 2, 3.0), (1, 1, 4.0)} <= done
     assert run(stream.submitted_once(source()), "once_stream", "append", tmp_path).count() == 3
+
+
+def test_state_outlives_batches_without_rows_of_a_meeting(spark, tmp_path):
+    """Three files, a batch each: the meeting's first event, others' events hours later, and the end of its task."""
+    schema = "meeting_id long, event_id string, event_type string, extraction_source string, related_task_id string, action_text string, assignee string, deadline_mention_id string, order_index long, ts string"
+    files = [
+        [(1, "E1", "TASK_CREATE", "RULE", "", "write report", "An", "", 1, "2024-01-01 08:00:00")],
+        [(2, "E1", "TASK_CREATE", "RULE", "", "other", "An", "", 1, "2024-01-01 12:00:00"), (2, "E2", "TASK_CREATE", "RULE", "", "third", "", "", 2, "2024-01-01 13:00:00")],
+        [(1, "E2", "TASK_CANCEL", "RULE", "TASK-000001", "", "", "", 2, "2024-01-01 14:00:00"), (1, "E3", "TASK_CREATE", "RULE", "", "second", "Chi", "", 3, "2024-01-01 14:01:00")],
+    ]
+    frames = []
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "gap"))
+        frames.append(df)
+        time.sleep(1.1)
+    source = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "gap"))
+    found = run(stream.tasks(source), "gap_stream", "update", tmp_path)
+    last = {(r.meeting_id, r.task_id): r.status for r in found.collect()}
+    assert last[1, "TASK-000001"] == "CANCELLED" and last[1, "TASK-000002"] == "CONFIRMED"
+    everything = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    assert last == {(r.meeting_id, r.task_id): r.status for r in ledger.folded(everything).collect()}
