@@ -255,7 +255,8 @@ def events(rows: DataFrame) -> DataFrame:
         .when(F.size("new") > 0, take("new"))
         .when(deadline_only, event("DEADLINE_SET", who=speaker, hint=F.col("text_raw")))
     )
-    rows = rows.withColumn("event", chosen).where("event is not null")
+    # exploded, not filtered: a filter would be pushed down and compute the candidates a second time
+    rows = rows.withColumn("event", F.explode(F.array_compact(F.array(chosen))))
     return rows.select(
         "meeting_id", "clause_id", "order_index", *(F.col(f"event.{c}").alias(c) for c in EVENT), F.coalesce("deadline_mention_id", F.lit("")).alias("deadline_mention_id"),
         F.col("rule_confidence").alias("confidence"), F.lit("RULE").alias("extraction_source"),

@@ -62,8 +62,10 @@ def seeds(rows: DataFrame, has_deadline: Column) -> DataFrame:
         "ACCEPTANCE": has("CONFIRMATION") | found(ACCEPTANCE), "ACTION": has("ACTION_VERB") | found(ACTION), "AUTHORITY": owner, "DEADLINE": has_deadline,
         "MUTATION": has(*CHANGING), "NEGATIVE": has(*AGAINST), "OWNER": owner, "RECAP": found(RECAP), "TASK_REFERENCE": found(REFERENCE),
     }
-    out = rows.withColumn("roles", F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in roles.items()))))
-    return out.where(F.size("roles") > 0).withColumn("seed_id", F.concat(F.lit("SEED-"), "clause_id"))
+    found_roles = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in roles.items())))
+    # exploded, not filtered: a filter would be pushed below the flags and compute them once for each role
+    out = rows.withColumn("roles", F.explode(F.filter(F.array(found_roles), lambda r: F.size(r) > 0)))
+    return out.withColumn("seed_id", F.concat(F.lit("SEED-"), "clause_id"))
 
 
 def relations(seed_rows: DataFrame) -> DataFrame:
