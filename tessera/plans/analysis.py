@@ -148,19 +148,23 @@ SELECT label, count(*) AS n, CAST(i AS INTEGER) AS i, round(avg(x::DOUBLE), 6) A
 """
 
 
-#: Centroids that a query holds against all vectors.
-MOST_TOPICS = 4096
+#: Centroids of a block, about, blocks that are sent to every task, and parts that vectors are dealt in where there are more.
+BLOCK, SENT_BLOCKS, DEALT = 1024, 4, 64
 
 
 def ret06_nearest_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's nearest centroid, linked if it is near enough and far enough from the second. The centroids, at most
-    MOST_TOPICS, go to every task as one row."""
+    """Each vector's nearest centroid, linked if it is near enough and far enough from the second. Vectors meet the centroids block
+    by block: few blocks go to every task, more of them meet the vectors by (block, part), of which there are many."""
     rows = table(spark, sf_dir, "embeddings")
     topics = vectors.centroids(rows, "label", "embedding").select(F.col("label").alias("topic"), "centroid")
-    if len(topics.select("topic").take(MOST_TOPICS + 1)) > MOST_TOPICS:
-        raise ValueError(f"more than {MOST_TOPICS} topics")
-    topics = topics.groupBy().agg(F.collect_list(F.struct("topic", "centroid")).alias("topics"))
-    scored = rows.crossJoin(F.broadcast(topics)).select("vec_id", "embedding", F.explode("topics").alias("t")).select("vec_id", F.col("t.topic").alias("topic"), F.round(T.cosine(F.col("embedding"), F.col("t.centroid")), 6).alias("score"))
+    blocks = max(1, -(-rows.select("label").distinct().count() // BLOCK))
+    topics = topics.groupBy(F.pmod(F.xxhash64("topic"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("topic", "centroid")).alias("topics"))
+    rows = rows.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(DEALT)).alias("part"))
+    if blocks <= SENT_BLOCKS:
+        met = rows.join(F.broadcast(topics), "block")
+    else:
+        met = rows.join(topics.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))), ["block", "part"])
+    scored = met.select("vec_id", "embedding", F.explode("topics").alias("t")).select("vec_id", F.col("t.topic").alias("topic"), F.round(T.cosine(F.col("embedding"), F.col("t.centroid")), 6).alias("score"))
     return ranking.top_with_margin(scored, "vec_id", "topic", 0.3, 0.05).select("vec_id", "topic", "score", F.round("margin", 6).alias("margin"), "status")
 
 
