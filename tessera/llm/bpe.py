@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.blocks import blocks, byte_hashes, narrowed
 
 #: Bytes that the ids which a worker remembers may take; it forgets all of them when there are more.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 64 << 20
 
 #: Bytes of pre-tokens from which numpy takes the queue's large buckets.
 MANY = 20_000
