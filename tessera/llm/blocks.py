@@ -228,12 +228,15 @@ def bucketed(df: DataFrame, what: str) -> DataFrame:
 
 
 def forgotten(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
+    """Deletes written tables that nothing reads any more, and the catalog's entry of bucketed ones."""
     for df in tables:
         files = df.inputFiles()
         if files:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if "-" not in path.getName() and spark.catalog.tableExists(path.getName()):
+                spark.sql(f"DROP TABLE {path.getName()}")
 
 
 def partitions(spark: SparkSession) -> int:

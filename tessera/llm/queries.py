@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontamination, jaccard, licences, neighbours, pii, quality, substrings, suffixes, toxicity
+from tessera.llm import bpe, clusters, decontamination, jaccard, licences, mixing, negatives, neighbours, pii, quality, substrings, suffixes, toxicity
 from tessera.llm.blocks import table
+from tessera.llm.oracles import OP6_SQL, OP11_SQL, OP13_SQL, op12_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,25 +75,27 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.notices(docs, licences.fit(licences.sample(docs)))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(spark, clusters.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings, op10_licences)}
+    found = (
+        op1_quality, op2_decontamination, op3_toxicity, op4_pii, op5_bpe, op6_neighbours, op7_jaccard, op8_suffixes, op9_substrings, op10_licences,
+        op11_negatives, op12_clusters, op13_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_neighbours": OP6_SQL}
-
-
-OP6_SQL = """
-WITH fit AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
-  FROM fit q JOIN fit c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-  WHERE q.vec_id % 100 = 0
-)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
-"""
+    return {"op6_neighbours": OP6_SQL, "op11_negatives": OP11_SQL, "op12_clusters": op12_sql(), "op13_mixing": OP13_SQL}
+
