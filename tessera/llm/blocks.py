@@ -152,10 +152,15 @@ def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
 LONG = 64
 
 
-def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]: 8 bytes after the other, each mixed into what was before."""
+#: Seed of the second of two 64-bit hashes, which go their own ways from the first byte on.
+TWIN = np.uint64(0xA0761D6478BD642F)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64 = _ODD) -> np.ndarray:
+    """64-bit hashes of data[start:end]: 8 bytes after the other, each mixed into what was before. A step can be solved for
+    the bytes that collide, so what must be told apart takes two of them, with different seeds."""
     size = end - start
-    out = mixed(size.astype(np.uint64) + _ODD)
+    out = mixed(size.astype(np.uint64) + seed)
     view = loads(data)
     live = np.flatnonzero((size > 0) & (size <= LONG))
     at, left, own = start[live], size[live], out[live]
@@ -165,7 +170,7 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         more = left > 8
         live, at, left, own = live[more], at[more] + 8, left[more] - 8, own[more]
     for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=int(seed).to_bytes(8, "little")).digest(), "little")
     return out
 
 
@@ -177,10 +182,11 @@ class Words(NamedTuple):
     row: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    twin: np.ndarray | None
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Words are the longest runs without separators; they never cross rows."""
+def words(data: np.ndarray, bounds: np.ndarray, twin: bool = False) -> Words:
+    """Words are the longest runs without separators; they never cross rows. With twin, also their second hashes."""
     inside = np.zeros(len(data) + 2, bool)
     np.logical_not(SEPARATOR[data], out=inside[1:-1])
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
@@ -190,7 +196,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    return Words(start, end, row, first, byte_hashes(data, start, end))
+    return Words(start, end, row, first, byte_hashes(data, start, end), byte_hashes(data, start, end, TWIN) if twin else None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ and only cells not yet done are expanded again. After ROUNDS rounds every remain
 components is missed, and none is capped; a cell of more than CHUNK nodes is then dealt as pairs of chunks, so no task
 holds it.
 
-Sets are equal if the 128-bit hashes of their n-grams' hashes are. Copies by the thousand share such a hash: rows of sets
+N-grams are told apart by two 64-bit hashes, which are made of two hashes of each word that differ from its first byte on;
+sets are equal if a hash of the first ones and a hash of the second ones are. Copies by the thousand share such a hash: rows of sets
 with more than a share of all documents (at most 10,000 of them) get their node by a broadcast join, the others by a
 shuffle.
 
@@ -26,13 +27,14 @@ others; an empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, bucketed, forgotten, in_a_row, mixed, narrowed, words, written
+from tessera.llm.blocks import LOWER, TWIN, bucketed, forgotten, in_a_row, mixed, narrowed, words, written
 from tessera.llm.components import components
 from tessera.llm.packed import (
     PACKED, array_rows, gathered, hash_part, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, together, tree_sum, unpacked, with_texts,
@@ -49,6 +51,7 @@ CHUNK = 4096
 
 _NODE = "doc_id long, source long, n long, mark long, twin long, group long, prefix binary, bitmap binary"
 
+
 def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (key, id), by key and then by id."""
     order = np.lexsort((ids, keys))
@@ -58,36 +61,54 @@ def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[new], ids[new]
 
 
-def sets_of(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams' hashes of each row, sorted, one row after the other, and where each row's begin and end."""
-    w = words(LOWER[data], bounds)
+class Sets(NamedTuple):
+    """Distinct n-grams of rows, one row after the other, each row's by hash: two 64-bit hashes of each, and where rows begin and end."""
+
+    value: np.ndarray
+    twin: np.ndarray
+    cut: np.ndarray
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.value[self.cut[i] : self.cut[i + 1]], self.twin[self.cut[i] : self.cut[i + 1]]
+
+
+def sets_of(data: np.ndarray, bounds: np.ndarray, n: int) -> Sets:
+    """The sets of rows. N-grams are told apart by both hashes, which are made of two hashes of each word."""
+    w = words(LOWER[data], bounds, twin=True)
     rows = len(bounds) - 1
     count = np.diff(w.first)
-    all_grams = in_a_row(w.hash, n)
-    last = np.arange(len(all_grams)) + n - 1
-    fit = np.flatnonzero(w.row[: len(all_grams)] == w.row[last]) if len(all_grams) else np.zeros(0, np.int64)
-    values, owners = [all_grams[fit]], [w.row[fit]]
+    grams = in_a_row(w.hash, n), in_a_row(w.twin, n, seed=TWIN)
+    last = np.arange(len(grams[0])) + n - 1
+    fit = np.flatnonzero(w.row[: len(last)] == w.row[last]) if len(last) else np.zeros(0, np.int64)
+    values, twins, owners = [grams[0][fit]], [grams[1][fit]], [w.row[fit]]
     for k in range(1, n):  # all words of a row of fewer than n
         short = np.flatnonzero(count == k)
         if len(short):
-            values.append(mixed(in_a_row(w.hash, k)[w.first[short]] + np.uint64(k)))
+            at = w.first[short]
+            values.append(mixed(in_a_row(w.hash, k)[at] + np.uint64(k)))
+            twins.append(mixed(in_a_row(w.twin, k, seed=TWIN)[at] + np.uint64(k)))
             owners.append(short)
-    value, row = np.concatenate(values), np.concatenate(owners)
+    value, twin, row = np.concatenate(values), np.concatenate(twins), np.concatenate(owners)
     order = np.lexsort((value, row))
-    value, row = value[order], row[order]
+    value, twin, row = value[order], twin[order], row[order]
+    same = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
+    if (same & (twin[1:] != twin[:-1])).any():  # different n-grams of one first hash
+        order = np.lexsort((twin, value, row))
+        value, twin, row = value[order], twin[order], row[order]
+        same = (value[1:] == value[:-1]) & (row[1:] == row[:-1]) & (twin[1:] == twin[:-1])
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    value, row = value[new], row[new]
-    return value, np.searchsorted(row, np.arange(rows + 1))
+    new[1:] = ~same
+    value, twin, row = value[new], twin[new], row[new]
+    return Sets(value, twin, np.searchsorted(row, np.arange(rows + 1)))
 
 
-def marks_of(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit hash of each row's set, as two columns."""
+def marks_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each row's set, as two columns: one of its n-grams' first hashes, one of their second."""
     out = []
-    for seed in (1, 2):
-        total = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(mixed(mixed(value) + np.uint64(seed)), out=total[1:])
-        out.append(mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
+    for values, seed in ((sets.value, 1), (sets.twin, 2)):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mixed(mixed(values) + np.uint64(seed)), out=total[1:])
+        out.append(mixed(total[sets.cut[1:]] - total[sets.cut[:-1]] + np.diff(sets.cut).astype(np.uint64)).view(np.int64))
     return out[0], out[1]
 
 
@@ -125,7 +146,7 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTS, np.int64)
         for block, _ in runs(batches):
-            value, _ = sets_of(block.data, block.bounds, n)
+            value = sets_of(block.data, block.bounds, n).value
             np.add.at(total, (value >> np.uint64(42)).astype(np.int64), 1)
         if total.any():
             yield array_rows(np.split(total, pieces))
@@ -141,9 +162,15 @@ def ceil_share(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Whether two sets, as their n-grams' two hashes, are."""
+    n, m = len(a[0]), len(b[0])
+    if (a[0][1:] == a[0][:-1]).any() or (b[0][1:] == b[0][:-1]).any():
+        both = len(set(zip(*(x.tolist() for x in a), strict=True)) & set(zip(*(x.tolist() for x in b), strict=True)))
+    else:
+        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        both = int((a[1][i] == b[1][j]).sum())
+    return 100 * both >= percent * (n + m - both) and both > 0
 
 
 def cell_pairs(
@@ -204,14 +231,15 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS,
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
         for block, ids in runs(batches):
-            value, cut = sets_of(block.data, block.bounds, n)
+            sets = sets_of(block.data, block.bounds, n)
+            value, cut = sets.value, sets.cut
             size = np.diff(cut)
             rank = (frequent[(value >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(value) >> np.uint64(6))
             row = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((rank, row))
             ordered = value[order]
             length = np.where(size > 0, size - ceil_share(size, percent) + 1, 0)
-            (mark, twin), bitmap = marks_of(value, cut), bitmaps_of(value, cut)
+            (mark, twin), bitmap = marks_of(sets), bitmaps_of(value, cut)
             prefix = [ordered[a : a + k] for a, k in zip(cut[:-1].tolist(), length.tolist(), strict=True)]
             group = [int(mixed(np.add.reduce(mixed(p)) + np.array([s], np.uint64))[0]) if s else 0 for p, s in zip(prefix, size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
@@ -299,7 +327,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS,
             parts_here, payload = batch.column(0).to_pylist(), []
             for own in batch.column(1).to_pylist():
                 for ids, data, bounds in texts_of([own]):
-                    value, cut = sets_of(data, bounds, n)
+                    value, _, cut = sets_of(data, bounds, n)
                     payload.append(_sketch_block(ids, np.diff(cut), [long_bitmap(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]))
             if payload:
                 yield pa.RecordBatch.from_arrays([pa.array(parts_here, pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
@@ -444,7 +472,7 @@ def _chosen(texts: Iterator, payloads: list[bytes], parts: int, n: int) -> Itera
             continue
         raw = [data[bounds[i] : bounds[i + 1]] for i in at]
         flat, cut = np.concatenate(raw), np.append(0, np.cumsum([len(x) for x in raw]))
-        have, _ = marks_of(*sets_of(flat, cut, n))
+        have, _ = marks_of(sets_of(flat, cut, n))
         keep = []
         for k, i in enumerate(at):
             if marks.get(int(own[i])) == have[k]:
@@ -490,18 +518,18 @@ def _verified(texts: Iterator, payloads: list[bytes], n: int, percent: int) -> I
     for own in payloads:
         k = int(np.frombuffer(own, "<i8", 1)[0])
         need.update(np.frombuffer(own, "<i8", k, 8).tolist())
-    have: dict[int, np.ndarray] = {}
+    have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for ids, data, bounds in texts:
         if any(x in need for x in ids.tolist()):
-            value, cut = sets_of(data, bounds, n)
-            have |= {x: value[cut[i] : cut[i + 1]] for i, x in enumerate(ids.tolist()) if x in need}
+            sets = sets_of(data, bounds, n)
+            have |= {x: sets.of(i) for i, x in enumerate(ids.tolist()) if x in need}
     out = []
     for own in payloads:
         k = int(np.frombuffer(own, "<i8", 1)[0])
         u, v = np.frombuffer(own, "<i8", 2 * k, 8).reshape(2, k)
         for ids, data, bounds in texts_of([own[8 + 16 * k :]]):
-            value, cut = sets_of(data, bounds, n)
-            theirs = {x: value[cut[i] : cut[i + 1]] for i, x in enumerate(ids.tolist())}
+            sets = sets_of(data, bounds, n)
+            theirs = {x: sets.of(i) for i, x in enumerate(ids.tolist())}
             out += [(a, b) for a, b in zip(u.tolist(), v.tolist(), strict=True) if alike(have[a], theirs[b], percent)]
     if out:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])

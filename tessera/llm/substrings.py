@@ -7,7 +7,7 @@ smallest hash, and so on until the whole window is compared or no candidate is l
 every level, so none is missed. Longer repeats are unions of windows of the last level.
 
 Hashes of passages are made of two hashes of half the length, level by level, from hashes of words. Those of whole windows
-have 128 bits, the others 64 (they only choose candidates). What a document shows is gathered where the texts are dealt by
+have 128 bits, from two hashes of each word that differ from its first byte on; the others have 64 (they only choose candidates). What a document shows is gathered where the texts are dealt by
 doc_id: a passage that stands in a third of all documents is sent once per packed block of texts, not once per document, and
 comes back once to each part.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import Words, in_a_row, words
+from tessera.llm.blocks import TWIN, Words, in_a_row, words
 from tessera.llm.packed import PACKED, gathered, hash_part, met, packed, packed_texts, parts_of, runs, texts_of, unpacked, with_texts
 from tessera.llm.windows import smallest
 
@@ -35,9 +35,6 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Words of the shortest passages, about.
 LEAST = 12
 
-#: Of the second 64 bits of a window's hash.
-_TWIN = np.uint64(0xA0761D6478BD642F)
-
 
 def lengths(window: int) -> list[int]:
     """Of the levels: window, its half (rounded up), and so on."""
@@ -130,7 +127,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         if known is not None and not len(known.keys):
             return
         for ids, data, bounds in texts:
-            w = words(data, bounds)
+            w = words(data, bounds, twin=sizes[nth] == window)
             starts, keys = shown(w, sizes[nth if known is None else nth - 1], window)
             if known is not None:
                 live = known.find(keys) >= 0
@@ -141,16 +138,16 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 continue
             twins = np.zeros(len(starts), np.uint64)
             if sizes[nth] == window:
-                keys, twins = in_a_row(w.hash, window)[starts], in_a_row(w.hash, window, seed=_TWIN)[starts]
+                keys, twins = in_a_row(w.hash, window)[starts], in_a_row(w.twin, window, seed=TWIN)[starts]
             yield sent(parts, int(np.mod(ids[0], parts)), keys, twins, ids[w.row[starts]])
 
     def digests(texts: Iterator, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         known = Known(*unpacked(payloads, np.uint64, np.uint64, np.int64))
         for ids, data, bounds in texts:
-            w = words(data, bounds)
+            w = words(data, bounds, twin=len(known.keys) > 0)
             starts = np.flatnonzero(w.row[: len(w.row) - window + 1] == w.row[window - 1 :]) if len(w.row) >= window and len(known.keys) else np.zeros(0, np.int64)
             if len(starts):
-                at = known.find(in_a_row(w.hash, window)[starts], in_a_row(w.hash, window, seed=_TWIN)[starts])
+                at = known.find(in_a_row(w.hash, window)[starts], in_a_row(w.twin, window, seed=TWIN)[starts])
                 starts = starts[(at >= 0) & (known.first[at] < ids[w.row[starts]])]
             yield _digest(pa.array(ids), data, w, covered(len(w.start), starts, window))
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import byte_grams, byte_hashes, mixed
+from tessera.llm.blocks import TWIN, byte_grams, byte_hashes, mixed
 from tessera.llm.packed import PACKED, gathered, hash_part, loosened, met, packed, packed_texts, parts_of, runs, squeezed, texts_of, unpacked, with_texts
 from tessera.llm.windows import sliding
 
@@ -155,17 +155,22 @@ def repeats(share: np.ndarray, length: np.ndarray, left: np.ndarray, left_len: n
     rows x (size - GRAM + 1). rank: the order of documents and positions."""
     n, offsets = len(share), size - GRAM + 1
     out = np.zeros((n, offsets), bool)
-    key = np.zeros(n, np.uint64)
+    key, twin = np.zeros(n, np.uint64), np.full(n, TWIN)
     for o in range(offsets):
         if o:
             key = mixed(key + BYTE_VALUES[left[:, o - 1]] + np.uint64(o))
+            twin = mixed(twin ^ mixed(left[:, o - 1].astype(np.uint64) + np.uint64(o)))
         group = np.cumsum(share < size - o)
         fit = np.flatnonzero((length >= size - o) & (left_len >= o))
         if len(fit) < 2:
             continue
-        of = mixed(key[fit] + mixed(group[fit].astype(np.uint64)))
+        of, other = (mixed(k[fit] + mixed(group[fit].astype(np.uint64))) for k in (key, twin))
         order = np.lexsort((rank[fit], of))
-        same = of[order][1:] == of[order][:-1]
+        same, agree = of[order][1:] == of[order][:-1], other[order][1:] == other[order][:-1]
+        if (same & ~agree).any():  # different bytes of one first hash
+            order = np.lexsort((rank[fit], other, of))
+            same, agree = of[order][1:] == of[order][:-1], other[order][1:] == other[order][:-1]
+        same &= agree
         head = np.zeros(len(fit), np.int64)
         head[1:] = np.where(same, 0, np.arange(1, len(fit)))
         head = np.maximum.accumulate(head)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import jaccard, substrings
-from tessera.llm.blocks import byte_grams, byte_hashes, in_a_row, words
+from tessera.llm.blocks import LOWER, byte_grams, byte_hashes, in_a_row, words
 from tests.llm import fixtures as X
 
 
@@ -64,3 +64,25 @@ def test_chunks_of_a_large_cell_meet_in_pairs(spark):
     rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
     found = jaccard.linked(X.documents(spark, rows), 3, 90, rounds=1, few=0, tries=1, chunk=7).collect()
     assert {r.component_id for r in found} == {0}
+
+
+def test_words_of_one_first_hash_are_told_apart(spark):
+    """Two words of 16 bytes whose first 64-bit hashes were solved to be equal."""
+    one, other, third = "identityprovider", "LFD9VBv8RtV2hkO3", "usf2lset6}3?db(a"
+    raw = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    w = words(raw, np.array([0, len(raw)]), twin=True)
+    assert w.hash[0] == w.hash[1] and w.twin[0] != w.twin[1]
+    fill = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*fill, one, *fill])), (2, " ".join([*fill, other, *fill])), (3, one), (4, third), (5, other), (6, f"{one} {other} x"), (7, f"{other} {one} x")]
+    docs = X.documents(spark, rows)
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == dict.fromkeys(range(1, 8), 0)
+    found = {r.doc_id: r.component_id for r in jaccard.linked(docs, 3, 90).collect()}
+    assert found == {i: i for i in range(1, 8)}
+
+
+def test_grams_of_one_first_hash_count_twice():
+    data = np.frombuffer(b"identityprovider LFD9VBv8RtV2hkO3 identityprovider", np.uint8)
+    sets = jaccard.sets_of(LOWER[data], np.array([0, len(data)]), 1)
+    same_case = jaccard.sets_of(np.frombuffer(b"identityprovider usf2lset6}3?db(a", np.uint8), np.array([0, 33]), 1)
+    assert len(sets.value) == 2 and len(same_case.value) == 2
+    assert not jaccard.alike(same_case.of(0), (same_case.value[:1], same_case.twin[1:]), 90)
