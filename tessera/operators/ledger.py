@@ -1,29 +1,22 @@
-"""From task events to tasks: duplicates of events, and the chronological fold of a meeting's ledger."""
+"""From task events to tasks: duplicates of events, the fold of a meeting's ledger, and what needs no fold."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import match_form
+from tessera.operators import linking
+from tessera.operators.linking import CREATE
 
-# Rank of sources, kinds of events, sources that may begin a task.
+# Rank of sources, states that aren't shown.
 SOURCE_RANK = {
     "HUMAN": 5, "RULE_FINAL_RECAP": 5, "HUMAN_NOTE": 4, "RULE_RECAP": 3, "RULE_CONTEXT": 2, "RULE_NOTE_CUE": 2, "RULE_REFERENCE_ACTIVE": 2,
     "RULE_REFERENCE": 2, "RULE": 2, "AI": 1, "AI_CREATE_PROPOSAL": 1,
 }
-CREATE = ("TASK_CREATE", "TASK_COMMITMENT", "OWNER_ASSIGN")
-MUTATE = ("OWNER_REASSIGN", "DEADLINE_SET", "DEADLINE_REPLACE", "TASK_CANCEL", "TASK_REJECT")
-MAY_CREATE = ("HUMAN_NOTE", "RULE", "RULE_NOTE_CUE", "RULE_PENDING_CONFIRMATION", "RULE_RECAP", "RULE_FINAL_RECAP", "AI_CREATE_PROPOSAL")
 HIDDEN = ("PROVISIONAL", "CANCELLED", "REJECTED")
 
-TASK = (
-    "meeting_id long, task_id string, task_name string, assignee string, deadline_mention_id string, status string, first_index long, "
-    "last_index long, n_events int"
-)
-
 
 def rank_of(source: Column) -> Column:
     ranks = F.create_map(*(F.lit(x) for pair in SOURCE_RANK.items() for x in pair))
@@ -55,81 +48,9 @@ def deduplicated(events: DataFrame) -> DataFrame:
     )
 
 
-class Ledger:
-    """A meeting's tasks while its events are applied in order. State is plain data, so a stream can keep it."""
-
-    def __init__(self, state: dict | None = None) -> None:
-        self.tasks: dict[str, dict] = (state or {}).get("tasks", {})
-        self.alias: dict[str, list[str]] = (state or {}).get("alias", {})
-        self.unresolved: int = (state or {}).get("unresolved", 0)
-        self.blocked: int = (state or {}).get("blocked", 0)
-
-    def state(self) -> dict:
-        return {"tasks": self.tasks, "alias": self.alias, "unresolved": self.unresolved, "blocked": self.blocked}
-
-    def target(self, event: dict) -> str | None:
-        """By id, else by an alias that only one task has."""
-        if event["related_task_id"] in self.tasks:
-            return event["related_task_id"]
-        named = self.alias.get(event["action_match"], []) if event["action_match"] else []
-        return named[0] if len(named) == 1 else None
-
-    def apply(self, event: dict) -> None:
-        task_id, kind = self.target(event), event["event_type"]
-        if task_id and self.tasks[task_id]["status"] in ("CANCELLED", "REJECTED"):
-            self.blocked += 1  # what has ended stays so
-            return
-        if task_id is None:
-            reference = kind == "TASK_REFERENCE" and event["extraction_source"] in ("RULE_REFERENCE", "RULE_REFERENCE_ACTIVE")
-            allowed = kind in CREATE and event["extraction_source"] in MAY_CREATE and not event["related_task_id"].upper().startswith("TASK-")
-            if not event["action_match"] or not (reference or allowed):
-                self.unresolved += 1
-                return
-            task_id = f"TASK-{len(self.tasks) + 1:06d}"
-            self.tasks[task_id] = {
-                "task_name": event["action_text"].strip(), "owners": [], "deadline": "", "first": event["order_index"], "last": event["order_index"],
-                "status": "PROVISIONAL" if reference and event["extraction_source"] == "RULE_REFERENCE" else "CONFIRMED" if reference else "UNKNOWN", "n": 0,
-            }
-        task = self.tasks[task_id]
-        if event["action_match"] and task_id not in self.alias.setdefault(event["action_match"], []):
-            self.alias[event["action_match"]].append(task_id)
-        owners = [x.strip() for x in event["assignee"].split(";") if x.strip()]
-        if kind in CREATE and (owners or kind != "OWNER_ASSIGN"):
-            task["status"] = "CONFIRMED"
-            task["owners"] += [x for x in owners if x not in task["owners"]]
-        elif kind == "OWNER_REASSIGN" and owners:
-            task |= {"owners": owners, "status": "REASSIGNED"}
-        elif kind == "TASK_CANCEL":
-            task["status"] = "CANCELLED"
-        elif kind == "TASK_REJECT":
-            task["status"] = "REJECTED"
-        if kind in (*CREATE, "DEADLINE_SET", "DEADLINE_REPLACE") and event["deadline_mention_id"]:
-            task["deadline"] = event["deadline_mention_id"]
-        task["last"] = max(task["last"], event["order_index"])
-        task["n"] += 1
-
-    def rows(self, meeting: int) -> list[tuple]:
-        return [
-            (meeting, i, t["task_name"], "; ".join(t["owners"]), t["deadline"], t["status"], t["first"], t["last"], t["n"]) for i, t in self.tasks.items()
-        ]
-
-
 def folded(events: DataFrame) -> DataFrame:
-    """Tasks of each meeting after all its events, in the order of order_index and event_id. A task refers to the state that
-    earlier events left, so a meeting is one group."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        ledger = Ledger()
-        for event in rows.sort_values(["order_index", "event_id"]).to_dict("records"):
-            ledger.apply(event)
-        return pd.DataFrame(ledger.rows(int(rows["meeting_id"].iloc[0])), columns=[x.split(" ")[0] for x in TASK.split(", ")])
-
-    ready = events.select(
-        "meeting_id", "event_id", "event_type", "extraction_source", F.coalesce("related_task_id", F.lit("")).alias("related_task_id"), F.coalesce("action_text", F.lit("")).alias("action_text"),
-        F.coalesce(match_form(F.col("action_text")), F.lit("")).alias("action_match"), F.coalesce("assignee", F.lit("")).alias("assignee"),
-        F.coalesce("deadline_mention_id", F.lit("")).alias("deadline_mention_id"), "order_index",
-    )
-    return ready.groupBy("meeting_id").applyInPandas(fold, TASK)
+    """Tasks of each meeting after all its events (see `linking`)."""
+    return linking.folded(events)
 
 
 def reduced(events: DataFrame) -> DataFrame:

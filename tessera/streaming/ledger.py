@@ -1,8 +1,9 @@
 """The ledger over a stream of task events: sessions, duplicates within a watermark, and tasks kept as state.
 
-The fold is the batch one (`tessera.operators.ledger.Ledger`); its state is one JSON text per meeting. Events of one
-micro-batch are applied in their order; events that arrive in a later batch are applied after it, and those that refer
-to tasks not yet known wait in the state until the meeting's end (its event-time timer) and are tried once more.
+The fold is the batch one (`tessera.operators.linking.Ledger`); its state is one JSON text per meeting, which holds what a ledger
+holds: tasks and the events that found none. An event waits in the state until the watermark has passed its time, so events
+of several files are applied in their order if none is later than the watermark allows (later ones are dropped); a meeting
+ends a while after its last event (a timer): then deadlines said before their task are bound, and the state is removed.
 """
 
 from __future__ import annotations
@@ -15,11 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import match_form
-from tessera.operators.ledger import TASK, Ledger
-
-_FIELDS = ("event_id", "event_type", "extraction_source", "related_task_id", "action_text", "action_match", "assignee", "deadline_mention_id", "order_index")
-
+from tessera.operators.linking import TASK, Ledger, applied, plain_event, prepared
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Rows and sums of each user's sessions, complete once the watermark has passed."""
@@ -32,35 +29,33 @@ def submitted_once(jobs: DataFrame, late: str = "1 hour") -> DataFrame:
     return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def tasks(events: DataFrame, end_after: str = "1 day") -> DataFrame:
-    """Tasks of each meeting whenever one of its events arrives, and finally when its watermark has passed (end_after). `events` has a
+def tasks(events: DataFrame, end_after: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Tasks of each meeting whenever some of its events are applied, and finally end_after its last event. `events` has a
     column ts and those of the batch fold."""
+    delay = int(pd.Timedelta(end_after).total_seconds() * 1000)
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ledger, waiting, last_ms = Ledger(), [], 0
-        if state.exists:
-            held = json.loads(state.get[0])
-            ledger, waiting, last_ms = Ledger(held["ledger"]), held["waiting"], held["last_ms"]
-        if state.hasTimedOut:
-            for event in sorted(waiting, key=lambda e: (e["order_index"], e["event_id"])):
-                ledger.apply(event)
+        held = json.loads(state.get[0]) if state.exists else {}
+        ledger, waiting, last_ms = Ledger(held.get("ledger")), held.get("waiting", []), held.get("last_ms", 0)
+        if not state.hasTimedOut:
+            for batch in batches:
+                for ts, event in zip(batch["ts"], batch["event"], strict=True):
+                    waiting.append([int(ts.timestamp() * 1000), plain_event(event)])
+                    last_ms = max(last_ms, waiting[-1][0])
+        watermark = state.getCurrentWatermarkMs()
+        over = state.hasTimedOut and watermark >= last_ms + delay
+        due = [event for ts, event in waiting if over or ts <= watermark]
+        waiting = [] if over else [[ts, event] for ts, event in waiting if ts > watermark]
+        applied(ledger, due)
+        if over:
+            ledger.settle()
             state.remove()
         else:
-            frames = list(batches)
-            fresh = [r for b in frames for r in b[list(_FIELDS)].to_dict("records")]
-            newest = max((int(b["ts"].max().timestamp() * 1000) for b in frames if len(b)), default=0)
-            last_ms = max(last_ms, newest)
-            for event in sorted(fresh, key=lambda e: (e["order_index"], e["event_id"])):
-                unbound = event["event_type"] in ("DEADLINE_SET", "DEADLINE_REPLACE") and ledger.target(event) is None
-                (waiting.append if unbound else ledger.apply)(event)
             state.update((json.dumps({"ledger": ledger.state(), "waiting": waiting, "last_ms": last_ms}),))
-            # from the meeting's own last event: in the first batch the watermark is still 1970
-            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + int(pd.Timedelta(end_after).total_seconds() * 1000))
-        yield pd.DataFrame(ledger.rows(int(key[0])), columns=[x.split(" ")[0] for x in TASK.split(", ")])
+            state.setTimeoutTimestamp(max(watermark + 1, min([ts for ts, _ in waiting], default=last_ms + delay)))
+        if due or over:
+            yield pd.DataFrame(ledger.rows(int(key[0])), columns=[x.split(" ")[0] for x in TASK.split(", ")])
 
-    ready = events.withWatermark("ts", "1 hour").select(
-        "meeting_id", "ts", "event_id", "event_type", "extraction_source", F.coalesce("related_task_id", F.lit("")).alias("related_task_id"),
-        F.coalesce("action_text", F.lit("")).alias("action_text"), F.coalesce(match_form(F.col("action_text")), F.lit("")).alias("action_match"),
-        F.coalesce("assignee", F.lit("")).alias("assignee"), F.coalesce("deadline_mention_id", F.lit("")).alias("deadline_mention_id"), "order_index",
-    )
-    return ready.groupBy("meeting_id").applyInPandasWithState(update, TASK, "state string", "update", "EventTimeTimeout")
+    ready = events.withWatermark("ts", late)
+    own = prepared(ready, "ts")
+    return own.groupBy("meeting_id").applyInPandasWithState(update, TASK, "state string", "update", "EventTimeTimeout")
