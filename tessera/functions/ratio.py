@@ -125,6 +125,16 @@ def ratio_of(left: Column, right: Column, least: float = 0.0) -> Column:
     return compared(left, right)
 
 
+def best_ratio_of(left: Column, others: Column) -> Column:
+    """The best ratio of a text with any of several (0 without any; empty texts count for nothing)."""
+
+    @F.pandas_udf(DoubleType())
+    def compared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([max((ratio(x, y) for y in ys if y), default=0.0) if x and ys is not None else 0.0 for x, ys in zip(a, b, strict=True)], dtype="float64")
+
+    return compared(left, others)
+
+
 def long_enough(left: Column, right: Column, least: float) -> Column:
     """Whether the lengths alone allow a ratio of `least`: a join's condition, computed in the JVM."""
     n, m = F.length(left), F.length(right)

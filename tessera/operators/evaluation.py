@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ratio import long_enough, ratio_of
 from tessera.functions.text import match_form, words_of
 
 #: Least score of two names of one task.
@@ -68,14 +69,22 @@ def best_pairs(score: np.ndarray) -> list[tuple[int, int]]:
 PAIR = "case_id long, expected_id long, actual_id long, score double"
 
 
-def paired(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def paired(expected: DataFrame, actual: DataFrame, by_characters: bool = True) -> DataFrame:
     """case_id, expected_id, actual_id and score of the tasks of a case that are one: tasks (case_id, task_id, task_key,
-    task_name) with a key pair by it, the others by name. Scores are computed by Spark; a case's scores are one group."""
+    task_name) with a key pair by it, the others by name: its words, or its characters if that is more. Scores are computed by Spark, each distinct pair of names once;
+    a case's scores are one group."""
     left = expected.select("case_id", F.col("task_id").alias("expected_id"), F.col("task_key").alias("key"), F.col("task_name").alias("name"))
     right = actual.select("case_id", F.col("task_id").alias("actual_id"), F.col("task_key").alias("other_key"), F.col("task_name").alias("other_name"))
     keyed = (F.coalesce("key", F.lit("")) != "") | (F.coalesce("other_key", F.lit("")) != "")
     score = F.when(keyed, F.when(F.col("key") == F.col("other_key"), 1.0).otherwise(0.0)).otherwise(name_score(F.col("name"), F.col("other_name")))
-    scored = left.join(right, "case_id").withColumn("score", score.cast("double")).where(F.col("score") >= SAME_NAME)
+    scored = left.join(right, "case_id").withColumn("keyed", keyed).withColumn("score", score.cast("double"))
+    if by_characters:
+        plain = lambda t: F.array_join(words_of(match_form(F.col(t))), " ")
+        scored = scored.withColumn("a", plain("name")).withColumn("b", plain("other_name"))
+        open_ = ~F.col("keyed") & (F.col("score") < 1.0) & (F.col("a") != "") & (F.col("b") != "")
+        texts = scored.where(open_ & long_enough(F.col("a"), F.col("b"), SAME_NAME)).select("a", "b").distinct().withColumn("ratio", ratio_of(F.col("a"), F.col("b"), SAME_NAME))
+        scored = scored.join(texts, ["a", "b"], "left").withColumn("score", F.when(open_, F.greatest("score", F.coalesce("ratio", F.lit(0.0)))).otherwise(F.col("score")))
+    scored = scored.where(F.col("score") >= SAME_NAME)
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
         e, a = (np.unique(rows[c], return_inverse=True) for c in ("expected_id", "actual_id"))

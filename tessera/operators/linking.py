@@ -19,10 +19,11 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.ratio import bounded_ratio
-from tessera.functions.text import let, match_form
+from tessera.functions.ratio import bounded_ratio, ratio_of
+from tessera.functions.text import jaccard, let, match_form, words_of
 from tessera.operators.guards import promotable
 
 # Kinds of events, sources and states.
@@ -478,6 +479,34 @@ def merge_score(a: str, b: str) -> float:
     return max(MERGE_CONTAINED if a in b or b in a else 0.0, overlap(a, b), bounded_ratio(a, b, MERGE))
 
 
+def merge_candidates(tasks: DataFrame) -> DataFrame:
+    """Visible tasks (meeting_id, task_id, task_name, aliases, owners, deadline_mention_id, sources) of a meeting that are each other's
+    only best match, as joins: meeting_id, a, b (a < b), score. Owners and deadlines must agree, rows of a final list stay apart.
+    Labels meet by meeting and are compared once for each distinct pair; bounds keep those out that can't reach the threshold."""
+    labels = F.array_distinct(F.filter(F.transform(F.array_append("aliases", F.col("task_name")), lambda x: meaning(match_form(x))), lambda x: x != ""))
+    own = tasks.select("meeting_id", "task_id", "owners", "deadline_mention_id", F.array_contains("sources", "RULE_FINAL_RECAP").alias("listed"), F.explode(labels).alias("label"))
+    side = lambda n: own.select("meeting_id", *[F.col(c).alias(f"{n}_{c}") for c in own.columns if c != "meeting_id"])
+    fits = (
+        (F.col("a_task_id") < F.col("b_task_id")) & ~(F.col("a_listed") & F.col("b_listed"))
+        & ((F.size("a_owners") == 0) | (F.size("b_owners") == 0) | F.arrays_overlap("a_owners", "b_owners"))
+        & ((F.col("a_deadline_mention_id") == "") | (F.col("b_deadline_mention_id") == "") | (F.col("a_deadline_mention_id") == F.col("b_deadline_mention_id")))
+    )
+    pairs = side("a").join(side("b"), "meeting_id").where(fits)
+    x, y = F.col("a_label"), F.col("b_label")
+    words = lambda c: F.array_distinct(words_of(c))
+    texts = pairs.select("a_label", "b_label").distinct()
+    held = F.when(F.contains(x, y) | F.contains(y, x), F.lit(MERGE_CONTAINED)).otherwise(0.0)
+    known = F.when(x == y, 1.0).otherwise(F.greatest(held, jaccard(words(x), words(y))))
+    texts = texts.withColumn("known", known).withColumn("ratio", ratio_of(x, y, MERGE)).withColumn("score", F.greatest("known", "ratio")).where(F.col("score") >= MERGE)
+    scored = pairs.join(texts, ["a_label", "b_label"]).groupBy("meeting_id", F.col("a_task_id").alias("a"), F.col("b_task_id").alias("b")).agg(F.max("score").alias("score"))
+    both = scored.unionAll(scored.select("meeting_id", F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    order = W.partitionBy("meeting_id", "a").orderBy(F.col("score").desc(), F.col("b").desc())
+    best = both.withColumn("place", F.row_number().over(order)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0)))
+    best = best.where((F.col("place") == 1) & (F.col("margin") >= MERGE_MARGIN)).select("meeting_id", "a", "b", "score")
+    back = best.select("meeting_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    return best.join(back, ["meeting_id", "a", "b"], "left_semi").where("a < b")
+
+
 def plain_event(event: object) -> dict:
     """A row's struct as plain data."""
     known = lambda x: x.asDict() if hasattr(x, "asDict") else dict(x)  # type: ignore[call-overload]

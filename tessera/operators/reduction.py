@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ratio import ratio_of
 from tessera.functions.text import hash_id, match_form, words_of
 from tessera.operators.ledger import rank_of
 
@@ -14,6 +15,9 @@ OPERATIONS = ("CREATE", "CONFIRM", "ASSIGN", "REASSIGN", "RENAME", "SET_DEADLINE
 MUTATIONS = ("OWNER_REASSIGN", "DEADLINE_SET", "DEADLINE_REPLACE", "TASK_CANCEL", "TASK_REJECT")
 CREATING = ("TASK_CREATE", "TASK_COMMITMENT", "OWNER_ASSIGN")
 
+#: From which ratio a hint means a name, and how far the next name must be.
+ALIKE, APART = 0.80, 0.15
+
 STATE = "struct<made:boolean,action:string,assignee:string,deadline:string,status:string,seen:array<string>,clauses:array<string>,unresolved:array<string>,first:bigint,last:bigint>"
 
 
@@ -65,7 +69,9 @@ def plain_form(text: Column) -> Column:
 
 def targets(events: DataFrame, tasks: DataFrame) -> DataFrame:
     """events with the task they mean, or null: by id; else by a label that exactly one task has; else by a name that exactly one
-    has. events: meeting_id, event_id, target_task_id, label, hint; tasks: meeting_id, task_id, labels, names (arrays)."""
+    has; else by the ratio of the hint with the first name, if they share a word, it is ALIKE or more, and the second best is
+    APART. events: meeting_id, event_id, target_task_id, label, hint; tasks: meeting_id, task_id, labels, names (arrays).
+    Each distinct pair of a hint and a name that share a word is compared once; all of a meeting's tasks take part."""
     by_id = tasks.select("meeting_id", F.col("task_id").alias("target_task_id"), F.col("task_id").alias("by_id"))
 
     def only(names: str, key: str) -> DataFrame:
@@ -74,10 +80,26 @@ def targets(events: DataFrame, tasks: DataFrame) -> DataFrame:
 
     rows = events.withColumn("label_key", plain_form(F.col("label"))).withColumn("name_key", plain_form(F.col("hint")))
     rows = rows.join(by_id, ["meeting_id", "target_task_id"], "left").join(only("labels", "label_key"), ["meeting_id", "label_key"], "left").join(only("names", "name_key"), ["meeting_id", "name_key"], "left")
-    found = F.when(F.col("by_id").isNotNull(), F.col("by_id")).when(F.col("label_key") != "", F.col("by_label_key")).when(F.col("name_key") != "", F.col("by_name_key"))
+    open_ = F.col("by_id").isNull() & (F.col("label_key") == "") & (F.col("name_key") != "") & F.col("by_name_key").isNull()
+    rows = rows.join(_nearly_named(rows.where(open_), tasks), ["meeting_id", "event_id"], "left")
+    found = F.when(F.col("by_id").isNotNull(), F.col("by_id")).when(F.col("label_key") != "", F.col("by_label_key")).when(F.col("name_key") != "", F.coalesce("by_name_key", "nearly"))
     return rows.select("meeting_id", "event_id", found.alias("task_id"))
 
 
+def _nearly_named(events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The task whose first name is most like an event's hint, if no other comes near."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    hints = events.select("meeting_id", "event_id", "name_key", F.explode(F.array_distinct(words(F.col("name_key")))).alias("word"))
+    names = tasks.select("meeting_id", "task_id", plain_form(F.element_at("names", 1)).alias("first_name"))
+    names = names.select("meeting_id", "task_id", "first_name", F.explode(F.array_distinct(words(F.col("first_name")))).alias("word"))
+    pairs = hints.join(names, ["meeting_id", "word"]).select("meeting_id", "event_id", "task_id", "name_key", "first_name").distinct()
+    texts = pairs.select("name_key", "first_name").distinct().withColumn("ratio", ratio_of(F.col("name_key"), F.col("first_name"), ALIKE - APART))
+    best = W.partitionBy("meeting_id", "event_id").orderBy(F.col("ratio").desc(), F.col("task_id").desc())
+    rows = pairs.join(texts, ["name_key", "first_name"]).withColumn("place", F.row_number().over(best)).withColumn("second", F.lead("ratio").over(best))
+    sure = (F.col("place") == 1) & (F.col("ratio") >= ALIKE) & (F.col("second").isNull() | (F.col("ratio") - F.col("second") >= APART))
+    return rows.where(sure).select("meeting_id", "event_id", F.col("task_id").alias("nearly"))
+
+
 def after_recap(tasks: DataFrame, linked: DataFrame, scope: DataFrame) -> DataFrame:
     """tasks after their meeting's recap: rows of the recap (linked: meeting_id, task_id, assignee, deadline) set what they say; a
     COMPLETE one (scope: meeting_id, scope) cancels the active tasks that it doesn't name, a PARTIAL one none."""

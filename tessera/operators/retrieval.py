@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ratio import best_ratio_of
 from tessera.functions.text import cosine, jaccard, match_form, words_of
 
 # Weights of the parts of a score, and its thresholds.
@@ -42,13 +43,19 @@ def shared(a: Column, b: Column) -> Column:
     return F.when((F.size(form(a)) == 0) | (F.size(form(b)) == 0), 0.0).otherwise(jaccard(form(a), form(b)))
 
 
-def lexical(query: Column, aliases: Column) -> Column:
-    """The best share of words with an alias."""
+def shared_words(query: Column, aliases: Column) -> Column:
+    """The best share of words with an alias, computed in the JVM."""
     own = F.array_distinct(words_of(match_form(query)))
     scores = F.transform(aliases, lambda a: jaccard(own, F.array_distinct(words_of(match_form(a)))))
     return F.when(match_form(query) == "", 0.0).otherwise(F.coalesce(F.array_max(scores), F.lit(0.0)))
 
 
+def lexical(query: Column, aliases: Column) -> Column:
+    """The best share of words or ratio of characters with an alias."""
+    forms = F.filter(F.transform(aliases, match_form), lambda a: a != "")
+    return F.greatest(shared_words(query, aliases), best_ratio_of(match_form(query), forms))
+
+
 def recency(query_order: Column, task_order: Column, horizon: int = HORIZON) -> Column:
     distance = query_order - task_order
     return F.when(distance < 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(distance, F.lit(horizon)) / horizon))

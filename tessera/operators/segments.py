@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
+from tessera.functions.ratio import bounded_ratio
 from tessera.functions.text import hash_id, match_form, normalized, sequence_id
 
 #: Phrases that begin a sentence of their own; verbs after a name that begin a clause.
@@ -147,11 +148,13 @@ def blocks(clause_rows: DataFrame, size: int = 50, overlap: int = 7) -> DataFram
     )
 
 
+#: Fixed value: from which ratio on a caption is the one before, said again.
+SAME_CAPTION = 0.85
+
+
 def same_caption(previous: str, current: str) -> bool:
     """Whether one text (in match form) holds the other or is nearly it."""
-    from difflib import SequenceMatcher
-
-    return bool(previous and current) and (previous in current or current in previous or SequenceMatcher(None, previous, current).ratio() >= 0.85)
+    return bool(previous and current) and (previous in current or current in previous or bounded_ratio(previous, current, SAME_CAPTION) >= SAME_CAPTION)
 
 
 def merged_captions(captions: DataFrame, max_gap_ms: int = 1500) -> DataFrame:

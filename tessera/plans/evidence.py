@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,27 +111,6 @@ SELECT meeting_id, clause_id, span, 'PID-' || substr(sha256(concat_ws('|', 'CREA
 )
 
 
-def led04_mutual_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks of a meeting that are each other's best and only match (0.84, margin 0.08) by the ratio of their names."""
-    tasks = ledger.folded(task_events(spark, sf_dir))
-    number = F.regexp_extract("task_name", "([0-9]+)", 1).cast("int")
-    subject = F.element_at(F.array(*map(F.lit, ("alpha release plan", "budget forecast", "customer interviews", "data migration"))), (number / 2).cast("int") + 1)
-    tasks = tasks.withColumn("name", F.concat_ws(" ", subject, "task_name"))
-
-    def similar(rows: pd.DataFrame) -> pd.DataFrame:
-        own = list(zip(rows["task_id"], rows["name"], strict=True))
-        out = [(int(rows["meeting_id"].iloc[0]), a, b, round(SequenceMatcher(None, x, y).ratio(), 6)) for a, x in own for b, y in own if a != b]
-        return pd.DataFrame(out, columns=["meeting_id", "a", "b", "score"])
-
-    # a ledger holds a meeting's tasks, not its clauses: the pairs of one meeting stay small
-    pairs = tasks.groupBy("meeting_id").applyInPandas(similar, "meeting_id long, a string, b string, score double")
-    order = W.partitionBy("meeting_id", "a").orderBy(F.col("score").desc(), "b")
-    best = pairs.withColumn("place", F.row_number().over(order)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0)))
-    best = best.where((F.col("place") == 1) & (F.col("score") >= 0.84) & (F.col("margin") >= 0.08)).select("meeting_id", "a", "b", "score")
-    back = best.select("meeting_id", F.col("b").alias("a"), F.col("a").alias("b"))
-    return best.join(back, ["meeting_id", "a", "b"], "left_semi").where("a < b")
-
-
 def out01_final_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible tasks with their due dates and a first line of evidence."""
     tasks = ledger.visible(ledger.reduced(task_events(spark, sf_dir)))
@@ -216,7 +192,6 @@ SELECT CASE WHEN known IS NULL THEN 'APPENDED' WHEN known = payload THEN 'REPLAY
 """
 
 QUERIES = {
-    "dat05_context_dates": (dat05_context_dates, DAT05), "cue12_meeting_scopes": (cue12_meeting_scopes, CUE12), "cue12_whole_meetings": (cue12_whole_meetings, CUE12_WHOLE), "ext15_references": (ext15_references, EXT15), "ext21_span_lattice": (ext21_span_lattice, EXT21),
-    "led04_mutual_merges": (led04_mutual_merges, None), "out01_final_tasks": (out01_final_tasks, None), "ml05_group_folds": (ml05_group_folds, ML05), "set05_staged_union": (set05_staged_union, SET05),
+    "dat05_context_dates": (dat05_context_dates, DAT05), "cue12_meeting_scopes": (cue12_meeting_scopes, CUE12), "cue12_whole_meetings": (cue12_whole_meetings, CUE12_WHOLE), "ext15_references": (ext15_references, EXT15), "ext21_span_lattice": (ext21_span_lattice, EXT21), "out01_final_tasks": (out01_final_tasks, None), "ml05_group_folds": (ml05_group_folds, ML05), "set05_staged_union": (set05_staged_union, SET05),
     "snk01_traces": (snk01_traces, SNK01), "snk03_append_once": (snk03_append_once, SNK03),
 }

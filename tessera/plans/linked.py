@@ -106,6 +106,14 @@ def led05_merged_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("meeting_id", "task_id", "task_name", "assignee", "deadline_mention_id", "status", F.array_join("events", "|").alias("events"))
 
 
+def led04_mutual_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of a meeting that are each other's best and only match (0.84, margin 0.08) by all their names."""
+    tasks = linking.folded(shaped_events(spark, sf_dir)).where(~F.col("status").isin("PROVISIONAL", "CANCELLED", "REJECTED"))
+    owners = F.filter(F.split("assignee", "; "), lambda x: x != "")
+    return linking.merge_candidates(tasks.withColumn("owners", owners)).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
+    "led04_mutual_merges": (led04_mutual_merges, None),
     "led02_linked_tasks": (led02_linked_tasks, None), "lnk01_link_counts": (lnk01_link_counts, None), "led05_merged_tasks": (led05_merged_tasks, None),
 }

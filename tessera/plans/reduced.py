@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import reduction as R
 from tessera.operators import retrieval as V
 from tessera.plans.rendered import EVENTS_SQL, ORDERED_SQL, _ordered, table, task_events
+from tessera.functions.text import plain as plain_text
 from tessera.plans.said import match_sql, sql_text
 
 _OPS = R.OPERATIONS
 
+#: Names of tasks (a number follows), and what events call them.
+LNK_NAMES = ("Gửi báo cáo doanh thu ", "Kiểm tra dashboard ", "Viết kịch bản kiểm thử ", "Prepare release plan ", "Review contract ")
+LNK_HINTS = (
+    "gui bao cao doanh thu 0", "Gửi báo cáo doanh thu", "kiểm tra dashboards 1", "release plan 0", "prepare the release plan 2", "Review contracts 3", "contract", "viết kịch bản kiểm thử 1", "làm việc khác", "Viết kịch bản kiểm tra",
+)
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations on five tasks a meeting; every ninth event is a repetition of the one that is nine places before."""
@@ -61,26 +70,36 @@ LED08 = f"""WITH RECURSIVE {_EV} SELECT meeting_id, task_id, CASE WHEN task_id =
 
 
 def lnk03_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that give an id, a label or a name, on tasks of which some share labels and names."""
+    """Events that give an id, a label, a name or nearly one, on tasks (every fourth clause) of which some share labels and names."""
     rows = _ordered(spark, sf_dir)
-    tasks = rows.where("order_index < 12").select(
-        "meeting_id", F.concat(F.lit("T"), "order_index").alias("task_id"), F.array(F.concat(F.lit("Task "), F.col("order_index") % 7)).alias("labels"), F.array(F.concat(F.lit("Gửi báo-cáo "), F.col("order_index") % 9), F.concat(F.lit("alias "), "order_index")).alias("names"),
-    )
     i = F.col("order_index")
+    tasks = rows.groupBy("meeting_id", F.floor(i / 4).alias("j")).count().select(
+        "meeting_id", F.concat(F.lit("T"), "j").alias("task_id"), F.array(F.concat(F.lit("Task "), F.col("j") % 7)).alias("labels"),
+        F.array(F.concat(F.element_at(F.array(*map(F.lit, LNK_NAMES)), (F.col("j") % len(LNK_NAMES)).cast("int") + 1), F.floor(F.col("j") / 9)), F.concat(F.lit("alias "), "j")).alias("names"),
+    )
     events = rows.select(
         "meeting_id", "event_id", F.when(i % 5 == 0, F.concat(F.lit("T"), i % 15)).otherwise("").alias("target_task_id"), F.when(i % 3 == 0, F.concat(F.lit("TASK  "), i % 8)).otherwise("").alias("label"),
-        F.when(i % 2 == 0, F.concat(F.lit("gui bao cao "), i % 10)).when(i % 7 == 0, F.concat(F.lit("Alias "), i % 14)).otherwise("").alias("hint"),
+        F.when(i % 2 == 0, F.element_at(F.array(*map(F.lit, LNK_HINTS)), (F.col("event_id") % len(LNK_HINTS)).cast("int") + 1)).when(i % 7 == 0, F.concat(F.lit("Alias "), i % 14)).otherwise("").alias("hint"),
     )
     return R.targets(events, tasks)
 
 
-LNK03 = f"""WITH {ORDERED_SQL}, t AS (SELECT meeting_id, order_index AS j FROM ordered WHERE order_index < 12),
-e AS (SELECT *, order_index AS i, CASE WHEN order_index % 5 = 0 THEN order_index % 15 END AS id, CASE WHEN order_index % 3 = 0 THEN order_index % 8 END AS label, CASE WHEN order_index % 2 = 0 THEN order_index % 10 END AS name,
-    CASE WHEN order_index % 2 <> 0 AND order_index % 7 = 0 THEN order_index % 14 END AS alias FROM ordered)
+def _ratios(left: list[str], right: list[str]) -> str:
+    """Rows (a, b, ratio) of texts for the SQL side, by the standard library."""
+    return ", ".join(f"({sql_text(a)}, {sql_text(b)}, {SequenceMatcher(None, a, b).ratio()!r}::DOUBLE)" for a in sorted(set(left)) for b in sorted(set(right)))
+
+
+_LNK_FORMS = [plain_text(f"{name}{n}") for name in LNK_NAMES for n in range(4)]
+LNK03 = f"""WITH {ORDERED_SQL}, t AS (SELECT meeting_id, order_index // 4 AS j, {match_sql(f"[{', '.join(map(sql_text, LNK_NAMES))}][(order_index // 4) % {len(LNK_NAMES)} + 1] || (order_index // 4) // 9")} AS name FROM ordered GROUP BY ALL),
+e AS (SELECT *, order_index AS i, CASE WHEN order_index % 5 = 0 THEN order_index % 15 END AS id, CASE WHEN order_index % 3 = 0 THEN order_index % 8 END AS label,
+    CASE WHEN order_index % 2 = 0 THEN {match_sql(f"[{', '.join(map(sql_text, LNK_HINTS))}][event_id % {len(LNK_HINTS)} + 1]")} WHEN order_index % 7 = 0 THEN 'alias ' || order_index % 14 END AS hint FROM ordered),
+x(a, b, ratio) AS (VALUES {_ratios([plain_text(h) for h in LNK_HINTS] + [f"alias {n}" for n in range(0, 14, 7)], _LNK_FORMS)}),
+near AS (SELECT e.meeting_id, event_id, j, ratio, row_number() OVER w AS place, coalesce(lead(ratio) OVER w, -1) AS second FROM e JOIN t USING (meeting_id) JOIN x ON a = hint AND b = name
+    WHERE len(list_intersect(list_filter(string_split(hint, ' '), lambda w: w <> ''), list_filter(string_split(name, ' '), lambda w: w <> ''))) > 0 WINDOW w AS (PARTITION BY e.meeting_id, event_id ORDER BY ratio DESC, 'T' || j DESC))
 SELECT meeting_id, event_id, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.meeting_id = e.meeting_id AND j = id) THEN 'T' || id
   WHEN label IS NOT NULL THEN (SELECT CASE WHEN count(*) = 1 THEN 'T' || min(j) END FROM t WHERE t.meeting_id = e.meeting_id AND j % 7 = label)
-  WHEN name IS NOT NULL THEN (SELECT CASE WHEN count(*) = 1 THEN 'T' || min(j) END FROM t WHERE t.meeting_id = e.meeting_id AND j % 9 = name)
-  WHEN alias IS NOT NULL THEN (SELECT CASE WHEN count(*) = 1 THEN 'T' || min(j) END FROM t WHERE t.meeting_id = e.meeting_id AND j = alias) END AS task_id FROM e"""
+  WHEN (SELECT count(*) FROM t WHERE t.meeting_id = e.meeting_id AND (name = hint OR 'alias ' || j = hint)) = 1 THEN (SELECT 'T' || min(j) FROM t WHERE t.meeting_id = e.meeting_id AND (name = hint OR 'alias ' || j = hint))
+  WHEN hint IS NOT NULL THEN (SELECT CASE WHEN ratio >= 0.8 AND (second < 0 OR ratio - second >= 0.15) THEN 'T' || j END FROM near WHERE near.meeting_id = e.meeting_id AND near.event_id = e.event_id AND place = 1) END AS task_id FROM e"""
 
 
 def agg02_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +159,13 @@ def ret06_task_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _arr = lambda values: "[" + ", ".join(map(sql_text, values)) + "]"
 _set = lambda c: f"list_distinct(list_filter(regexp_split_to_array({match_sql(c)}, '[^\\pL\\pN_]+'), lambda w: w <> ''))"
-RET06L = f"""WITH t AS (SELECT vec_id % 40 AS meeting_id, 'TASK-' || vec_id AS task_id, {_arr(_ACTIONS)}[vec_id % 6 + 1] AS a1, 'task ' || vec_id % 9 AS a2, embedding::DOUBLE[] AS v, ['an', 'binh', 'chi'][vec_id % 3 + 1] AS owner, ['t1', 't2'][vec_id % 2 + 1] AS topic, vec_id % 90 AS last_index FROM embeddings WHERE vec_id % 7 < 4),
+_RET_REFS = [plain_text(f"Task {n}") for n in range(9)] + [plain_text(f"{a} lại") for a in _ACTIONS]
+_RET_ALIASES = [plain_text(a) for a in _ACTIONS] + [f"task {n}" for n in range(9)]
+RET06L = f"""WITH x(a, b, ratio) AS (VALUES {_ratios(_RET_REFS, _RET_ALIASES)}), t AS (SELECT vec_id % 40 AS meeting_id, 'TASK-' || vec_id AS task_id, {_arr(_ACTIONS)}[vec_id % 6 + 1] AS a1, 'task ' || vec_id % 9 AS a2, embedding::DOUBLE[] AS v, ['an', 'binh', 'chi'][vec_id % 3 + 1] AS owner, ['t1', 't2'][vec_id % 2 + 1] AS topic, vec_id % 90 AS last_index FROM embeddings WHERE vec_id % 7 < 4),
 q AS (SELECT vec_id % 41 AS meeting_id, vec_id::VARCHAR AS query_id, CASE WHEN vec_id % 11 = 0 THEN 'TASK-' || (vec_id - vec_id % 7) ELSE '' END AS explicit_id, CASE WHEN vec_id % 3 = 0 THEN 'Task ' || vec_id % 9 ELSE {_arr(_ACTIONS)}[vec_id % 6 + 1] || ' lại' END AS ref,
     embedding::DOUBLE[] AS v, ['an', 'binh', 'zed'][vec_id % 3 + 1] AS owner, ['t1', 't3'][vec_id % 2 + 1] AS topic, vec_id % 120 AS i FROM embeddings WHERE vec_id % 7 >= 4),
 j AS (SELECT q.meeting_id, query_id, explicit_id, task_id, coalesce({match_sql('ref')} IN ({match_sql('a1')}, a2), false) AS exact, greatest(0.0, least(1.0, list_cosine_similarity(q.v, t.v))) AS semantic,
-    greatest(len(list_intersect({_set('ref')}, {_set('a1')})) / len(list_distinct({_set('ref')} || {_set('a1')})), len(list_intersect({_set('ref')}, {_set('a2')})) / len(list_distinct({_set('ref')} || {_set('a2')}))) AS lexical,
+    greatest((SELECT ratio FROM x WHERE a = {match_sql('ref')} AND b = {match_sql('a1')}), (SELECT ratio FROM x WHERE a = {match_sql('ref')} AND b = a2), len(list_intersect({_set('ref')}, {_set('a1')})) / len(list_distinct({_set('ref')} || {_set('a1')})), len(list_intersect({_set('ref')}, {_set('a2')})) / len(list_distinct({_set('ref')} || {_set('a2')}))) AS lexical,
     CASE WHEN q.topic = t.topic THEN 1.0 ELSE 0.0 END AS topic, CASE WHEN q.owner = t.owner THEN 1.0 ELSE 0.0 END AS owner, CASE WHEN i < last_index THEN 0.0 ELSE greatest(0.0, 1 - least(i - last_index, 200) / 200) END AS recency FROM q LEFT JOIN t USING (meeting_id)),
 s AS (SELECT *, round(least(1.0, greatest(0.0, 0.55::DOUBLE * semantic + 0.2::DOUBLE * lexical + 0.1::DOUBLE * topic + 0.1::DOUBLE * owner + 0.05::DOUBLE * recency)), 6) AS total FROM j),
 r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(total) OVER w, 0.0) AS second FROM s WINDOW w AS (PARTITION BY meeting_id, query_id ORDER BY total DESC, task_id)),
@@ -165,7 +186,7 @@ def ret04_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     first = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("ref"), F.min("turn").alias("at"))
     pairs = rows.join(first, "conv_id")
-    return pairs.select("conv_id", "turn", F.round(V.lexical(F.col("ref"), F.array("text", "role")), 6).alias("lexical"), F.round(V.recency(F.col("turn"), F.col("at"), 10), 6).alias("recency"))
+    return pairs.select("conv_id", "turn", F.round(V.shared_words(F.col("ref"), F.array("text", "role")), 6).alias("lexical"), F.round(V.recency(F.col("turn"), F.col("at"), 10), 6).alias("recency"))
 
 
 RET04 = f"""WITH f AS (SELECT conv_id, arg_min(text, turn) AS ref, min(turn) AS at0 FROM conversations GROUP BY conv_id),

@@ -307,6 +307,71 @@ def test_merging_what_is_one_task(spark):
     assert got["TASK-000003"].events == ["E03", "E04"] and got["TASK-000003"].sources == ["RULE", "RULE_FINAL_RECAP"]
 
 
+def test_merge_candidates_equal_all_pairs(spark):
+    owners = lambda r: {x for x in r.assignee.split("; ") if x}
+    tasks = [r for r in linking.folded(linked.shaped_events(spark, SF)).collect() if r.status not in ("PROVISIONAL", "CANCELLED", "REJECTED")]
+    scores = {}
+    for x in tasks:
+        for y in tasks:
+            if x.meeting_id != y.meeting_id or x.task_id >= y.task_id or ("RULE_FINAL_RECAP" in x.sources and "RULE_FINAL_RECAP" in y.sources):
+                continue
+            if (owners(x) and owners(y) and not owners(x) & owners(y)) or (x.deadline_mention_id and y.deadline_mention_id and x.deadline_mention_id != y.deadline_mention_id):
+                continue
+            a, b = ({Plain.meaning(t) for t in (*r.aliases, r.task_name)} - {""} for r in (x, y))
+            of = lambda p, q: 1.0 if p == q else max(0.9 if p in q or q in p else 0.0, reference_ratio(p, q), Plain.tokens(p, q))
+            best = max((of(p, q) for p in a for q in b), default=0.0)
+            if best >= 0.84:
+                scores.setdefault((x.meeting_id, x.task_id), []).append((best, y.task_id))
+                scores.setdefault((x.meeting_id, y.task_id), []).append((best, x.task_id))
+    sure = {}
+    for key, own in scores.items():
+        own.sort(reverse=True)
+        if own[0][0] - (own[1][0] if len(own) > 1 else 0.0) >= 0.08:
+            sure[key] = own[0]
+    expected = sorted((m, a, b, round(s, 6)) for (m, a), (s, b) in sure.items() if a < b and sure.get((m, b), (0, ""))[1] == a)
+    found = sorted((r.meeting_id, r.a, r.b, r.score) for r in linked.led04_mutual_merges(spark, SF).collect())
+    assert found == expected and found
+
+
+def test_best_pairs_by_name_equal_every_assignment(spark):
+    from itertools import permutations
+
+    from tessera.functions.text import plain as form
+    from tessera.operators import evaluation as E
+
+    rng = random.Random(2)
+    words = ("viết", "báo cáo", "doanh thu", "release", "plans", "plan", "review", "contract")
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    schema = "case_id long, task_id long, task_key string, task_name string"
+    e, a = ([(c, 100 * c + i, "", name()) for c in range(25) for i in range(rng.randrange(1, 5))] for _ in range(2))
+    found = E.paired(spark.createDataFrame(e, schema), spark.createDataFrame(a, schema)).collect()
+
+    def score(x, y):
+        p, q = form(x), form(y)
+        if p == q:
+            return 1.0
+        (s, t), both = [set(re.findall(r"\w+", z)) - SAID_NOTHING for z in (p, q)], 0
+        if s and t:
+            both = len(s & t)
+            both = 0.9 * both / min(len(s), len(t)) + 0.1 * both / len(s | t)
+        best = max(both, reference_ratio(p, q))
+        return best if best >= 0.72 else 0.0
+
+    SAID_NOTHING = set()
+    for case in range(25):
+        left, right = [r for r in e if r[0] == case], [r for r in a if r[0] == case]
+        if len(left) > len(right):
+            options = ([(i, j) for j, i in enumerate(p)] for p in permutations(range(len(left)), len(right)))
+        else:
+            options = ([(i, j) for i, j in enumerate(p)] for p in permutations(range(len(right)), len(left)))
+        best = (0, 0.0)
+        for option in options:
+            values = [v for v in (score(left[i][3], right[j][3]) for i, j in option) if v > 0]
+            best = max(best, (len(values), round(sum(values), 6)))
+        own = [r.score for r in found if r.case_id == case]
+        assert (len(own), round(sum(own), 6)) == best
+
+
 def test_operations_are_checked(spark):
     book = linking.applied(linking.Ledger(), [r.event for r in linking.prepared(spark.createDataFrame([
         event(1, "TASK_CREATE", "Write spec", "An"), event(2, "TASK_CREATE", "Send letter to bank", "Chi"), event(3, "TASK_CANCEL", "Send letter to bank"), event(4, "DEADLINE_SET", "something else", due="D1"),
