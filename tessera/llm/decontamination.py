@@ -11,10 +11,11 @@ item has, REACH at least), so in a stretch of a few times as many; where the ite
 often, weigh less than PARAPHRASE of it, no subsequence of them can weigh more. This bound is exact: it drops only what the
 last check would refuse.
 
-Passages of these stretches (every STRIDE words) meet every item twice, and a cosine of COSINE in either space makes a
-candidate. The first is the best cosine with a passage of the item, of TF-IDF vectors over the benchmark's vocabulary, by
-postings; words outside it don't count, so new words put in for others and the words around a paraphrase don't lower it,
-nor does the item's length. The second is the cosine with the whole item in the latent space. Candidates are checked by
+Passages of these stretches (every STRIDE words) are searched in the latent space: of at most RANK dimensions and half as many
+as there are items, so that words that stand together in the corpus lie together. A cosine of LATENT with a passage of an
+item makes a candidate; both are normalised there, so words outside the benchmark's vocabulary, the words around a paraphrase
+and the item's length don't lower it. The space is an approximation, so an exact search stands beside it: a cosine of COSINE
+of the TF-IDF vectors over the vocabulary, by postings, makes a candidate as well. Candidates are checked by
 their longest common subsequence with the words around the passage, weighted by idf. Verbatim ones (VERBATIM) count at
 once, paraphrases (PARAPHRASE) only if the item's answer, its last quarter, is there too.
 
@@ -40,11 +41,14 @@ from tessera.llm.blocks import LOWER, Words, blocks, narrowed, words, written
 from tessera.llm.lsa import range_finder
 from tessera.llm.packed import PACKED, array_rows, tree_sum
 
-WINDOW, STRIDE, REACH, SLOTS, OVER, ITEM_BLOCK = 16, 8, 64, 1 << 18, 64, 512
+WINDOW, STRIDE, REACH, SLOTS, OVER, ITEM_BLOCK = 16, 8, 64, 1 << 18, 32, 512
 
-#: Least cosine of a candidate, least weighted common subsequence of a verbatim and of a paraphrased item, and of a
+#: Dimensions of the latent space at most (it has half as many as there are items, if that is less).
+RANK = 96
+
+#: Least cosine of a candidate in the latent space and by postings, least weighted common subsequence of a verbatim and of a paraphrased item, and of a
 #: paraphrase's answer.
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.3, 0.85, 0.55, 0.5
+LATENT, COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.6, 0.3, 0.85, 0.55, 0.5
 
 #: Cells (passages x items) that a task fills at a time, and passages whose vectors it multiplies at a time.
 CELLS, AT_ONCE = 1 << 20, 1 << 11
@@ -129,9 +133,9 @@ class Items:
         self.places = [np.searchsorted(self.vocabulary, x) for x in self.words]
         self.weights = [idf[slot(x)].astype(np.float64) for x in self.words]
         whole = self.terms(w.hash, w.first[:-1], w.first[1:])
-        self.rows = whole.times(np.eye(len(self.vocabulary), dtype=np.float32)) / whole.whole[:, None]
+        self.whole = whole._replace(weight=whole.weight / whole.whole[whole.row].astype(np.float32))
         self.owner, a, b = starts_in(w.first)
-        keys = self.terms(w.hash, a, b)
+        self.passages = keys = self.terms(w.hash, a, b)
         order = np.argsort(keys.word, kind="stable")
         self.post_key, self.post_weight = keys.row[order], (keys.weight / keys.inside[keys.row])[order]
         self.post_first = np.append(0, np.cumsum(np.bincount(keys.word, minlength=len(self.vocabulary))))
@@ -279,7 +283,7 @@ _SURVEY = "doc_id long, text string, part int, payload binary"
 def survey(docs: DataFrame, items: Items) -> DataFrame:
     """Over all documents: the stretches that can hold an item (doc_id, text), and each task's share of A'(A X)
     (part, payload)."""
-    size, rank = len(items.vocabulary), rank_of(items)
+    size, rank = len(items.vocabulary), sketched(items)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,30 +333,51 @@ def _united(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def rank_of(items: Items) -> int:
-    return min(len(items.ids) + OVER, len(items.vocabulary))
+    """Dimensions of the latent space: well under the items, so that words that stand together lie together."""
+    return max(1, min(RANK, len(items.ids) // 2, len(items.vocabulary)))
+
+
+def sketched(items: Items) -> int:
+    """Columns of the random matrix: the rank and some more."""
+    return min(rank_of(items) + OVER, len(items.vocabulary))
 
 
 def latent_space(sums: DataFrame, items: Items) -> np.ndarray:
-    """An orthonormal basis (vocabulary x rank) of the range of A'(A X)."""
-    size, rank = len(items.vocabulary), rank_of(items)
+    """The first `rank_of` right singular vectors of A (vocabulary x rank), from C X alone, for C = A'A: C is about
+    Y (X'Y)^-1 Y' with Y = C X, so its eigenvectors of the largest eigenvalues are the left singular vectors of Y L^-T, L the
+    Cholesky factor of X'Y. No second pass over the corpus is needed, and the weak directions of a sketch are cut off."""
+    size, n = len(items.vocabulary), sketched(items)
     found = tree_sum(sums, "<f4")
-    x = range_finder(size, rank)
-    out = items.rows.T @ (items.rows @ x)
+    x = range_finder(size, n)
+    out = np.zeros((size, n), np.float32)
+    items.whole.onto(items.whole.times(x), out)
     if found:
-        corpus = np.concatenate([found[i] for i in range(PIECES)]).reshape(size, rank)
-        out = corpus + out * max(1.0, np.linalg.norm(corpus) / np.linalg.norm(out))
-    return np.linalg.qr(out)[0].astype(np.float32)
+        corpus = np.concatenate([found[i] for i in range(PIECES)]).reshape(size, n)
+        out = corpus + out * max(1.0, np.linalg.norm(corpus) / max(np.linalg.norm(out), 1e-12))
+    y = out.astype(np.float64)
+    shift = 1e-7 * max(np.linalg.norm(y), 1e-12)
+    y += shift * x
+    core = x.T.astype(np.float64) @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > values.max(initial=0) * 1e-9
+    factor = y @ (vectors[:, keep] / np.sqrt(values[keep]))
+    basis, _, _ = np.linalg.svd(factor, full_matrices=False)
+    return np.ascontiguousarray(basis[:, : rank_of(items)], np.float32)
+
+
+def placed(terms: Terms, basis: np.ndarray) -> np.ndarray:
+    """Passages in the latent space, each of length 1."""
+    z = terms.times(basis)
+    return z / np.maximum(np.sqrt((z * z).sum(1)), 1e-12)[:, None]
 
 
 def _matches(docs: DataFrame, items: Items) -> DataFrame:
     surveyed = survey(docs, items)
     basis = latent_space(surveyed.where("part is not null").select("part", "payload"), items)
-    latent = items.rows @ basis
-    latent /= np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None]
-    sent = docs.sparkSession.sparkContext.broadcast((items, np.ascontiguousarray(basis @ latent.T)))
+    sent = docs.sparkSession.sparkContext.broadcast((items, basis, placed(items.passages, basis)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, space = sent.value
+        own, space, latent = sent.value
         lengths = np.array([len(x) for x in own.words])
         present = np.zeros(len(own.vocabulary), bool)
         for block in blocks(batches):
@@ -361,13 +386,14 @@ def _matches(docs: DataFrame, items: Items) -> DataFrame:
             hit, place = own.known(w.hash)
             found: list[np.ndarray] = []
             for p in _passages(w.hash, w.first, own):
-                whole = p.terms.times(space) / p.terms.whole[:, None]
-                at, key = np.nonzero(p.cosine >= COSINE)
-                more, item = np.nonzero(whole >= COSINE)
-                at, item = np.append(at, more), np.append(own.owner[key], item)
+                near = placed(p.terms, space) @ latent.T
+                at, key = np.nonzero(near >= LATENT)
+                more, other = np.nonzero((p.cosine >= COSINE) & (near < LATENT))  # what the latent search alone would miss
+                at, key = np.append(at, more), np.append(key, other)
+                item = own.owner[key]
                 reach = np.maximum(lengths[item], REACH)
                 low, high = np.maximum(w.first[p.row[at]], p.a[at] - reach), np.minimum(w.first[p.row[at] + 1], p.b[at] + reach)
-                found.append(np.stack([p.row[at], item, low, high, whole[at, item]]))
+                found.append(np.stack([p.row[at], item, low, high, near[at, key]]))
             for i, j, low, high, c in _merged(np.concatenate(found, 1)) if found else ():
                 words_in = place[low:high][hit[low:high]]
                 present[words_in] = True

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,8 @@ MOST_PARAGRAPHS, MOST_DOCUMENTS, MOST_CHARACTERS = 1500, 200, 2000
 #: Least probability, and least share of a template's words, of a confirmed family.
 PROBABLE, CONFIRMED = 0.5, 0.6
 
-#: What a window must have more of a template than its confirmed lines, and characters of the words around a cue.
-GAIN, REACH = 0.2, 2000
+#: What a window must have more of a template than its confirmed lines.
+GAIN = 0.2
 
 UNKNOWN = "unknown"
 
@@ -227,48 +228,70 @@ def _cue_lines() -> Column:
     return F.filter(numbered, lambda s: _has_cue(s["line"]))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _share(own: Column) -> Column:
     """The largest share of a template's words that some words hold."""
-    known = [F.array(*map(F.lit, sorted(set(tokens(x))))) for v in TEMPLATES.values() for x in v]
-    return F.greatest(*(F.size(F.array_intersect(t, own)) / F.size(t) for t in known))
+    known = [sorted(set(tokens(x))) for v in TEMPLATES.values() for x in v]
+    some = F.array(*map(F.lit, sorted(set().union(*known))))
+    literal = [(F.array(*map(F.lit, t)), len(t)) for t in known]
+    return _let(F.array_intersect(own, some), lambda w: F.greatest(*(F.size(F.array_intersect(t, w)) / n for t, n in literal)))
 
 
 def _windows(texts: DataFrame) -> DataFrame:
     """Windows of several lines that have enough words of a template, of texts with their lines.
 
-    Windows are looked for around lines with a cue, where the words on both sides (REACH characters at most) could confirm
-    a family or better what the line itself confirms."""
-    worded = lambda x: x.rlike("[A-Za-z0-9]")
-    low = lambda s: F.greatest(s["paragraph"] - MOST_WORDS, F.lit(0))
-    around = F.transform(_cue_lines(), lambda s: F.struct(
-        s["paragraph"].alias("cue"), s["line"].alias("line"), low(s).alias("low"), F.slice("lines", low(s) + 1, s["paragraph"] - low(s)).alias("above"),
-        F.slice("lines", s["paragraph"] + 2, F.lit(MOST_WORDS)).alias("below"),
-    ))
-    near = texts.select("doc_id", "source", F.explode(around).alias("x")).select("doc_id", "source", "x.*")
-    text = F.concat_ws(" ", F.right(F.array_join("above", " "), F.lit(REACH)), "line", F.left(F.array_join("below", " "), F.lit(REACH)))
-    near = near.withColumn("own", _share(word_list(F.col("line")))).withColumn("bound", _share(word_list(text)))
-    near = near.where((F.col("bound") >= CONFIRMED) & ((F.col("own") < CONFIRMED) | (F.col("bound") >= F.col("own") + GAIN)))
-    near = near.withColumn("lines", F.concat("above", F.array("line"), "below"))
-    rows = near.select("doc_id", "source", "cue", "low", "lines", F.posexplode("lines").alias("place", "line")).withColumn("paragraph", F.col("low") + F.col("place"))
-    rows = rows.where(worded(F.col("line")) & (F.col("paragraph") <= F.col("cue")))
-    below = F.slice("lines", F.col("place") + 1, MOST_WORDS)
-    blank = F.array_position(F.transform(below, worded), F.lit(False)).cast("int")
-    rows = rows.withColumn("below", F.when(blank > 0, F.slice(below, F.lit(1), blank - 1)).otherwise(below)).where("size(below) > 1")
-    each = F.transform("below", word_list)
-    # lines until MOST_WORDS words are there; words of a line count within it
-    taken = F.aggregate(
-        F.transform(each, F.size), F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")),
-        lambda s, n: F.struct((s["n"] + F.when(s["words"] < MOST_WORDS, 1).otherwise(0)).alias("n"), (s["words"] + n).alias("words")),
-    )["n"]
-    rows = rows.withColumn("taken", taken).where("taken > 1").withColumn("line", F.array_join(F.slice("below", F.lit(1), F.col("taken")), " ")).where(_has_cue(F.col("line")))
-    share = _share
-    begun = lambda n: F.slice(word_list(F.array_join(F.slice("below", F.lit(1), n), " ")), 1, MOST_WORDS)
-    rows = rows.where(share(begun(F.col("taken"))) >= CONFIRMED)
-    # the window ends where nothing is gained any more
-    shares = F.transform(F.sequence(F.lit(1), F.col("taken")), lambda n: share(begun(n)))
-    rows = rows.withColumn("shares", shares).withColumn("taken", F.array_position("shares", F.array_max("shares")).cast("int")).where("taken > 1")
-    rows = rows.withColumn("line", F.array_join(F.slice("below", F.lit(1), F.col("taken")), " "))
-    return rows.select("doc_id", "source", "paragraph", (F.col("paragraph") + F.col("taken") - 1).alias("last"), "line", begun(F.col("taken")).alias("words"))
+    Windows are looked for around lines with a cue, where all words of the lines that a window with it can have could confirm
+    a family or better what the line itself confirms. A text's lines are cut into words once, and what several cues have in
+    common is looked at once."""
+    texts = texts.withColumn("each", F.explode(F.array(F.transform("lines", word_list)))).withColumn("worded", F.transform("lines", lambda x: x.rlike("[A-Za-z0-9]")))
+    lines, each, worded = F.col("lines"), F.col("each"), F.col("worded")
+
+    def reach(cue: Column) -> Column:
+        """From which line on a window may begin that holds the cue: the one after the last without words."""
+        low = F.greatest(cue - MOST_WORDS, F.lit(0))
+        back = F.array_position(F.reverse(F.slice(worded, low + 1, cue - low)), F.lit(False)).cast("int")
+        return F.when(back > 0, cue - back + 1).otherwise(low)
+
+    def promising(cue: Column) -> Column:
+        words = lambda low: F.flatten(F.slice(each, low + 1, cue - low + 1 + MOST_WORDS))
+        return _let(F.struct(_share(each[cue]).alias("own"), _share(words(reach(cue))).alias("bound")), lambda x: (x["bound"] >= CONFIRMED) & ((x["own"] < CONFIRMED) | (x["bound"] >= x["own"] + GAIN)))
+
+    cues = F.filter(F.transform(lines, lambda x, i: F.when(_has_cue(x), i)), lambda i: i.isNotNull())
+    texts = texts.withColumn("cues", F.filter(cues, promising)).where("size(cues) > 0")
+    starts = F.array_distinct(F.flatten(F.transform("cues", lambda c: F.sequence(reach(c), c))))
+    begun = lambda own, n: F.slice(F.flatten(F.slice(own, F.lit(1), n)), 1, MOST_WORDS)
+
+    def lines_taken(at: Column) -> Column:
+        """Lines from one on, until MOST_WORDS words are there or one has none."""
+        sizes = F.transform(F.slice(each, at + 1, MOST_WORDS), F.size)
+        full = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), lambda s, n: F.struct(
+            (s["n"] + F.when(s["words"] < MOST_WORDS, 1).otherwise(0)).alias("n"), (s["words"] + n).alias("words"),
+        ))["n"]
+        blank = F.array_position(F.slice(worded, at + 1, MOST_WORDS), F.lit(False)).cast("int")
+        return F.when(blank > 0, F.least(full, blank - 1)).otherwise(full)
+
+    def window(at: Column) -> Column:
+        def ended(n: Column, own: Column) -> Column:
+            """The window ends where nothing is gained any more."""
+            shares = F.transform(F.sequence(F.lit(1), n), lambda k: _share(begun(own, k)))
+            best = _let(shares, lambda x: F.array_position(x, F.array_max(x)).cast("int"))
+            return _let(best, lambda k: F.when(k > 1, F.struct(
+                at.alias("paragraph"), (at + k - 1).alias("last"), F.array_join(F.slice(lines, at + 1, k), " ").alias("line"), begun(own, k).alias("words"),
+            )))
+
+        def tried(n: Column) -> Column:
+            own = F.slice(each, at + 1, F.greatest(n, F.lit(1)))
+            hopeful = (n > 1) & F.exists(F.slice(lines, at + 1, F.greatest(n, F.lit(1))), _has_cue) & (_share(begun(own, n)) >= CONFIRMED)
+            return F.when(hopeful, ended(n, own))
+
+        return _let(lines_taken(at), tried)
+
+    found = F.filter(F.transform(starts, window), lambda x: x.isNotNull())
+    return texts.select("doc_id", "source", F.explode(found).alias("x")).select("doc_id", "source", "x.*")
 
 
 def _chosen(found: DataFrame) -> DataFrame:

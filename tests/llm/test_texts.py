@@ -245,3 +245,36 @@ def test_wrapped_licence_notices(spark):
     assert [x for x in got if x[0] < 50] == sorted(expected)
     assert {x[2] for x in got if x[0] == 50} == {"unknown"}
     assert [x for x in got if x[0] == 51] == [(51, 1, "MIT"), (51, 1 + len(textwrap.wrap(bodies[0][1], 60)), "BSD")]
+
+
+def test_decorated_and_repeated_notices(spark):
+    """Any number of signs before the lines, repeated notices, and a notice far down a very long text."""
+    classifier = licences.fit(["the committee met and the minutes were read", "der Vertrag ist nicht gültig"])
+    body = textwrap.wrap(licences.TEMPLATES["MIT"][-1], 22)
+    boxed = ["*" * 600 + " " + x for x in body]
+    rows = [(1, "\n".join(boxed)), (2, "\n".join([*body, "", *body])), (3, "\n".join(["plain words here"] * 4000 + body)), (4, "\n".join(body)), (4, "\n".join(body))]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.notices(X.documents(spark, rows), classifier).collect())
+    assert got == [(1, 0, "MIT"), (2, 0, "MIT"), (2, len(body) + 1, "MIT"), (3, 4000, "MIT"), (4, 0, "MIT")]
+
+
+def test_lines_score_as_the_model_says(spark):
+    """Every line with a cue of the given documents against the same model in plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    c = licences.fit(licences.sample(docs))
+    weights = dict(zip(c.grams, c.weights, strict=True))
+    expected = {}
+    for r in docs.collect():
+        for i, line in enumerate((r.text or "").split("\n")):
+            if any(cue in line.lower() for cue in licences.CUES):
+                own = licences.tokens(line)
+                grams = set(own) | {f"{a} {b}" for a, b in zip(own, own[1:], strict=False)}
+                z = (c.bias + sum((weights[g] for g in grams if g in weights), np.zeros(len(c.names)))) / c.temperature
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                known = max((len(set(licences.tokens(t)) & set(own)) / len(set(licences.tokens(t))) for t in licences.TEMPLATES.get(c.names[int(z.argmax())], [])), default=0.0)
+                sure = p.max() >= licences.PROBABLE and known >= licences.CONFIRMED and c.names[int(z.argmax())] != licences.UNKNOWN
+                expected[r.doc_id, i] = (c.names[int(z.argmax())] if sure else licences.UNKNOWN, bool(any(g in weights for g in grams)), round(float(p.max()), 4))
+    found = {(r.doc_id, r.paragraph): r for r in licences.notices(docs, c).collect()}
+    assert expected and set(expected) <= set(found)
+    for key, (family, has_terms, probability) in expected.items():
+        assert found[key].family == family
+        assert not has_terms or abs(found[key].probability - probability) < 1e-3
