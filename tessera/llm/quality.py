@@ -65,23 +65,43 @@ def terms(data: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.column_stack([tf_idf(gram_counts(data, bounds, GRAM, SLOTS), idf), (REPEATS * share).astype(np.float32)])
 
 
+#: Terms and the basis are rounded to this part of 1, latent vectors to that: sums of their products are whole numbers below
+#: 2^53, which no order of adding changes, so a text has one score, whatever stands beside it.
+COARSE, FINE = 1 << 14, 1 << 20
+
+
+def fixed(x: np.ndarray, part: int) -> np.ndarray:
+    return np.rint(np.asarray(x, np.float64) * part)
+
+
+def latent(own: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Rows of terms in the latent space, of length 1, as whole numbers; basis is `fixed`."""
+    return fixed(unit(fixed(own, COARSE) @ basis), FINE)
+
+
 class Voters:
+    """Labelled latent vectors; of equal cosines the voter of the smaller number votes."""
+
     def __init__(self, idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> None:
         self.idf, self.basis, self.vectors, self.labels = idf, basis, vectors, labels
 
     def latent(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return unit(terms(data, bounds, self.idf) @ self.basis)
+        return latent(terms(data, bounds, self.idf), self.basis)
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         if not len(self.labels):
             return np.full(len(bounds) - 1, prior)
-        similar = self.latent(data, bounds) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64) ** POWER
+        n, k = len(self.labels), min(NEIGHBOURS, len(self.labels))
+        similar = (self.latent(data, bounds) @ self.vectors.T).astype(np.int64)
+        order = similar * n + (n - 1 - np.arange(n))
+        near = -np.partition(-order, k - 1, axis=1)[:, :k]
+        near.sort(axis=1)
+        voter = n - 1 - near % n
+        weight = np.maximum(near // n, 0).astype(np.float64) / FINE**2
+        weight **= POWER
         total = weight.sum(1)
-        vote = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
+        vote = (weight * self.labels[voter]).sum(1) / np.maximum(total, 1e-12)
         return np.where(total > 1e-9, np.clip(vote, 0, 1), prior)
 
 
@@ -100,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voters:
         to = min(i + 200, len(raw))
         parts.append(terms(data[bounds[i] : bounds[to]], bounds[i : to + 1] - bounds[i], idf))
     x = np.concatenate(parts)
-    basis = svd_basis(x, RANK)
-    return Voters(idf, basis, unit(x @ basis), y)
+    basis = fixed(svd_basis(x, RANK), COARSE)
+    return Voters(idf, basis, latent(x, basis), y)
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:

@@ -135,6 +135,25 @@ def test_classifiers_without_labels_or_texts(spark):
     assert quality.score(X.empty(spark), quality.fit(X.empty(spark), none)).collect() == []
 
 
+def test_votes_equal_plain_loops_and_dont_depend_on_the_block(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    voters = quality.fit(docs, labels)
+    texts = [r.text or "" for r in docs.collect()][:60] * 2 + [""]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    together = voters.scores(data, bounds)
+    vectors = [[int(x) for x in v] for v in voters.vectors]
+    for i, t in enumerate(raw):
+        one = np.frombuffer(t, np.uint8)
+        assert voters.scores(one, np.array([0, len(one)]))[0] == together[i]
+        own = [int(x) for x in voters.latent(one, np.array([0, len(one)]))[0]]
+        similar = sorted(((-sum(a * b for a, b in zip(own, v, strict=True)), j) for j, v in enumerate(vectors)))[: quality.NEIGHBOURS]
+        weights = [(max(-s, 0) / quality.FINE**2) ** quality.POWER for s, _ in similar]
+        expected = sum(w * voters.labels[j] for w, (_, j) in zip(weights, similar, strict=True)) / sum(weights) if sum(weights) > 1e-9 else voters.labels.mean()
+        assert abs(together[i] - expected) < 1e-9
+
+
 def test_folds_are_crc32(spark):
     found = queries.op1_quality(spark, SF).collect()
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
