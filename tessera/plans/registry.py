@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis, evaluated, evidence, extracted, guarding, handed, linked, localised, meetings, offlined, proposed, recapped, reduced, routed, selected, temporal
+from tessera.plans import analysis, evaluated, evidence, extracted, guarding, handed, linked, localised, meetings, offlined, proposed, recalled, recapped, reduced, routed, selected, temporal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (meetings, analysis, evidence, guarding, extracted, proposed, temporal, evaluated, routed, selected, reduced, handed, offlined, localised, linked, recapped)
+MODULES = (meetings, analysis, evidence, guarding, extracted, proposed, temporal, evaluated, routed, selected, reduced, handed, offlined, localised, linked, recapped, recalled)
 
 ALL = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
