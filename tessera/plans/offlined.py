@@ -73,13 +73,13 @@ SELECT case_id, task_key, first(source ORDER BY p, k) AS source, coalesce(first(
 
 def off28_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where("event_id % 3 > 0 or event_id % 2 = 0").select(
-        F.floor(k / 3).alias("proposal_id"), F.when(k % 5 == 0, "REFERENCE").otherwise("CREATE").alias("decision"), (k % 2).cast("string").alias("span"), (F.pmod(k * 37, F.lit(100)) / 100).alias("confidence"),
+    rows = table(spark, sf_dir, "events").select(
+        (F.floor(k / 3) * 2 + (k % 3 == 2).cast("int")).alias("proposal_id"), F.when(k % 5 == 0, "REFERENCE").otherwise("CREATE").alias("decision"), (k % 2).cast("string").alias("span"), (F.pmod(k * 37, F.lit(100)) / 100).alias("confidence"),
     )
     return O.consensus(rows)
 
 
-OFF28 = """WITH r AS (SELECT event_id // 3 AS proposal_id, CASE WHEN event_id % 5 = 0 THEN 'REFERENCE' ELSE 'CREATE' END AS decision, event_id % 2 AS span, event_id * 37 % 100 / 100 AS c FROM events WHERE event_id % 3 > 0 OR event_id % 2 = 0),
+OFF28 = """WITH r AS (SELECT event_id // 3 * 2 + CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS proposal_id, CASE WHEN event_id % 5 = 0 THEN 'REFERENCE' ELSE 'CREATE' END AS decision, event_id % 2 AS span, event_id * 37 % 100 / 100 AS c FROM events),
 g AS (SELECT proposal_id, count(*) AS n, count(DISTINCT decision || span) AS kinds, min(decision) AS d, min(c) AS low, max(c) AS high FROM r GROUP BY proposal_id)
 SELECT proposal_id, CASE WHEN (n = 2 AND kinds = 1) OR (n = 1 AND high >= 0.9) THEN d ELSE 'UNRESOLVED' END AS decision, CASE WHEN n = 2 AND kinds = 1 THEN 'teacher_consensus' WHEN n = 1 AND high >= 0.9 THEN 'teacher_single' ELSE 'unresolved' END AS source,
   CASE WHEN n = 2 AND kinds = 1 THEN low ELSE high END AS confidence FROM g"""
@@ -220,13 +220,14 @@ SELECT meeting_id, CASE WHEN clauses >= 80 AND meeting_id % 3 <> 0 AND src = 'RU
 
 def off09_identity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests (orders with their line numbers modulo three as candidates) by customer."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 20").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list((F.col("l_linenumber") % 3).cast("string")).alias("task_ids"))
+    candidate = F.when(F.col("l_quantity") > 20, (F.col("l_linenumber") % 3).cast("string"))  # small lines are no candidates
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(candidate).alias("task_ids"))
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(lines, "o_orderkey", "left")
     return O.identity_audit(rows.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("request_id"), F.coalesce("task_ids", F.array().cast("array<string>")).alias("task_ids")))
 
 
-OFF09 = """WITH l AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber % 3) AS d FROM lineitem WHERE l_quantity > 20 GROUP BY l_orderkey)
-SELECT o_custkey AS case_id, count(*) AS requests, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidates, count(*) FILTER (n IS NULL) AS empty, count(*) FILTER (n <> d) AS repeated FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_custkey"""
+OFF09 = """WITH l AS (SELECT l_orderkey, count(*) FILTER (l_quantity > 20) AS n, count(DISTINCT CASE WHEN l_quantity > 20 THEN l_linenumber % 3 END) AS d FROM lineitem GROUP BY l_orderkey)
+SELECT o_custkey AS case_id, count(*) AS requests, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidates, count(*) FILTER (coalesce(n, 0) = 0) AS empty, count(*) FILTER (n <> d) AS repeated FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_custkey"""
 
 
 def off31_diarised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ EVD08 = f"WITH {EVIDENCE_SQL} SELECT meeting_id, clause_id, route, confidence, a
 
 
 def evd09_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).withColumn("x", R.route()).where("x.route = 'AI_CREATE_CHECK' or order_index % 5 = 0")
+    rows = _evidence(spark, sf_dir).withColumn("x", R.route())
     decisions = rows.select("meeting_id", "clause_id", F.round("x.confidence", 6).alias("confidence"), "against_strongly")
     candidates = _routed(spark, sf_dir).select("meeting_id", F.explode("primary").alias("clause_id"), "kind", "state", "commitment")
     return R.preflight(decisions, candidates, 3).drop("against_strongly")
@@ -139,7 +139,7 @@ def evd09_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVD09 = f"""WITH {AUTHORITY_SQL}, {EVIDENCE_SQL.replace(SAID_FLAGS_SQL + ', ', '')}, held AS (SELECT meeting_id, unnest(prim) AS clause_id, kind, state, commitment FROM routed),
 g AS (SELECT meeting_id, clause_id, bool_or(commitment IN ('DROP', 'CONTEXT_ONLY')) AS hard, bool_or(kind NOT IN ('MUTATION', 'REFERENCE', 'UNKNOWN', 'RECAP_ITEM') AND state <> 'REFERENCE_ONLY') AS grounded FROM held GROUP BY ALL),
 w AS (SELECT routes.meeting_id, routes.clause_id, confidence, CASE WHEN strongly THEN 'EVIDENCE_HARD_NEGATIVE' WHEN coalesce(hard, false) THEN 'COMMITMENT_HARD_NEGATIVE' WHEN coalesce(grounded, false) THEN 'ELIGIBLE' ELSE 'NO_GROUNDED_CREATE_SPAN' END AS reason
-  FROM routes LEFT JOIN g USING (meeting_id, clause_id) WHERE route = 'AI_CREATE_CHECK' OR order_index % 5 = 0)
+  FROM routes LEFT JOIN g USING (meeting_id, clause_id))
 SELECT *, reason = 'ELIGIBLE' AND row_number() OVER (PARTITION BY meeting_id, reason = 'ELIGIBLE' ORDER BY confidence DESC, clause_id) <= 3 AS selected FROM w"""
 
 

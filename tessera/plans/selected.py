@@ -12,14 +12,15 @@ from tessera.plans.said import SAID_SQL, said
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows around some clauses (their number modulo 17 under 5), every third of them for rules."""
+    """A window per clause: around some (their number modulo 17 under 5) with their context, around the others without; every third of them for rules."""
     near = W.partitionBy("meeting_id").orderBy("order_index").rowsBetween(-3, 5)
-    rows = said(spark, sf_dir).withColumn("context", F.collect_list("order_index").over(near)).where(F.col("order_index") * 7 % 17 < 5)
+    wide = F.col("order_index") * 7 % 17 < 5
+    rows = said(spark, sf_dir).withColumn("context", F.when(wide, F.collect_list("order_index").over(near)).otherwise(F.array("order_index")))
     return rows.select("meeting_id", "order_index", "context", (F.col("order_index") % 10).alias("score"), F.when(F.col("order_index") % 3 == 0, "RULE").otherwise("AI").alias("strategy"))
 
 
-_WINDOWS_SQL = SAID_SQL + """, w AS (SELECT meeting_id, order_index, list(order_index) OVER (PARTITION BY meeting_id ORDER BY order_index ROWS BETWEEN 3 PRECEDING AND 5 FOLLOWING) AS context FROM said),
-ws AS (SELECT meeting_id, context, order_index % 10 AS score, CASE WHEN order_index % 3 = 0 THEN 'RULE' ELSE 'AI' END AS strategy, order_index FROM w WHERE order_index * 7 % 17 < 5)"""
+_WINDOWS_SQL = SAID_SQL + """, w AS (SELECT meeting_id, order_index, list(order_index) OVER (PARTITION BY meeting_id ORDER BY order_index ROWS BETWEEN 3 PRECEDING AND 5 FOLLOWING) AS near FROM said),
+ws AS (SELECT meeting_id, CASE WHEN order_index * 7 % 17 < 5 THEN near ELSE [order_index] END AS context, order_index % 10 AS score, CASE WHEN order_index % 3 = 0 THEN 'RULE' ELSE 'AI' END AS strategy, order_index FROM w)"""
 
 
 def _fold_sql(source: str, joins: str, ai: bool) -> str:
