@@ -13,6 +13,7 @@ comparing all.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
@@ -533,6 +534,43 @@ def folded(events: DataFrame, settle: bool = True, merge: bool = False) -> DataF
     return _per_meeting(events, lambda ledger, meeting: ledger.rows(meeting), TASK, settle, merge)
 
 
+CHECKPOINT = "meeting_id long, last_index long, state string"
+
+
+def checkpoints(events: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """The state of each meeting's ledger after its events (meeting_id, last_index, state as JSON). With `earlier` ones, what they hold
+    goes on: only newer events are needed."""
+    names = [x.split(" ")[0] for x in CHECKPOINT.split(", ")]
+
+    def save(own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        held = before.iloc[0] if len(before) else None
+        ledger = applied(Ledger(json.loads(held["state"]) if held is not None else None), own["event"] if len(own) else [])
+        last = max([plain_event(e)["at"] for e in own["event"]] if len(own) else [], default=-1)
+        meeting = int((own if len(own) else before)["meeting_id"].iloc[0])
+        return pd.DataFrame([(meeting, max(last, int(held["last_index"]) if held is not None else -1), json.dumps(ledger.state(), ensure_ascii=False))], columns=names)
+
+    session = events.sparkSession
+    known = earlier if earlier is not None else session.createDataFrame([], CHECKPOINT)
+    return prepared(events).groupBy("meeting_id").cogroup(known.groupBy("meeting_id")).applyInPandas(save, CHECKPOINT)
+
+
+def restored(saved: DataFrame, settle: bool = True) -> DataFrame:
+    """The tasks (TASK) of saved ledgers."""
+    names = [x.strip().split(" ")[0] for x in TASK.split(", ")]
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for meeting, state in zip(batch["meeting_id"], batch["state"], strict=True):
+                ledger = Ledger(json.loads(state))
+                if settle:
+                    ledger.settle()
+                out += ledger.rows(int(meeting))
+            yield pd.DataFrame(out, columns=names)
+
+    return saved.select("meeting_id", "state").mapInPandas(rows, TASK)
+
+
 def counted(events: DataFrame, settle: bool = True) -> DataFrame:
     """How a meeting's events were linked: what happened, and how often."""
     def rows(ledger: Ledger, meeting: int) -> list[tuple]:

@@ -6,6 +6,7 @@ leaves can't be said in SQL: `tests/test_linking.py` holds every task of the tab
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import sequence_id
 from tessera.operators import linking
-from tessera.plans.rendered import _ordered
+from tessera.plans.rendered import _ordered, table
+from tessera.sources import corpus
 
 NAMES = ("An", "Bình", "Chi", "Dũng", "Giang")
 
@@ -113,7 +115,65 @@ def led04_mutual_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.merge_candidates(tasks.withColumn("owners", owners)).withColumn("score", F.round("score", 6))
 
 
+def snk04_resumed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of ledgers that were saved after the events before each meeting's thirtieth and went on with the others."""
+    events = shaped_events(spark, sf_dir)
+    saved = linking.checkpoints(events.where("order_index < 30"))
+    found = linking.restored(linking.checkpoints(events.where("order_index >= 30"), saved))
+    return found.select("meeting_id", "task_id", "task_name", "assignee", "deadline_mention_id", "status", F.array_join("events", "|").alias("events"))
+
+
+def src10_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as folders of cases, some of their files broken or left out, and scanned again."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    k = F.col("conv_id")
+    case = F.format_string("CASE-%06d", k)
+    files = F.array(
+        F.when(k % 7 != 1, F.struct(F.lit("metadata.json").alias("file"), F.when(k % 11 == 3, "{broken").otherwise(F.concat(F.lit('{"case_id": "'), case, F.lit('", "turns": '), F.size("lines").cast("string"), F.lit("}"))).alias("text"))),
+        F.when(k % 7 != 2, F.struct(F.lit("transcript.txt").alias("file"), text.alias("text"))),
+        F.when(k % 7 != 4, F.struct(F.lit("expected_output.json").alias("file"), F.lit('{"tasks": []}').alias("text"))),
+        F.when(k % 2 == 0, F.struct(F.lit("meeting_note.txt").alias("file"), F.lit("note").alias("text"))),
+    )
+    path = f"{corpus.shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    corpus.write_cases(rows.select(case.alias("case_id"), F.explode(F.array_compact(files)).alias("x")).select("case_id", "x.*"), path)
+    found = corpus.cases(spark, path)
+    turns = F.try_variant_get("metadata_json", "$.turns", "int")
+    return found.select("case_id", "problem", turns.alias("turns"), F.size(F.split("transcript", "\n")).alias("n_lines"), F.sha2("transcript", 256).alias("sha"), F.col("meeting_note").isNotNull().alias("has_note"))
+
+
+SRC10 = r"""WITH c AS (SELECT conv_id AS k, count(*) AS n, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT printf('CASE-%06d', k) AS case_id, CASE WHEN k % 7 = 1 THEN 'MISSING_METADATA' WHEN k % 7 = 2 THEN 'MISSING_TRANSCRIPT' WHEN k % 7 = 4 THEN 'MISSING_EXPECTED_OUTPUT' WHEN k % 11 = 3 THEN 'BROKEN_METADATA' END AS problem,
+  CASE WHEN k % 7 <> 1 AND k % 11 <> 3 THEN CAST(n AS INTEGER) END AS turns, CASE WHEN k % 7 <> 2 THEN CAST(len(string_split(t, chr(10))) AS INTEGER) END AS n_lines, CASE WHEN k % 7 <> 2 THEN sha256(t) END AS sha, k % 2 = 0 AS has_note FROM c"""
+
+
+def src11_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meetings written as traces, some of them broken, without id, or with a clause twice, and scanned again."""
+    k = F.col("meeting_id")
+    rows = shaped_events(spark, sf_dir).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("order_index", F.element_at("source_clause_ids", 1).alias("clause_id")))).alias("cs"))
+    ids = F.transform("cs", lambda x: F.struct(x["clause_id"].alias("clause_id")))
+    ids = F.when(k % 5 == 2, F.concat(ids, F.slice(ids, 1, 1))).otherwise(ids)
+    whole = F.to_json(F.struct(F.when(k % 5 != 3, F.concat(F.lit("M"), k)).alias("meeting_id"), ids.alias("clauses"), F.slice(ids, 1, 3).alias("records")))
+    body = F.when(k % 5 == 1, F.substr(whole, F.lit(1), F.length(whole) - 5)).when(k % 5 == 4, F.to_json(F.slice(ids, 1, 2))).otherwise(whole)
+    path = f"{corpus.shared_folder(spark)}/traces-{uuid.uuid4().hex}"
+    corpus.write_cases(rows.select(F.lit("all").alias("case_id"), F.format_string("M-v1-%06d.json", k).alias("file"), body.alias("text")), path)
+    return corpus.traces(spark, path).select("file", "meeting_id", "n_clauses", F.size("records").alias("n_records"), "problem")
+
+
+SRC11 = r"""WITH m AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY user_id)
+SELECT printf('M-v1-%06d.json', k) AS file, CASE WHEN k % 5 IN (0, 2) THEN 'M' || k END AS meeting_id, CAST(CASE k % 5 WHEN 0 THEN n WHEN 2 THEN n + 1 WHEN 3 THEN n ELSE 0 END AS INTEGER) AS n_clauses,
+  CAST(CASE k % 5 WHEN 1 THEN 0 WHEN 4 THEN least(n, 2) ELSE least(n + CASE WHEN k % 5 = 2 THEN 1 ELSE 0 END, 3) END AS INTEGER) AS n_records, CASE k % 5 WHEN 1 THEN 'BROKEN_JSON' WHEN 2 THEN 'REPEATED_CLAUSE' WHEN 3 THEN 'NO_MEETING_ID' WHEN 4 THEN 'NO_MEETING_ID' END AS problem FROM m"""
+
+
+def snk05_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task events as JSON Lines, and the report of what was written."""
+    rows = shaped_events(spark, sf_dir).select("meeting_id", "order_index", "event_id", "event_type", "action_text")
+    n, digest = corpus.write_lines(rows, f"{corpus.shared_folder(spark)}/lines-{uuid.uuid4().hex}", ["meeting_id", "order_index"])
+    return spark.createDataFrame([(n, digest)], "n long, digest string")
+
+
 QUERIES = {
+    "snk04_resumed_tasks": (snk04_resumed_tasks, None), "src10_cases": (src10_cases, SRC10), "src11_traces": (src11_traces, SRC11), "snk05_lines": (snk05_lines, None),
     "led04_mutual_merges": (led04_mutual_merges, None),
     "led02_linked_tasks": (led02_linked_tasks, None), "lnk01_link_counts": (lnk01_link_counts, None), "led05_merged_tasks": (led05_merged_tasks, None),
 }
