@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sequence_id
-from tessera.operators import linking
+from tessera.operators import linking, recaps
 from tessera.plans.rendered import _ordered, table
 from tessera.sources import corpus
 
@@ -172,7 +172,30 @@ def snk05_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, digest)], "n long, digest string")
 
 
+def _snapshot_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Visible tasks; clauses that tell their state at the end: both first tasks (0), one and something unknown (1), one twice (2), without a row of
+    others (3), by user_id modulo 5; and scopes, of which every seventh isn't authoritative."""
+    tasks = linking.folded(shaped_events(spark, sf_dir)).where(~F.col("status").isin("PROVISIONAL", "CANCELLED", "REJECTED"))
+    k = F.col("meeting_id") % 5
+    names = tasks.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_id", "task_name"))), lambda x: F.regexp_replace(x["task_name"], "[,;:?-]", " ")).alias("names"))
+    first, second = F.element_at("names", 1), F.coalesce(F.try_element_at("names", F.lit(2)), F.lit("nothing like it"))
+    listed = F.when(k == 0, F.concat_ws(", ", first, second)).when(k == 1, F.concat_ws(" và ", first, F.lit("mua xe mới"))).when(k == 2, F.concat_ws("; ", first, first)).otherwise(first)
+    said = F.array(F.struct(F.lit(1).alias("order_index"), F.lit("An").alias("speaker_name"), F.concat(F.lit("Final recap: tasks active: "), listed).alias("text_raw")),
+                   F.struct(F.lit(2).alias("order_index"), F.lit("An").alias("speaker_name"), F.when(k == 3, "hết").otherwise("Hủy: demo").alias("text_raw")),
+                   F.struct(F.lit(3).alias("order_index"), F.lit("Chi").alias("speaker_name"), F.lit("tasks active: another").alias("text_raw")))
+    clauses = names.select("meeting_id", F.explode(said).alias("x")).select("meeting_id", "x.*")
+    scope = names.select("meeting_id", F.when(F.col("meeting_id") % 7 == 6, "COMPLETE").otherwise("AUTHORITATIVE").alias("scope"))
+    return tasks, clauses, scope
+
+
+def pol04_active_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks that final recaps leave active."""
+    tasks, clauses, scope = _snapshot_inputs(spark, sf_dir)
+    return recaps.active_snapshot(tasks, recaps.active_labels(clauses), scope).select("meeting_id", "task_id", "task_name", "assignee", "status")
+
+
 QUERIES = {
+    "pol04_active_snapshot": (pol04_active_snapshot, None),
     "snk04_resumed_tasks": (snk04_resumed_tasks, None), "src10_cases": (src10_cases, SRC10), "src11_traces": (src11_traces, SRC11), "snk05_lines": (snk05_lines, None),
     "led04_mutual_merges": (led04_mutual_merges, None),
     "led02_linked_tasks": (led02_linked_tasks, None), "lnk01_link_counts": (lnk01_link_counts, None), "led05_merged_tasks": (led05_merged_tasks, None),

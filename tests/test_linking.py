@@ -381,3 +381,33 @@ def test_operations_are_checked(spark):
     assert book.tasks["TASK-000001"]["mention"] == "D1" and not book.unresolved
     again = linking.Ledger(book.state())
     assert again.rows(1) == book.rows(1)
+
+
+def test_a_final_recap_leaves_what_it_names(spark):
+    from tessera.operators import recaps
+
+    tasks, clauses, scope = linked._snapshot_inputs(spark, SF)
+    labels = {r.meeting_id: list(r.labels) for r in recaps.active_labels(clauses).collect()}
+    scopes = {r.meeting_id: r.scope for r in scope.collect()}
+    own, expected, left = {}, set(), {}
+    for r in tasks.collect():
+        own.setdefault(r.meeting_id, []).append(r)
+    for meeting, rows in own.items():
+        rows.sort(key=lambda r: r.task_id)
+        kept, said = [], labels.get(meeting, [])
+        for label in said:
+            ranked = []
+            for r in rows:
+                a, b = plain(r.task_name), plain(label)
+                overlap, alike = Plain.tokens(a, b), reference_ratio(a, b)
+                if overlap >= 0.6 or alike >= 0.7:
+                    ranked.append((max(overlap, alike), int(bool(r.deadline_mention_id)) + int(plain(r.assignee) not in recaps.NO_OWNERS), r.last_index, r))
+            if ranked:
+                best = max(ranked, key=lambda x: x[:3])[3]
+                if best.task_id not in [k.task_id for k in kept]:
+                    kept.append(best)
+        whole = scopes[meeting] == "AUTHORITATIVE" and said and len(kept) == len(said)
+        left[meeting] = bool(whole)
+        expected |= {(meeting, r.task_id) for r in (kept if whole else rows)}
+    assert {(r.meeting_id, r.task_id) for r in linked.pol04_active_snapshot(spark, SF).collect()} == expected
+    assert any(left.values()) and not all(left.values()) and all(3 != m % 5 or m not in labels for m in own)
