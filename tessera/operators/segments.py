@@ -135,8 +135,11 @@ def clauses(sentence_rows: DataFrame) -> DataFrame:
     )
 
 
-def blocks(clause_rows: DataFrame, size: int = 50, overlap: int = 7) -> DataFrame:
-    """Blocks of `size` clauses, each with up to `overlap` clauses of context on either side. A clause is primary once."""
+def blocks(clause_rows: DataFrame, size: int = 50, overlap: int = 7, hard_maximum: int = 80) -> DataFrame:
+    """Blocks of `size` clauses, each with up to `overlap` clauses of context on either side. A clause is primary once. Raises
+    ValueError if size isn't within 1 and hard_maximum, or overlap is negative."""
+    if not 1 <= size <= hard_maximum or overlap < 0:
+        raise ValueError(f"blocks of {size} clauses must be within 1..{hard_maximum}, with an overlap of 0 or more")
     block = F.floor(F.col("order_index") / size)
     place = F.col("order_index") % size
     near = F.array_compact(F.array(block, F.when((place < overlap) & (block > 0), block - 1), F.when(place >= size - overlap, block + 1)))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import (
-    analysis, evaluated, evidence, extracted, grounded, guarding, handed, linked, localised, meetings, offlined, proposed, recalled, recapped, reduced, routed, selected, temporal, trained,
+    analysis, evaluated, evidence, extracted, grounded, guarding, handed, linked, localised, meetings, offlined, proposed, recalled, recapped, reduced, routed, selected, temporal, titled, trained,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (meetings, analysis, evidence, guarding, extracted, proposed, temporal, evaluated, routed, selected, reduced, handed, offlined, localised, linked, recapped, recalled, trained, grounded)
+MODULES = (meetings, analysis, evidence, guarding, extracted, proposed, temporal, evaluated, routed, selected, reduced, handed, offlined, localised, linked, recapped, recalled, trained, grounded, titled)
 
 ALL = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
