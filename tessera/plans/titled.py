@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import titles
+from tessera.operators import auditing, titles
 from tessera.plans.rendered import table
 from tessera.plans.said import sql_text
 
@@ -55,4 +55,28 @@ n AS (SELECT wave, (SELECT count(*) FROM g WHERE g.wave = w.wave) AS expected, (
   (SELECT count(*) FROM r WHERE r.wave = w.wave AND k % 4 <> 0 AND k % 10 = 0) AS errors FROM (SELECT DISTINCT wave FROM r) w)
 SELECT wave, expected, selected, matched, round(matched / selected, 6) AS precision, round(matched / expected, 6) AS recall, round(2.0::DOUBLE * matched / (selected + expected), 6) AS f1, errors FROM n"""
 
-QUERIES = {"src14_titles": (src14_titles, SRC14), "off10_selected_spans": (off10_selected_spans, OFF10)}
+#: Expected tasks (name, owner, start, due, words of it) of a case whose transcript is TRANSCRIPT, and the issues of each.
+TRANSCRIPT = "An: Bình gửi báo cáo doanh thu trước ngày 20/02/2024 nhé\nChi: Em sẽ kiểm tra dashboard trong hôm nay, deadline 2024-02-13"
+EXPECTED = (
+    ("Gửi báo cáo doanh thu", "Bình", "", "2024-02-19", "trước ngày 20/02/2024", ()),
+    ("Kiểm tra dashboard", "Chi", "2024-02-01", "2024-02-14", "deadline 2024-02-13", (("WARNING", "due_date", "does_not_match_due_date_text"),)),
+    ("Mua máy chủ mới", "Dũng", "", "", "", (("ERROR", "task_name", "low_transcript_token_overlap"), ("ERROR", "assignee", "not_found_in_transcript"))),
+    ("", "Chi", "2024-02-10", "2024-02-05", "", (("ERROR", "task_name", "empty"), ("ERROR", "due_date", "before_start_date"))),
+    ("Kiểm tra dashboard", "chi", "2024/02/01", "2024-13-01", "", (("ERROR", "task", "duplicate_task_identity"), ("ERROR", "start_date", "invalid_iso_date"), ("ERROR", "due_date", "invalid_iso_date"))),
+    ("Gửi báo cáo", "An; Bình", "", "2024-02-21", "21/02/2024", (("WARNING", "due_date_text", "not_exactly_found_in_transcript"),)),
+    ("Gửi doanh thu", "", "", "", "trong 3 ngày làm việc", (("WARNING", "due_date_text", "not_exactly_found_in_transcript"),)),
+)
+
+
+def dat17_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of the tasks expected of each customer's meeting; every fifth has no tasks and no transcript."""
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("2024-02-01").alias("meeting_date"), F.when(F.col("c_custkey") % 5 != 0, TRANSCRIPT).alias("transcript"))
+    rows = spark.createDataFrame([(i, *e[:5]) for i, e in enumerate(EXPECTED)], "task_no int, task_name string, assignee string, start_date string, due_date string, due_date_text string")
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(EXPECTED) - 1))).alias("task_no")
+    tasks = cases.where("transcript is not null").select("case_id", each).join(F.broadcast(rows), "task_no")
+    return auditing.issues(tasks, cases)
+
+
+DAT17 = f"""SELECT c_custkey AS case_id, task_no, level, field, issue FROM customer, (VALUES {", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, e in enumerate(EXPECTED) for a, b, c in e[5])}) t(task_no, level, field, issue) WHERE c_custkey % 5 <> 0"""
+
+QUERIES = {"dat17_audit": (dat17_audit, DAT17), "src14_titles": (src14_titles, SRC14), "off10_selected_spans": (off10_selected_spans, OFF10)}
