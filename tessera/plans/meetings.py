@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import cues, dates, ledger, segments
+from tessera.plans.linked import shaped_events
 from tessera.plans.rendered import CLAUSES_SQL, EVENTS_SQL, FLAGGED_SQL, MEETING_DATE, clauses, table, task_events
 from tessera.plans.said import SAID_SQL, match_sql, said, sql_text
 from tessera.sources import transcripts
@@ -326,7 +327,8 @@ def led01_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def led03_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.visible(ledger.folded(task_events(spark, sf_dir))).groupBy("meeting_id", "status").agg(F.count("*").alias("n"), F.max("last_index").alias("last_index"))
+    """States of the tasks that a meeting shows, over events of many shapes."""
+    return ledger.visible(ledger.folded(shaped_events(spark, sf_dir))).groupBy("meeting_id", "status").agg(F.count("*").alias("n"), F.max("last_index").alias("last_index"))
 
 
 def led07_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
