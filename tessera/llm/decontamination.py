@@ -53,6 +53,9 @@ LATENT, COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.6, 0.3, 0.85, 0.55, 0.5
 #: Cells (passages x items) that a task fills at a time, and passages whose vectors it multiplies at a time.
 CELLS, AT_ONCE = 1 << 20, 1 << 11
 
+#: Terms of a passage or word up to which they are added up one after the other, and how many of those with more are multiplied at a time.
+DEEP = 64
+
 #: Pieces that sums over all tasks are sent in.
 PIECES = 16
 
@@ -77,6 +80,12 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values once each, in order (`np.unique` hashes integers first, which takes several times as long)."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=x[:1] - 1) != 0]
+
+
 def idf_of(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each slot, over all documents."""
 
@@ -84,7 +93,7 @@ def idf_of(docs: DataFrame) -> np.ndarray:
         total, n = np.zeros(SLOTS, np.int64), 0
         for block in blocks(batches):
             w = words(plain(block.data), block.bounds)
-            total += np.bincount(np.unique(w.row * SLOTS + slot(w.hash)) % SLOTS, minlength=SLOTS)
+            total += np.bincount(distinct(w.row * SLOTS + slot(w.hash)) % SLOTS, minlength=SLOTS)
             n += block.batch.num_rows
         yield array_rows([*np.split(total, PIECES), np.array([n])])
 
@@ -106,18 +115,45 @@ class Terms(NamedTuple):
     def times(self, x: np.ndarray) -> np.ndarray:
         """A x, for A the passages as rows."""
         out = np.zeros((len(self.inside), x.shape[1]), np.float32)
-        if len(self.row):
-            head = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1]))
-            out[self.row[head]] = np.add.reduceat(x[self.word] * self.weight[:, None], head)
+        _gathered(x, self.word, self.weight, self.row, out)
         return out
 
     def onto(self, y: np.ndarray, out: np.ndarray) -> None:
         """Adds A'y to out."""
-        if len(self.row):
-            order = np.argsort(self.word, kind="stable")
-            word = self.word[order]
-            head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            out[word[head]] += np.add.reduceat(y[self.row[order]] * self.weight[order, None], head)
+        order = np.argsort(self.word, kind="stable")
+        _gathered(y, self.row[order], self.weight[order], self.word[order], out)
+
+
+def _gathered(values: np.ndarray, source: np.ndarray, weight: np.ndarray, target: np.ndarray, out: np.ndarray) -> None:
+    """Adds weight x values[source] to out[target] for terms sorted by target, a whole row of values at a time. (The same by
+    `np.add.reduceat` takes several times as long, as it adds up number by number.) The first terms of all targets go at
+    once, then the second ones, and so on; targets of more than DEEP terms are multiplied as a dense matrix."""
+    if not len(target):
+        return
+    head = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    count = np.diff(np.append(head, len(target)))
+    deep = np.flatnonzero(count > DEEP)
+    for low in range(0, len(deep), DEEP):
+        own = deep[low : low + DEEP]
+        n = count[own]
+        line = np.repeat(np.arange(len(own)), n)
+        at = np.arange(len(line)) + np.repeat(head[own] - (np.cumsum(n) - n), n)
+        dense = np.zeros((len(own), len(values)), np.float32)
+        np.add.at(dense, (line, source[at]), weight[at])
+        out[target[head[own]]] += dense @ values
+    flat = np.flatnonzero(count <= DEEP)
+    flat = flat[np.argsort(-count[flat], kind="stable")]
+    if not len(flat):
+        return
+    head, count = head[flat], count[flat]
+    longer = len(flat) - np.cumsum(np.bincount(count))  # targets with more than k terms
+    total = np.zeros((len(flat), values.shape[1]), np.float32)
+    for k in range(int(count[0])):
+        at = head[: longer[k]] + k
+        part = values[source[at]]
+        part *= weight[at, None]
+        total[: longer[k]] += part
+    out[target[head]] += total
 
 
 class Items:
@@ -130,6 +166,8 @@ class Items:
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.ids, self.idf = ids, idf
         self.vocabulary = np.unique(w.hash)
+        #: The first word of the vocabulary in each slot, or after it.
+        self.slots = np.minimum(np.searchsorted(slot(self.vocabulary), np.arange(SLOTS)), len(self.vocabulary) - 1)
         self.places = [np.searchsorted(self.vocabulary, x) for x in self.words]
         self.weights = [idf[slot(x)].astype(np.float64) for x in self.words]
         whole = self.terms(w.hash, w.first[:-1], w.first[1:])
@@ -141,7 +179,10 @@ class Items:
         self.post_first = np.append(0, np.cumsum(np.bincount(keys.word, minlength=len(self.vocabulary))))
 
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        """Whether and where hashes stand in the vocabulary, or would: a slot rarely holds two of its words."""
+        at = self.slots[slot(hashes)]
+        later = np.flatnonzero(self.vocabulary[at] < hashes)
+        at[later] = np.minimum(np.searchsorted(self.vocabulary, hashes[later]), len(self.vocabulary) - 1)
         return self.vocabulary[at] == hashes, at
 
     def terms(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> Terms:
@@ -202,11 +243,11 @@ class Bound:
         begin = np.append(0, np.cumsum(units))
         known = np.flatnonzero(hit)
         unit = begin[w.row[known]] + (known - w.first[w.row[known]]) // self.unit
-        keys = np.unique(unit * self.size + at[known])
+        keys = distinct(unit * self.size + at[known])
         opens = np.zeros(begin[-1] + 1, bool)
         opens[begin[:-1]] = True  # the first unit of a row has none before it
         back = keys[~opens[keys // self.size]] - self.size
-        keys = np.unique(np.concatenate([keys, back]))
+        keys = distinct(np.concatenate([keys, back]))
         good = []
         step = max(1, CELLS // self.items)
         for low in range(0, int(begin[-1]), step):

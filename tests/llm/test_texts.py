@@ -7,6 +7,7 @@ import hashlib
 import re
 import textwrap
 from functools import cache
+from time import thread_time
 from zlib import crc32
 
 import numpy as np
@@ -249,6 +250,63 @@ def test_long_items_are_found_by_their_passages(spark):
     assert all(found[i, i] == 1 and 0.55 < found[100 + i, i] < 0.65 for i, _ in items)
 
 
+def segment_sums(terms, x, out):
+    """Adds A'A x to out, the sums by reduceat."""
+    y = np.zeros((len(terms.inside), x.shape[1]), np.float32)
+    head = np.flatnonzero(np.append(True, terms.row[1:] != terms.row[:-1]))
+    y[terms.row[head]] = np.add.reduceat(x[terms.word] * terms.weight[:, None], head)
+    order = np.argsort(terms.word, kind="stable")
+    word = terms.word[order]
+    head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    out[word[head]] += np.add.reduceat(y[terms.row[order]] * terms.weight[order, None], head)
+
+
+def cpu_seconds(f, rounds=5):
+    """Of this thread (Spark gives its tasks one for BLAS), the least of some rounds."""
+    took = []
+    for _ in range(rounds):
+        start = thread_time()
+        f()
+        took.append(thread_time() - start)
+    return min(took)
+
+
+def test_products_of_passages_are_exact_and_cheap():
+    """A x and A'y are those of the dense matrix, and take less than half of the CPU time of sums by reduceat. Some rows are empty,
+    some words stand nowhere, and some rows and words have more terms than are added up one after the other."""
+    rng = np.random.default_rng(5)
+    size, rank, often = 4000, 128, np.arange(1, 4001) ** -1.1
+    own = [np.sort(rng.choice(size, n, replace=False, p=often / often.sum())) for n in (*rng.integers(0, 15, 2046), 300, 64)]
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    word, weight = np.concatenate(own), rng.random(len(row)).astype(np.float32)
+    terms = decontamination.Terms(row, word, weight, np.ones(len(own)), np.ones(len(own)))
+    dense = np.zeros((len(own), size))
+    dense[row, word] = weight
+    assert (dense != 0).sum(0).max() > 64 and (dense != 0).sum(0).min() == (dense != 0).sum(1).min() == 0
+    x = rng.normal(size=(size, rank)).astype(np.float32)
+    y = terms.times(x)
+    out = np.ones((size, rank), np.float32)
+    terms.onto(y, out)
+    assert np.allclose(y, dense @ x, atol=1e-4) and np.allclose(out, 1 + dense.T @ (dense @ x), atol=1e-3)
+    nothing = decontamination.Terms(row[:0], word[:0], weight[:0], np.ones(3), np.ones(3))
+    nothing.onto(nothing.times(x), out)
+    assert not nothing.times(x).any() and nothing.times(x).shape == (3, rank)
+    assert cpu_seconds(lambda: terms.onto(terms.times(x), out)) < 0.5 * cpu_seconds(lambda: segment_sums(terms, x, out))
+
+
+def test_words_are_known_by_their_slots():
+    """Also where a slot holds several words of the vocabulary, at both ends, and where none is known."""
+    items = decontamination.Items([1], [" ".join(fresh("v", 3000))], np.ones(decontamination.SLOTS, np.float32))
+    near = np.concatenate([items.vocabulary - np.uint64(1), items.vocabulary + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+    hashes = np.random.default_rng(6).permutation(np.concatenate([items.vocabulary, near]))
+    assert np.bincount(decontamination.slot(items.vocabulary)).max() > 1
+    hit, at = items.known(hashes)
+    assert np.array_equal(hit, np.isin(hashes, items.vocabulary)) and np.array_equal(items.vocabulary[at[hit]], hashes[hit])
+    assert not items.known(near)[0].any() and len(items.known(near[:0])[0]) == 0
+    for x in (np.zeros(0, np.int64), np.array([3, 0, 3, 1, 0])):
+        assert decontamination.distinct(x).tolist() == sorted(set(x.tolist()))
+
+
 def test_wrapped_licence_notices(spark):
     classifier = licences.fit(["the committee met and the minutes were read", "der Vertrag ist nicht gültig"])
     bodies = [(k, v[-1]) for k, v in licences.TEMPLATES.items() if k in ("MIT", "BSD", "GPL-3.0", "ISC")]
