@@ -6,21 +6,12 @@ folded into the ledger; visible tasks get their dates, the best wording of their
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import cues, dates, extraction, final, ledger, linking, recap_rows, segments
 from tessera.operators.temporal import purpose
-from tessera.sources.corpus import shared_folder
-
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: what several steps read is computed once, and plans stay small."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from tessera.sources.corpus import stored
 
 RESULT = ("meeting_id", "task_id", "task_name", "assignee", "start_date", "due_date", "due_text", "status", "evidence")
 
@@ -39,8 +30,8 @@ def events(clauses: DataFrame, mentions: DataFrame) -> DataFrame:
     last = due.groupBy("meeting_id", "clause_id").agg(F.max_by("mention_id", "span_start").alias("deadline_mention_id"))
     has = mentions.select("meeting_id", "clause_id").distinct().withColumn("dated", F.lit(True))
     rows = clauses.join(has, ["meeting_id", "clause_id"], "left").join(last, ["meeting_id", "clause_id"], "left")
-    ruled = _stored(extraction.events(_stored(cues.annotated(rows, F.coalesce("dated", F.lit(False))), "annotated")), "rule-events")
-    said = recap_rows.segment_deadlines(_stored(recap_rows.events(clauses.select("meeting_id", "clause_id", "order_index", "speaker_name", "text_raw")), "recap-events"))
+    ruled = stored(extraction.events(stored(cues.annotated(rows, F.coalesce("dated", F.lit(False))), "annotated")), "rule-events")
+    said = recap_rows.segment_deadlines(stored(recap_rows.events(clauses.select("meeting_id", "clause_id", "order_index", "speaker_name", "text_raw")), "recap-events"))
     by_text = due.groupBy("meeting_id", "clause_id", F.col("raw_text").alias("deadline_text")).agg(F.max_by("mention_id", "span_start").alias("deadline_mention_id"))
     said = said.join(by_text, ["meeting_id", "clause_id", "deadline_text"], "left")
     cancels = F.col("event_type") == "TASK_CANCEL"
@@ -60,9 +51,9 @@ def events(clauses: DataFrame, mentions: DataFrame) -> DataFrame:
 def results(clauses: DataFrame, meeting_date: str) -> DataFrame:
     """The visible tasks of each meeting (RESULT). clauses: those of `segments.preprocessed`."""
     day = F.lit(meeting_date).cast("date")
-    clauses = _stored(clauses, "clauses")
-    mentions = _stored(date_mentions(clauses), "mentions")
-    tasks = _stored(ledger.visible(linking.folded(_stored(events(clauses, mentions), "events"))), "tasks")
+    clauses = stored(clauses, "clauses")
+    mentions = stored(date_mentions(clauses), "mentions")
+    tasks = stored(ledger.visible(linking.folded(stored(events(clauses, mentions), "events"))), "tasks")
     own = tasks.select("meeting_id", "task_id", "task_name", "assignee", "deadline_mention_id", F.col("deadline_history").alias("history"), F.col("clauses").alias("source_clause_ids"))
     started = own.join(final.start_dates(own, mentions, day), ["meeting_id", "task_id"])
     due = final.deadline_texts(started, mentions, day)

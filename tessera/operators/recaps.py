@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ratio import ratio_of
-from tessera.functions.text import jaccard, match_form, words_of
+from tessera.functions.text import jaccard, match_form, once, words_of
 
 # Sentences that close a meeting without open tasks.
 CLOSURES = (
@@ -80,7 +80,8 @@ def active_snapshot(tasks: DataFrame, labels: DataFrame, scope: DataFrame) -> Da
     name one, all stay. Each distinct pair of a label and a name is compared once."""
     asked = labels.join(scope.where("scope = 'AUTHORITATIVE'").select("meeting_id"), "meeting_id", "left_semi")
     said = asked.select("meeting_id", F.posexplode("labels").alias("place", "label")).withColumn("label", match_form(F.col("label")))
-    known = tasks.select("meeting_id", "task_id", match_form(F.col("task_name")).alias("name"), "last_index", ((F.col("deadline_mention_id") != "").cast("int") + (~match_form(F.col("assignee")).isin(*NO_OWNERS)).cast("int")).alias("quality"))
+    forms = once(tasks.select("meeting_id", "task_id", "task_name", "assignee", "deadline_mention_id", "last_index"), ["task_name", "assignee"], lambda t: t.withColumn("name", match_form(F.col("task_name"))).withColumn("owner", match_form(F.col("assignee"))))
+    known = forms.select("meeting_id", "task_id", "name", "last_index", ((F.col("deadline_mention_id") != "").cast("int") + (~F.col("owner").isin(*NO_OWNERS)).cast("int")).alias("quality"))
     pairs = said.join(known, "meeting_id")
     words = lambda c: F.array_distinct(words_of(F.col(c)))
     texts = pairs.select("label", "name").distinct().withColumn("overlap", jaccard(words("name"), words("label"))).withColumn("ratio", ratio_of(F.col("name"), F.col("label")))

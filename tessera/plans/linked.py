@@ -176,6 +176,7 @@ def _snapshot_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """Visible tasks; clauses that tell their state at the end: both first tasks (0), one and something unknown (1), one twice (2), without a row of
     others (3), by user_id modulo 5; and scopes, of which every seventh isn't authoritative."""
     tasks = linking.folded(shaped_events(spark, sf_dir)).where(~F.col("status").isin("PROVISIONAL", "CANCELLED", "REJECTED"))
+    tasks = corpus.stored(tasks.select("meeting_id", "task_id", "task_name", "assignee", "deadline_mention_id", "status", "last_index"), "visible-tasks")  # read five times
     k = F.col("meeting_id") % 5
     names = tasks.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_id", "task_name"))), lambda x: F.regexp_replace(x["task_name"], "[,;:?-]", " ")).alias("names"))
     first, second = F.element_at("names", 1), F.coalesce(F.try_element_at("names", F.lit(2)), F.lit("nothing like it"))

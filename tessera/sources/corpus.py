@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again: what several steps read is computed once, and plans stay small."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _decoded(content: Column) -> Column:
     """UTF-8 without its mark; bytes that are none become replacement characters."""
     return F.regexp_replace(F.try_validate_utf8(F.decode(content, "UTF-8")), "^﻿", "")

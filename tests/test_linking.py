@@ -8,6 +8,7 @@ import re
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -411,3 +412,17 @@ def test_a_final_recap_leaves_what_it_names(spark):
         expected |= {(meeting, r.task_id) for r in (kept if whole else rows)}
     assert {(r.meeting_id, r.task_id) for r in linked.pol04_active_snapshot(spark, SF).collect()} == expected
     assert any(left.values()) and not all(left.values()) and all(3 != m % 5 or m not in labels for m in own)
+
+
+def test_a_snapshot_folds_its_events_once(spark):
+    plan = linked.pol04_active_snapshot(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") <= 1
+
+
+def test_what_is_computed_once_for_a_text_equals_that_of_each_row(spark):
+    from tessera.functions.text import match_form, once
+
+    rows = spark.createDataFrame([(1, "Gửi  Báo cáo"), (2, None), (3, "Gửi  Báo cáo"), (4, ""), (5, None)], "n int, t string")
+    found = once(rows, ["t"], lambda t: t.withColumn("form", match_form(F.col("t"))))
+    assert found.columns == ["n", "t", "form"]
+    assert sorted(map(tuple, found.collect())) == [(1, "Gửi  Báo cáo", "gui bao cao"), (2, None, None), (3, "Gửi  Báo cáo", "gui bao cao"), (4, "", ""), (5, None, None)]
