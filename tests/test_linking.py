@@ -426,3 +426,25 @@ def test_what_is_computed_once_for_a_text_equals_that_of_each_row(spark):
     found = once(rows, ["t"], lambda t: t.withColumn("form", match_form(F.col("t"))))
     assert found.columns == ["n", "t", "form"]
     assert sorted(map(tuple, found.collect())) == [(1, "Gửi  Báo cáo", "gui bao cao"), (2, None, None), (3, "Gửi  Báo cáo", "gui bao cao"), (4, "", ""), (5, None, None)]
+
+
+def test_pairs_of_parts_equal_those_of_the_whole():
+    import numpy as np
+
+    from tessera.operators import evaluation as E
+
+    rng = random.Random(1)
+    for _ in range(400):
+        r, c = rng.randrange(1, 5), rng.randrange(1, 5)
+        m = np.array([[rng.choice([0, 0, 0.72, 0.8, 1.0, round(rng.random(), 3)]) for _ in range(c)] for _ in range(r)])
+        assert E.few_pairs(m.tolist()) == E.best_pairs(m)
+        found = E.linked_pairs({(i, j): m[i, j] for i in range(r) for j in range(c) if m[i, j] > 0})
+        assert abs(sum(1e6 + s for _, _, s in found) - E.brute_pairs(m)) < 1e-6
+        assert len({e for e, _, _ in found}) == len({a for _, a, _ in found}) == len(found)
+
+
+def test_pairing_makes_no_rows_of_pairs(spark):
+    from tessera.plans import evaluated
+
+    plan = evaluated.jon10_fuzzy_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
