@@ -448,3 +448,14 @@ def test_pairing_makes_no_rows_of_pairs(spark):
 
     plan = evaluated.jon10_fuzzy_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_names_meet_by_their_words_without_scoring_all_pairs(spark, monkeypatch):
+    from tessera.operators import evaluation as E
+
+    asked, score = [], E.name_score
+    monkeypatch.setattr(E, "name_score", lambda *x: asked.append(x) or score(*x))
+    tasks = [(i, "", f"order{i}") for i in range(3000)]
+    assert E.linked_pairs(E.case_scores(tasks, tasks, by_characters=False)) == [(i, i, 1.0) for i in range(3000)]
+    assert len(asked) == 3000
+    assert E.case_scores([(1, "", "the task")], [(2, "", "the task"), (3, "", "task")], False) == {(1, 2): 1.0}  # without a word that tells
