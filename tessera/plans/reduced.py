@@ -153,7 +153,7 @@ def ret06_task_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.concat(F.lit("Task "), k % 9)).otherwise(F.concat(of(_ACTIONS, k), F.lit(" lại"))).alias("action_ref"), F.col("embedding").alias("vector"), F.array(of(("an", "Bình", "Zed"), k)).alias("owners"), F.array(of(("t1", "t3"), k)).alias("topics"),
         (k % 120).alias("order_index"),
     )
-    found = V.linked(queries, _tasks(spark, sf_dir))
+    found = V.linked(queries, _tasks(spark, sf_dir), blocks=16)
     return found.select("query_id", "status", "task_id", "reason", F.round("margin", 6).alias("margin"), F.array_join("candidates", ",").alias("candidates"))
 
 

@@ -116,3 +116,28 @@ def test_replay_sees_earlier_states_only(spark):
     found = recalled.ret09_replay(spark, SF).where("split(query_id, '/')[0] < 3").collect()
     assert {(int(r.query_id.split("/")[0]), r.query_id.split("/")[1]) for r in found} == changes
     assert {r.status for r in found} >= {"DIRECT_LINK", "UNRESOLVED"}
+
+
+def test_links_make_no_rows_of_pairs(spark):
+    from tessera.plans import reduced
+
+    plan = reduced.ret06_task_links(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_scores_are_rounded_as_by_spark(spark):
+    import random
+
+    import numpy as np
+
+    from tessera.operators import retrieval
+
+    rng = random.Random(4)
+    values = [0.0, 1.0, 0.1234565, 0.5000005, 0.6000015, 0.9999995, 0.78, *(rng.randrange(10**7) / 10**7 for _ in range(500)), *(rng.random() for _ in range(500))]
+    exact = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(F.round("x", 6)).collect()]
+    assert retrieval.rounded(np.array(values)).tolist() == exact
+
+
+def test_replay_folds_its_events_once(spark):
+    plan = recalled.ret09_replay(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") == 0
