@@ -10,11 +10,12 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import match_form
-from tessera.operators.linking import MUTATE, STRONG, Ledger, merges, overlap, plain_event, prepared, same_work
+from tessera.operators.linking import MUTATE, STRONG, Ledger, as_table, merges, overlap, plain_event, prepared, same_work
 
 #: Candidates for a question, at most.
 MOST = 10
@@ -22,7 +23,9 @@ MOST = 10
 CANDIDATE = (
     "meeting_id long, window_id string, place int, task_id string, task_name string, aliases array<string>, assignee string, status string, last_index long, last_clause string, clauses array<string>"
 )
-VERSION = "meeting_id long, event_id string, order_index long, task_id string, aliases array<string>, owners array<string>, clauses array<string>, last_index long, bound string"
+VERSION = (
+    "meeting_id long, event_id string, order_index long, task_id string, aliases array<string>, forms array<string>, owners array<string>, owner_forms array<string>, clauses array<string>, last_index long, bound string"
+)
 
 
 def safe_aliases(task: dict) -> list[str]:
@@ -86,15 +89,26 @@ def _ranked(ledger: Ledger, question: dict, meeting: int, most: int) -> list[tup
 def versions(events: DataFrame) -> DataFrame:
     """For each change among the events the tasks that were there before it (VERSION), and the task that the ledger bound it to
     (`bound`, null for none); a change without earlier tasks has one row without task."""
-    names = [x.split(" ")[0] for x in VERSION.split(", ")]
-
-    def replay(own: pd.DataFrame) -> pd.DataFrame:
-        ledger, out, meeting = Ledger(), [], int(own["meeting_id"].iloc[0])
-        for event in sorted((plain_event(e) for e in own["event"]), key=lambda e: (e["at"], e["event_id"])):
-            before = [(name, safe_aliases(t), sorted(set(t["owners"])), sorted(t["clauses"]), t["last"]) for name, t in sorted(ledger.tasks.items()) if not ledger.ended(name) and t["name"]["text"]] if event["kind"] in MUTATE else []
+    def replay(own: pa.Table) -> pa.Table:
+        ledger, out, meeting, known = Ledger(), [], own.column("meeting_id")[0].as_py(), {}
+
+        def named(name: str, task: dict) -> tuple[list[str], list[str]]:
+            """A task's safe aliases and their forms, computed again only if it has got another label."""
+            stamp = (task["name"]["text"], len(task["aliases"]), len(task["identity"]))
+            if known.get(name, (None,))[0] != stamp:
+                forms, texts = {x["text"]: x["match"] for x in (task["name"], *task["aliases"].values(), *task["identity"].values())}, safe_aliases(task)
+                known[name] = stamp, (texts, [forms[x] for x in texts])
+            return known[name][1]
+
+        for event in sorted((plain_event(e) for e in own.column("event").to_pylist()), key=lambda e: (e["at"], e["event_id"])):
+            before = []
+            for name, t in sorted(ledger.tasks.items()) if event["kind"] in MUTATE else ():
+                if not ledger.ended(name) and t["name"]["text"]:
+                    owners = sorted(set(t["owners"]))
+                    before.append((name, *named(name, t), owners, [t["owner_forms"][x] for x in owners], sorted(t["clauses"]), t["last"]))
             link = ledger.apply(event)
             if event["kind"] in MUTATE:
-                out += [(meeting, event["event_id"], event["at"], *task, link.task) for task in before] or [(meeting, event["event_id"], event["at"], None, [], [], [], None, link.task)]
-        return pd.DataFrame(out, columns=names)
+                out += [(meeting, event["event_id"], event["at"], *task, link.task) for task in before] or [(meeting, event["event_id"], event["at"], None, [], [], [], [], [], None, link.task)]
+        return as_table(out, VERSION)
 
-    return prepared(events).groupBy("meeting_id").applyInPandas(replay, VERSION)
+    return prepared(events).groupBy("meeting_id").applyInArrow(replay, VERSION)

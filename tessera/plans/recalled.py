@@ -11,6 +11,7 @@ from tessera.operators import retrieval as V
 from tessera.plans.linked import NAMES, shaped_events
 from tessera.plans.rendered import ORDERED_SQL, _ordered, table
 from tessera.plans.said import match_sql, sql_text
+from tessera.sources import corpus
 
 #: What is said, by event_id: two of them begin a topic.
 SAID = (
@@ -74,15 +75,18 @@ def win12_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ret09_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What retrieval would have said of each change, from the tasks before it, and whether the ledger agrees."""
     events = shaped_events(spark, sf_dir)
-    seen = memory.versions(events)
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    seen = corpus.stored(memory.versions(events).drop("clauses"), "versions")  # read twice
+    vectors = F.broadcast(table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector")))
     key = F.concat_ws("/", "meeting_id", "event_id")
     with_vector = lambda df, of: df.withColumn("v", F.pmod(F.xxhash64(of), F.lit(500))).join(vectors, "v")
     asked = events.where(F.col("event_type").isin(*memory.MUTATE)).select(
         key.alias("meeting_id"), key.alias("query_id"), F.col("related_task_id").alias("explicit_id"), F.when(F.col("related_task_hint") != "", F.col("related_task_hint")).otherwise(F.col("action_text")).alias("action_ref"),
-        F.filter(F.array("assignee"), lambda x: x != "").alias("owners"), F.array(F.lit("t")).alias("topics"), "order_index",
+        F.filter(F.array("assignee"), lambda x: x != "").alias("owners"), F.array(F.lit("t")).alias("topics"), "order_index", F.col("meeting_id").cast("string").alias("dealt"),
+    )
+    tasks = seen.where("task_id is not null").select(
+        key.alias("meeting_id"), "task_id", "aliases", "forms", "owners", "owner_forms", F.array(F.lit("t")).alias("topics"), F.array(F.lit("t")).alias("topic_forms"), "last_index",
+        F.col("meeting_id").cast("string").alias("dealt"),
     )
-    tasks = seen.where("task_id is not null").select(key.alias("meeting_id"), "task_id", "aliases", "owners", F.array(F.lit("t")).alias("topics"), "last_index")
     found = V.linked(with_vector(asked, F.col("action_ref")), with_vector(tasks, F.try_element_at("aliases", F.lit(1))))
     bound = seen.groupBy(key.alias("query_id")).agg(F.max("bound").alias("bound"))
     return found.join(bound, "query_id").select("query_id", "status", "reason", "task_id", "bound", F.col("task_id").eqNullSafe(F.col("bound")).alias("agrees"))
