@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import match_form, words_of
+from tessera.functions.text import let, match_form, words_of
 
 # What an event's source says of its origin, in this order, and the kinds that change a task.
 ORIGINS = (
@@ -121,28 +121,33 @@ def nms(spans: Column, least: float = 0.8, most: int = 3) -> Column:
     return F.aggregate(ordered, none, add)
 
 
+def phrased(texts: DataFrame) -> DataFrame:
+    """Texts with their plain words, and whether these hold a first or second person."""
+    texts = texts.withColumn("plain", F.array_join(words_of(match_form(F.col("text_raw"))), " "))
+    return texts.withColumn("says_i", F.col("plain").rlike(f"(?iU){FIRST_PERSON}")).withColumn("says_you", F.col("plain").rlike(f"(?iU){SECOND_PERSON}"))
+
+
 def action_features(rows: DataFrame) -> DataFrame:
-    """meeting_id, clause_id and FEATURES of annotated clauses (with note_supported)."""
+    """meeting_id, clause_id and FEATURES of annotated clauses (with note_supported and what `phrased` adds)."""
     order = W.partitionBy("meeting_id").orderBy("order_index")
-    plain = F.array_join(words_of(match_form(F.col("text_raw"))), " ")
-    names = rows.groupBy("meeting_id").agg(F.collect_set(F.array_join(words_of(match_form(F.col("speaker_name"))), " ")).alias("names"))
-    rows = rows.join(names, "meeting_id").withColumn("plain", plain).withColumn("before", F.lag("speaker_name").over(order))
+    speakers = rows.select("meeting_id", "speaker_name").distinct()
+    names = speakers.groupBy("meeting_id").agg(F.collect_set(F.array_join(words_of(match_form(F.col("speaker_name"))), " ")).alias("names"))
+    rows = rows.join(names, "meeting_id").withColumn("before", F.lag("speaker_name").over(order))
     named = F.exists("names", lambda n: (n != "") & F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.concat(F.lit(" "), n, F.lit(" "))))
     values = {k: F.array_contains("flags", v) for k, v in _FLAG_FEATURES.items()}
     values |= {
         "has_owner_name": named, "is_question": F.array_contains("flags", "ROOT_QUESTION") | F.rtrim("text_raw").endswith("?"), "speaker_changed": F.coalesce(F.col("before") != F.col("speaker_name"), F.lit(False)),
-        "first_person": F.col("plain").rlike(f"(?iU){FIRST_PERSON}"), "second_person": F.col("plain").rlike(f"(?iU){SECOND_PERSON}"), "note_supported": F.col("note_supported"),
+        "first_person": F.col("says_i"), "second_person": F.col("says_you"), "note_supported": F.col("note_supported"),
     }
     return rows.select("meeting_id", "clause_id", *((values[n].cast("double") if n in values else F.col("score").cast("double")).alias(n) for n in FEATURES))
 
 
 def linear_probabilities(vector: Column, mean: list[float], scale: list[float], weights: list[list[float]], intercepts: list[float]) -> Column:
     """Probabilities of a frozen linear model over a vector, each part less its mean over its scale."""
-    lit = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
-    z = F.zip_with(F.zip_with(vector, lit(mean), lambda x, m: x - m), lit(scale), lambda x, s: x / s)
-    logits = F.array(*(F.aggregate(F.zip_with(z, lit(w), lambda x, y: x * y), F.lit(float(b)), lambda s, x: s + x) for w, b in zip(weights, intercepts, strict=True)))
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    z = [(F.get(vector, i) - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, scale, strict=True))]
+    logits = F.array(*(sum((x * F.lit(float(y)) for x, y in zip(z, w, strict=True)), F.lit(float(b))) for w, b in zip(weights, intercepts, strict=True)))
+    e = let(logits, lambda xs: let(F.array_max(xs), lambda most: F.transform(xs, lambda x: F.exp(x - most))))
+    return let(e, lambda xs: let(F.aggregate(xs, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(xs, lambda x: x / total)))
 
 
 def agreement(rows: DataFrame) -> DataFrame:

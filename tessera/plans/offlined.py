@@ -140,7 +140,7 @@ SELECT meeting_id, clause_id, array_to_string(list_transform(kept, lambda k: k.b
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.action_features(annotated(spark, sf_dir).withColumn("note_supported", F.col("order_index") % 6 == 0))
+    return O.action_features(annotated(spark, sf_dir, O.phrased).withColumn("note_supported", F.col("order_index") % 6 == 0))
 
 
 def ml01_features(spark: SparkSession, sf_dir: str) -> DataFrame:

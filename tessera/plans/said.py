@@ -7,11 +7,12 @@ the same rules again for another engine: patterns are translated (`re2`), not th
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalized, sequence_id
+from tessera.functions.text import normalized, once, sequence_id
 from tessera.operators import cues, dates
 from tessera.plans.rendered import ORDERED_SQL, _ordered
 
@@ -80,8 +81,10 @@ def has_date() -> F.Column:
     return F.col("text_normalized").rlike("(?iU)" + "|".join(f"(?:{p})" for _, _, p in dates.RULES))
 
 
-def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cues.annotated(said(spark, sf_dir), has_date())
+def annotated(spark: SparkSession, sf_dir: str, more: Callable[[DataFrame], DataFrame] = lambda texts: texts) -> DataFrame:
+    """Clauses with their flags and what `more` adds to texts; each distinct text is searched once."""
+    texts = lambda t: more(cues.annotated(t.withColumn("text_normalized", normalized(F.col("text_raw"))), has_date()))
+    return once(said(spark, sf_dir).drop("text_normalized"), ["text_raw"], texts)
 
 
 # -- the same in SQL ---------------------------------------------------------------------------------------------------

@@ -141,3 +141,16 @@ def test_scores_are_rounded_as_by_spark(spark):
 def test_replay_folds_its_events_once(spark):
     plan = recalled.ret09_replay(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsIn") == 0
+
+
+def searched_once(plan):
+    """Whether each pattern of cues stands above a grouping by text, not on each clause."""
+    lines = plan.split("\n")
+    at = [i for i, x in enumerate(lines) if "xin trả lại task" in x and "Project" in x]
+    return bool(at) and all(any("Aggregate [text_raw" in y for y in lines[i : i + 4]) for i in at)
+
+
+def test_flags_of_features_are_searched_once_for_a_text(spark):
+    from tessera.plans import offlined
+
+    assert searched_once(offlined.ml02_probabilities(spark, SF)._jdf.queryExecution().optimizedPlan().toString())
