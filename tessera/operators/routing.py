@@ -38,15 +38,20 @@ OWNER_TYPES, DEADLINE_TYPES, END_TYPES = ("OWNER_ASSIGN", "OWNER_REASSIGN"), ("D
 CLEAR, POSSIBLE = 0.82, 0.45
 
 
+def marked(texts: DataFrame) -> DataFrame:
+    """Texts with `accepts` and `recap_item`."""
+    return texts.withColumn("accepts", F.col("text_raw").rlike(f"(?iU){ACCEPT}")).withColumn("recap_item", F.col("text_raw").rlike(f"(?iU){RECAP_ITEM}"))
+
+
 def action_candidates(rows: DataFrame) -> DataFrame:
-    """Candidates of annotated clauses with `action` (their first span or null) and `due` (whether a deadline is mentioned).
+    """Candidates of annotated clauses with `action` (their first span or null), `due` (whether a deadline is mentioned) and what
+    `marked` adds.
 
     A question waits for the next clause that accepts or asks again; so what becomes of it is the next such clause, a window.
     Clauses with nothing but a deadline right after a candidate to create belong to it, one after the other."""
     order = W.partitionBy("meeting_id").orderBy("order_index")
     asks = has("ROOT_QUESTION") & F.col("action").isNotNull()
-    accepts = F.col("text_raw").rlike(f"(?iU){ACCEPT}")
-    mark = F.when(accepts, "ACCEPT").when(asks, "ASK")
+    mark = F.when(F.col("accepts"), "ACCEPT").when(asks, "ASK")
     rows = rows.withColumn("mark", mark)
     rows = rows.withColumn("last_mark", F.last("mark", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
     rows = rows.withColumn("next", F.first(F.when(F.col("mark").isNotNull(), F.struct("mark", "clause_id", "order_index")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
@@ -57,7 +62,7 @@ def action_candidates(rows: DataFrame) -> DataFrame:
     negative = F.array_sort(F.array_intersect("flags", F.array(*map(F.lit, AGAINST))))
     plain_one = ~asking & ~F.coalesce(taken, F.lit(False)) & F.col("action").isNotNull() & ((F.size(positive) > 0) | has("ACTION_VERB"))
     kind = (
-        F.when(accepted, "CREATE").when(asking, "UNKNOWN").when(has(*CHANGING), "MUTATION").when(F.col("text_raw").rlike(f"(?iU){RECAP_ITEM}"), "RECAP_ITEM")
+        F.when(accepted, "CREATE").when(asking, "UNKNOWN").when(has(*CHANGING), "MUTATION").when(F.col("recap_item"), "RECAP_ITEM")
         .when(F.size(negative) > 0, "UNKNOWN").otherwise("CREATE")
     )
     state = (

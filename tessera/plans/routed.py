@@ -16,8 +16,7 @@ ACTIVE = ("DIRECT_ASSIGNMENT", "SELF_COMMITMENT")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = annotated(spark, sf_dir).withColumn("due", has_date()).withColumn("action", F.get(P.action_spans(F.col("text_raw")), 0)["text"])
-    return R.action_candidates(rows)
+    return R.action_candidates(annotated(spark, sf_dir, lambda t: R.marked(t.withColumn("due", has_date()).withColumn("action", F.get(P.action_spans(F.col("text_raw")), 0)["text"]))))
 
 
 def win05_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,9 @@ def test_flags_of_features_are_searched_once_for_a_text(spark):
     from tessera.plans import offlined
 
     assert searched_once(offlined.ml02_probabilities(spark, SF)._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_flags_of_candidates_are_searched_once_for_a_text(spark):
+    from tessera.plans import routed
+
+    assert searched_once(routed.win05_candidates(spark, SF)._jdf.queryExecution().optimizedPlan().toString())
