@@ -201,7 +201,7 @@ def ret08_topic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     clauses = rows.where("vec_id % 10 <> 0").select((k % 8).alias("meeting_id"), k.alias("clause_id"), k.alias("order_index"), F.col("label").alias("topic_id"), F.col("embedding").alias("vector"))
     queries = rows.where("vec_id % 10 = 0").select((k % 8).alias("meeting_id"), k.alias("query_id"), F.col("embedding").alias("vector"))
-    return V.by_topic(queries, clauses).select("query_id", "topic_id", "clause_id", "place")
+    return V.by_topic(queries, clauses, blocks=8).select("query_id", "topic_id", "clause_id", "place")
 
 
 RET08 = """WITH c AS (SELECT vec_id % 8 AS m, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 0), q AS (SELECT vec_id % 8 AS m, vec_id AS query_id, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id % 10 = 0),

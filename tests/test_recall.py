@@ -160,3 +160,10 @@ def test_flags_of_candidates_are_searched_once_for_a_text(spark):
     from tessera.plans import routed
 
     assert searched_once(routed.win05_candidates(spark, SF)._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_topics_are_searched_without_rows_of_pairs(spark):
+    from tessera.plans import reduced
+
+    plan = reduced.ret08_topic_search(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert " Join " not in plan and "Generate posexplode" not in plan and "FlatMapCoGroupsInArrow" in plan
