@@ -27,7 +27,7 @@ def _of(values: tuple[str, ...], n: Column) -> Column:
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses with a vector each: that of the embedding of the same number, modulo 500."""
     rows, k = _ordered(spark, sf_dir), F.col("event_id")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    vectors = F.broadcast(table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector")))  # v is below 500
     text = F.concat_ws(" ", _of(SAID, k), "k")
     return rows.withColumn("v", F.floor(k / 3) % 500).join(vectors, "v").select(
         "meeting_id", sequence_id("CLAUSE", F.col("order_index") + 1).alias("clause_id"), "order_index", _of(NAMES, F.floor(k / 2)).alias("speaker_name"), F.floor(k / 2).alias("caption"), text.alias("text_raw"), "vector",

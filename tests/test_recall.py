@@ -167,3 +167,8 @@ def test_topics_are_searched_without_rows_of_pairs(spark):
 
     plan = reduced.ret08_topic_search(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert " Join " not in plan and "Generate posexplode" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_contexts_make_no_row_for_a_part_or_an_id(spark):
+    plan = recalled.win13_contexts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in plan and "LeftAnti" not in plan and "FlatMapCoGroupsInArrow" in plan
